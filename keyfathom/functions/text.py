@@ -73,6 +73,13 @@ def single_line_hits(patterns: list[str], lines: Column, lower_text: Column,
     return _guard(found, any_contains(lower_text, tokens), guarded)
 
 
+def match_lines(regex: str, text: Column) -> Column:
+    """Numbers of the lines on which a match starts, see :func:`multi_line_hits`."""
+    marked = F.regexp_replace(text, regex, _MARK + "$0")
+    return F.array_compact(F.transform(
+        split_lines(marked), lambda line, i: F.when(F.contains(line, F.lit(_MARK)), i + 1)))
+
+
 def multi_line_hits(pattern: str, text: Column, lower_text: Column, guarded: bool = True) -> Column:
     """Numbers of the lines on which a match of ``pattern`` starts.
 
@@ -80,9 +87,7 @@ def multi_line_hits(pattern: str, text: Column, lower_text: Column, guarded: boo
     is put in front of every match; the lines holding a mark are the answer.
     ``text`` must not contain the mark itself, see :func:`markable`.
     """
-    marked = F.regexp_replace(text, FLAGS + pattern, _MARK + "$0")
-    found = F.array_compact(F.transform(
-        split_lines(marked), lambda line, i: F.when(F.contains(line, F.lit(_MARK)), i + 1)))
+    found = match_lines(FLAGS + pattern, text)
     rarest_first = sorted(required_runs(pattern), key=len, reverse=True)
     return _guard(found, all_contain(lower_text, rarest_first), guarded)
 
