@@ -254,11 +254,14 @@ def _blocks_of_span(start: Column, end: Column) -> Column:
         covered = (up_lo <= up_hi) if level + 1 < _LEVELS else F.lit(False)
         blocks = F.when(covered, F.concat(run(lo, up_lo * _RADIX - 1), run((up_hi + 1) * _RADIX, hi))
                         ).otherwise(run(lo, hi))
-        parts.append(F.transform(blocks, lambda b, level=level: F.struct(
-            F.lit(level).alias("level"), b.alias("block"))))
+        parts.append(_at_level(level, blocks))
     return F.concat(*parts)
 
 
+def _at_level(level: int, blocks: Column) -> Column:
+    return F.transform(blocks, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block")))
+
+
 def _blocks_of_line(line: Column) -> Column:
     return F.array(*[F.struct(F.lit(level).alias("level"),
                               F.floor(line / F.lit(_RADIX ** level)).cast("long").alias("block"))
