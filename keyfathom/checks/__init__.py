@@ -5,5 +5,5 @@ from __future__ import annotations
 
 def all_queries() -> tuple[dict, dict]:
     """(queries, SQL) by name."""
-    from keyfathom.checks import base, detection, inventory  # noqa: F401
+    from keyfathom.checks import activity, base, detection, inventory, supply  # noqa: F401
     return base.QUERIES, base.ORACLES

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfathom.checks.base import check
+from keyfathom.checks.base import check, quoted
 from keyfathom.checks.views import Inputs
+from keyfathom.dims import grades
 from keyfathom.operators import bom, explorer, gate, lifecycle, playbooks, reports
 from keyfathom.sinks import exports
 
@@ -453,7 +454,7 @@ _IN_TEST = "(repo_id % 3 = 0)"
 
 
 @check("false_positive_hints", f"""
-SELECT finding_id, CASE WHEN dead AND {_IN_TEST} THEN 0.85 WHEN dead THEN 0.75 WHEN {_IN_TEST} THEN 0.65 END AS ai_confidence,
+SELECT finding_id, CAST(CASE WHEN dead AND {_IN_TEST} THEN 0.85 WHEN dead THEN 0.75 WHEN {_IN_TEST} THEN 0.65 END AS DOUBLE) AS ai_confidence,
   CASE WHEN dead OR {_IN_TEST} THEN 'false_positive' END AS ai_label
 FROM (SELECT *, finding_id % 4 = 1 AS dead FROM findings_id_v) WHERE source_type = 'source_code'
 UNION ALL SELECT finding_id, NULL, NULL FROM findings_id_v WHERE source_type <> 'source_code'""")
@@ -534,10 +535,20 @@ def replaced_dependencies(i: Inputs) -> DataFrame:
     return table.groupBy("repo_id", "source_type").agg(F.count("*").alias("n"))
 
 
-@check("finding_playbooks", """
-SELECT f.finding_id, CASE f.algorithm WHEN 'DES' THEN 'CRITICAL' WHEN 'X25519' THEN 'MEDIUM' WHEN 'ECDSA' THEN 'HIGH' WHEN 'HARDCODED-KEY' THEN 'CRITICAL' END AS playbook_severity,
-  CASE f.algorithm WHEN 'DES' THEN 'low' WHEN 'X25519' THEN 'low' WHEN 'ECDSA' THEN 'medium' WHEN 'HARDCODED-KEY' THEN 'high' END AS migration_effort
-FROM findings_id_v f WHERE f.algorithm IN ('DES', 'X25519', 'ECDSA', 'HARDCODED-KEY', 'SLH-DSA')""")
+_PLAYBOOKS = ", ".join(f"({quoted(p[0])}, {quoted(p[2])}, {quoted(p[3])}, {quoted(','.join(p[5]))})" for p in grades.PLAYBOOKS)
+
+
+@check("finding_playbooks", f"""
+SELECT f.finding_id, p.severity AS playbook_severity, p.effort AS migration_effort, p.languages
+FROM findings_id_v f LEFT JOIN (VALUES {_PLAYBOOKS}) AS p(key, severity, effort, languages)
+  ON p.key = replace(upper(f.algorithm), ' ', '-')""")
 def finding_playbooks(i: Inputs) -> DataFrame:
-    rows = i.view("findings_id_v").where(F.col("algorithm").isin("DES", "X25519", "ECDSA", "HARDCODED-KEY", "SLH-DSA"))
-    return playbooks.attach(rows).select("finding_id", "playbook_severity", "migration_effort")
+    return playbooks.attach(i.view("findings_id_v")).select(
+        "finding_id", "playbook_severity", "migration_effort", F.array_join("playbook_languages", ",").alias("languages"))
+
+
+@check("playbooks_for_language", f"""
+SELECT f.finding_id, p.key AS playbook FROM findings_id_v f JOIN (VALUES {_PLAYBOOKS}) AS p(key, severity, effort, languages)
+  ON p.key = replace(upper(f.algorithm), ' ', '-') AND contains(p.languages, 'go')""")
+def playbooks_for_language(i: Inputs) -> DataFrame:
+    return playbooks.for_language(i.view("findings_id_v"), "Go").select("finding_id", playbooks.key_of(F.col("algorithm")).alias("playbook"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from functools import cache
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -175,7 +174,7 @@ class Inputs:
 
 def _bind(sql: str, words: set[str]) -> str:
     """Mark table names as the DataFrame arguments of ``spark.sql``."""
-    bound = sql
+    bound = sql.replace("{", "{{").replace("}", "}}")
     for table in TABLES:
         if table in words:
             bound = re.sub(rf"\b(FROM|JOIN)\s+{table}\b", rf"\1 {{{table}}} {table}", bound)
