@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyfathom.checks.base import check, quoted
@@ -11,6 +11,7 @@ from keyfathom.dims import grades, signals
 from keyfathom.dims.registry import REGISTRY
 from keyfathom.functions import paths, text
 from keyfathom.functions.patterns import spans_lines
+from keyfathom.functions.sqltext import literal
 from keyfathom.operators import agility, bom, detect, native, reports, secrets
 
 # RE2 has no lookahead; within one line this is the same condition.
@@ -65,13 +66,10 @@ def code_findings(i: Inputs) -> DataFrame:
 @check("code_findings_multiline", f"""
 SELECT DISTINCT doc_id, algorithm, CAST(line_number AS INT) AS line_number FROM ({_text_sql()})""")
 def code_findings_multiline(i: Inputs) -> DataFrame:
-    def named(algorithm: str, lines: Column) -> Column:
-        return F.transform(lines, lambda n: F.struct(F.lit(algorithm).alias("algorithm"), n.alias("line_number")))
-
-    ready = detect.prepare_text(i.files())
-    found = [named(a.name, text.multi_line_hits(p, F.col("content"), F.col("content_lower")))
+    parts = [f"transform({text.multi_line_hits(p)}, n -> named_struct('algorithm', {literal(a.name)}, 'line_number', n))"
              for a in REGISTRY for p in a.patterns if spans_lines(p)]
-    rows = ready.select("doc_id", F.array_distinct(F.concat(*found)).alias("hits"))
+    ready = detect.prepare_text(i.files())
+    rows = ready.select("doc_id", F.expr(f"array_distinct(concat({', '.join(parts)}))").alias("hits"))
     return detect.unnest(rows, ["doc_id"], "hits").select("doc_id", "algorithm", "line_number")
 
 
@@ -166,8 +164,7 @@ SELECT repo_id, CAST(least(CASE WHEN score <= 0 THEN 1 WHEN score <= 2 THEN 2 WH
 def agility_level(i: Inputs) -> DataFrame:
     files = i.files()
     found = detect.code_findings(files, context=False)
-    return agility.agility_levels(files.select("repo_id"), agility.agility_signals(files),
-                                  agility.hybrid_signals(files), found).select(
+    return agility.agility_levels(files.select("repo_id"), agility.signal_rows(files), found).select(
         "repo_id", "agility_level", "agility_score", "has_hybrid", "critical_count")
 
 

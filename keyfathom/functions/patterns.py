@@ -43,8 +43,11 @@ def alternatives(pattern: str) -> list[str]:
     return parts
 
 
-def required_runs(pattern: str) -> list[str]:
-    """Lower-cased literal runs every match of an alternation-free pattern contains."""
+def required_runs(pattern: str, fold: bool = True) -> list[str]:
+    """Literal runs every match of an alternation-free pattern contains.
+
+    Lower-cased unless the pattern is to be matched case-sensitively.
+    """
     runs: list[str] = []
     run = ""
     i = 0
@@ -52,7 +55,7 @@ def required_runs(pattern: str) -> list[str]:
     def close() -> None:
         nonlocal run
         if run:
-            runs.append(run.lower())
+            runs.append(run.lower() if fold else run)
         run = ""
 
     while i < len(pattern):
@@ -105,14 +108,35 @@ def _separators(pattern: str) -> list[str]:
     return [pattern.replace("[-_]?", sep) for sep in ("", "-", "_")]
 
 
-def guard_tokens(patterns: list[str], min_length: int = 4) -> list[str]:
+def _expanded(pattern: str, fold: bool) -> list[list[str]]:
+    """Required runs of each way to match; a group that is all there is gets opened."""
+    found = []
+    for alternative in alternatives(pattern):
+        for spelled in _separators(alternative):
+            runs = required_runs(spelled, fold)
+            group = re.fullmatch(r"((?:\\b)?)\((?:\?:)?(.*)\)((?:\\b)?)", spelled)
+            if not runs and group:
+                found += [required_runs(inner, fold) for inner in alternatives(group[2])]
+            else:
+                found.append(runs)
+    return found
+
+
+def _common_part(a: str, b: str) -> str:
+    """Longest substring of both."""
+    return max((a[i:j] for i in range(len(a)) for j in range(i + 1, len(a) + 1) if a[i:j] in b),
+               key=len, default="")
+
+
+def guard_tokens(patterns: list[str], fold: bool = True, min_length: int = 4, share: int = 5) -> list[str]:
     """A short list of substrings; a match of any pattern contains at least one.
 
     Greedy cover: a token serves every pattern one of whose required runs
     contains it.  Tokens shorter than ``min_length`` are used only for patterns
     that offer nothing longer, since short ones are found in ordinary prose.
+    Tokens with ``share`` or more characters in common become that common part.
     """
-    needs = [required_runs(v) for p in patterns for alt in alternatives(p) for v in _separators(alt)]
+    needs = [runs for p in patterns for runs in _expanded(p, fold)]
     if any(not runs for runs in needs):
         raise ValueError("a pattern without required text cannot be guarded")
     tokens = {max(runs, key=len) for runs in needs if max(map(len, runs)) < min_length}
@@ -124,7 +148,20 @@ def guard_tokens(patterns: list[str], min_length: int = 4) -> list[str]:
         candidates = sorted({r for runs in open_needs for r in runs if len(r) >= min_length})
         tokens.add(max(candidates, key=lambda c: (
             sum(any(c in r for r in runs) for runs in open_needs), len(c))))
-    return sorted(tokens)
+    return shared_tokens(tokens, share)
+
+
+def shared_tokens(tokens: set[str], share: int = 5) -> list[str]:
+    """Tokens with pairs replaced by their common part, if that is long and most of both."""
+    merged = set(tokens)
+    while True:
+        pairs = [(a, b, _common_part(a, b)) for a in sorted(merged) for b in sorted(merged) if a < b]
+        pairs = [p for p in pairs if p[2] in p[:2] or (
+            len(p[2]) >= share and 2 * len(p[2]) >= max(len(p[0]), len(p[1])))]
+        if not pairs:
+            return sorted(merged)
+        a, b, part = max(pairs, key=lambda p: (len(p[2]), p))
+        merged = (merged - {a, b}) | {part}
 
 
 def any_of(patterns: list[str]) -> str:

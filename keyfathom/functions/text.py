@@ -1,20 +1,28 @@
-"""Column expressions over source text.
+"""Expressions over source text.
 
 Everything here works inside one row (one file), so a corpus is scanned by a
-single map stage: no line explosion before matching and no shuffle.
+single map stage: no line explosion before matching and no shuffle.  Matching
+expressions are SQL text over these columns, which :func:`with_lines` adds:
+
+``content``  the text, free of the match mark
+``lower``    the same in lower case
+``present``  those guard tokens that occur in it
+``lines``    structs (t = line, l = line in lower case); null without any token
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfathom.functions.patterns import FLAGS, any_of, guard_tokens, required_runs, spans_lines
+from keyfathom.functions.sqltext import literal
 
 _MARK = "\u0001"  # put in front of matches; swapped for \u0002 where text has it
 _MARK_STAND_IN = "\u0002"
+_NO_LINES = "CAST(array() AS array<int>)"
 
 
 def decode_text(content: Column) -> Column:
@@ -36,78 +44,77 @@ def without_last_newline(text: Column) -> Column:
     return F.regexp_replace(text, "\n\\z", "")
 
 
-def any_contains(text: Column, tokens: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in tokens])
-
-
-def all_contain(text: Column, tokens: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.contains(text, F.lit(t)) for t in tokens])
-
+def markable(text: Column) -> Column:
+    """Text free of the match mark; both characters look the same to every pattern."""
+    marked = F.contains(text, F.lit(_MARK))
+    return F.when(marked, F.translate(text, _MARK, _MARK_STAND_IN)).otherwise(text)
 
-def _no_lines() -> Column:
-    return F.array().cast("array<int>")
 
+def with_lines(files: DataFrame, tokens: Iterable[str]) -> DataFrame:
+    """Add the columns matching works on; each token is looked for once per file."""
+    ready = files.withColumn("content", markable(unify_newlines(F.col("content"))))
+    ready = ready.withColumn("lower", F.lower("content"))
+    found = ", ".join(f"CASE WHEN contains(lower, {literal(t)}) THEN {literal(t)} END" for t in tokens)
+    ready = ready.withColumn("present", F.expr(f"array_compact(array({found}))"))
+    return ready.withColumn("lines", F.expr(
+        "CASE WHEN size(present) > 0 THEN "
+        "transform(split(content, '\\n', -1), x -> named_struct('t', x, 'l', lower(x))) END"))
 
-def _guard(found: Column, condition: Column, guarded: bool) -> Column:
-    return F.when(condition, found).otherwise(_no_lines()) if guarded else found
 
+def _has_any(column: str, tokens: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({column}, {literal(t)})" for t in tokens) + ")"
 
-def single_line_hits(patterns: list[str], lines: Column, lower_text: Column,
-                     exclude: str | None = None, guarded: bool = True) -> Column:
-    """Numbers (from 1) of the lines any of the newline-free patterns matches.
 
-    ``lines`` is an array of structs (t = line, l = lower-cased line).
-    """
-    regex = any_of(patterns)
-    tokens = guard_tokens(patterns)
+def _guard(found: str, condition: str, guarded: bool) -> str:
+    return f"(CASE WHEN {condition} THEN {found} ELSE {_NO_LINES} END)" if guarded else found
 
-    def number(line: Column, i: Column) -> Column:
-        hit = line["t"].rlike(regex)
-        if guarded:
-            hit = any_contains(line["l"], tokens) & hit
-        if exclude:
-            hit = hit & ~line["t"].rlike(FLAGS + exclude)
-        return F.when(hit, i + 1)
 
-    found = F.array_compact(F.transform(lines, number))
-    return _guard(found, any_contains(lower_text, tokens), guarded)
+def _any_present(tokens: list[str]) -> str:
+    return f"arrays_overlap(present, {literal(tokens)})"
 
 
-def match_lines(regex: str, text: Column) -> Column:
-    """Numbers of the lines on which a match starts, see :func:`multi_line_hits`."""
-    marked = F.regexp_replace(text, regex, _MARK + "$0")
-    return F.array_compact(F.transform(
-        split_lines(marked), lambda line, i: F.when(F.contains(line, F.lit(_MARK)), i + 1)))
+def single_line_hits(patterns: list[str], exclude: str | None = None, guarded: bool = True) -> str:
+    """Numbers (from 1) of the lines any of the newline-free patterns matches."""
+    tokens = guard_tokens(patterns)
+    test = f"x.t RLIKE {literal(any_of(patterns))}"
+    if guarded:
+        test = f"{_has_any('x.l', tokens)} AND {test}"
+    if exclude:
+        test += f" AND NOT x.t RLIKE {literal(FLAGS + exclude)}"
+    found = f"array_compact(transform(lines, (x, i) -> CASE WHEN {test} THEN i + 1 END))"
+    return _guard(found, _any_present(tokens), guarded)
 
 
-def multi_line_hits(pattern: str, text: Column, lower_text: Column, guarded: bool = True) -> Column:
-    """Numbers of the lines on which a match of ``pattern`` starts.
+def match_lines(regex: str, column: str = "content") -> str:
+    """Numbers of the lines on which a match starts.
 
     Matches may run over several lines, so the whole text is searched.  A mark
     is put in front of every match; the lines holding a mark are the answer.
-    ``text`` must not contain the mark itself, see :func:`markable`.
     """
-    found = match_lines(FLAGS + pattern, text)
-    rarest_first = sorted(required_runs(pattern), key=len, reverse=True)
-    return _guard(found, all_contain(lower_text, rarest_first), guarded)
+    marked = f"regexp_replace({column}, {literal(regex)}, '{_MARK}$0')"
+    return (f"array_compact(transform(split({marked}, '\\n', -1), "
+            f"(x, i) -> CASE WHEN contains(x, '{_MARK}') THEN i + 1 END))")
 
 
-def markable(text: Column) -> Column:
-    """Text free of the match mark; both characters look the same to every pattern."""
-    marked = F.contains(text, F.lit(_MARK))
-    return F.when(marked, F.translate(text, _MARK, _MARK_STAND_IN)).otherwise(text)
+def multi_line_hits(pattern: str, guarded: bool = True) -> str:
+    """:func:`match_lines` of one pattern, for files that have all it needs."""
+    rarest_first = sorted(required_runs(pattern), key=len, reverse=True)
+    needed = " AND ".join(f"contains(lower, {literal(t)})" for t in rarest_first)
+    return _guard(match_lines(FLAGS + pattern), needed, guarded)
 
 
-def hit_lines(patterns: list[str], text: Column, lines: Column, lower_text: Column,
-              guarded: bool = True) -> Column:
+def hit_lines(patterns: list[str], guarded: bool = True) -> str:
     """Distinct line numbers on which a match of any pattern starts."""
     flat = [p for p in patterns if not spans_lines(p)]
-    parts = [single_line_hits(flat, lines, lower_text, guarded=guarded)] if flat else []
-    parts += [multi_line_hits(p, text, lower_text, guarded) for p in patterns if spans_lines(p)]
-    if len(parts) == 1:
-        return parts[0]
-    return _guard(F.array_distinct(F.concat(*parts)),
-                  any_contains(lower_text, guard_tokens(patterns)), guarded)
+    parts = [single_line_hits(flat, guarded=guarded)] if flat else []
+    parts += [multi_line_hits(p, guarded) for p in patterns if spans_lines(p)]
+    found = parts[0] if len(parts) == 1 else f"array_distinct(concat({', '.join(parts)}))"
+    return _guard(found, _any_present(guard_tokens(patterns)), guarded)
+
+
+def all_tokens(pattern_lists: list[list[str]]) -> list[str]:
+    """Tokens that guard any of several pattern lists, each once."""
+    return sorted({t for patterns in pattern_lists for t in guard_tokens(patterns)})
 
 
 def window_of_lines(lines: Column, first: Column, last: Column) -> Column:

@@ -12,43 +12,48 @@ from pyspark.sql import functions as F
 from keyfathom.dims import signals
 from keyfathom.functions import paths, text
 from keyfathom.functions.grades import lookup
-from keyfathom.operators.detect import prepare_text
+from keyfathom.functions.sqltext import literal
 
 CONTEXT_CHARS = 300
 
 
-def _first_signal(pattern: str, description: str, weight: int | None, exclude: str | None) -> Column:
-    hits = text.single_line_hits([pattern], F.col("lines"), F.col("content_lower"), exclude)
-    fields = [F.lit(description).alias("description"), F.lit(weight or 0).alias("weight")]
-    return F.transform(F.slice(hits, 1, 1), lambda n: F.struct(*fields, n.alias("line_number")))
+def _first_hit(kind: str, pattern: str, description: str, weight: int, exclude: str | None) -> str:
+    hits = text.single_line_hits([pattern], exclude)
+    return (f"transform(slice({hits}, 1, 1), n -> named_struct('kind', {literal(kind)}, "
+            f"'description', {literal(description)}, 'weight', {weight}, 'line_number', n))")
 
 
-def _signals(files: DataFrame, found: Column) -> DataFrame:
-    production = files.where(~paths.is_test_path(F.col("file_path"))
-                             & ~paths.is_vendor_path(F.col("file_path")))
-    ready = prepare_text(production).select("repo_id", "file_path", "content", found.alias("found"))
-    ready = ready.where(F.size("found") > 0)
+def is_production(path: Column) -> Column:
+    return ~paths.is_test_path(path) & ~paths.is_vendor_path(path)
+
+
+def signal_rows(files: DataFrame) -> DataFrame:
+    """(repo_id, file_path, kind, description, weight, line_number, context).
+
+    ``kind`` is agility for signals that carry a weight and hybrid for signs of
+    classical and post-quantum cryptography side by side; one pass finds both.
+    """
+    parts = [_first_hit("agility", p, d, w, signals.NON_CRYPTO_LINE) for p, w, d in signals.AGILITY_SIGNALS]
+    parts += [_first_hit("hybrid", p, d, 0, None) for p, d in signals.HYBRID_SIGNALS]
+    patterns = [[row[0]] for row in [*signals.AGILITY_SIGNALS, *signals.HYBRID_SIGNALS]]
+    ready = text.with_lines(files.where(is_production(F.col("file_path"))), text.all_tokens(patterns))
     shown = text.split_lines(text.without_last_newline(F.col("content")))
-    ready = ready.select("repo_id", "file_path", "found", shown.alias("shown"))
+    ready = ready.select("repo_id", "file_path", shown.alias("shown"), F.expr(f"concat({', '.join(parts)})").alias("found"))
     with_context = F.transform("found", lambda s: F.struct(
-        s["description"].alias("description"), s["weight"].alias("weight"),
+        s["kind"].alias("kind"), s["description"].alias("description"), s["weight"].alias("weight"),
         s["line_number"].alias("line_number"),
         F.left(text.window_of_lines(F.col("shown"), s["line_number"] - 1, s["line_number"] + 2),
                F.lit(CONTEXT_CHARS)).alias("context")))
-    return ready.select("repo_id", "file_path", F.inline(with_context))
+    opened = ready.select("repo_id", "file_path", F.inline_outer(with_context))
+    return opened.where(F.col("kind").isNotNull())
 
 
 def agility_signals(files: DataFrame) -> DataFrame:
-    """(repo_id, file_path, description, weight, line_number, context)."""
-    found = F.concat(*[_first_signal(p, d, w, signals.NON_CRYPTO_LINE)
-                       for p, w, d in signals.AGILITY_SIGNALS])
-    return _signals(files, found)
+    return signal_rows(files).where(F.col("kind") == "agility").drop("kind")
 
 
 def hybrid_signals(files: DataFrame) -> DataFrame:
-    """Signs of classical and post-quantum cryptography used side by side."""
-    found = F.concat(*[_first_signal(p, d, None, None) for p, d in signals.HYBRID_SIGNALS])
-    return _signals(files, found).drop("weight")
+    return signal_rows(files).where(F.col("kind") == "hybrid").drop("kind", "weight")
 
 
 def _level_of(score: Column) -> Column:
@@ -56,23 +61,21 @@ def _level_of(score: Column) -> Column:
             .when(score <= 7, 4).otherwise(5))
 
 
-def agility_levels(repos: DataFrame, signal_rows: DataFrame, hybrid_rows: DataFrame,
-                   findings: DataFrame) -> DataFrame:
+def agility_levels(repos: DataFrame, found: DataFrame, findings: DataFrame) -> DataFrame:
     """Score and level of every repository in ``repos(repo_id)``.
 
-    All three inputs are reduced to one row per repository before they meet.
+    ``found`` comes from :func:`signal_rows`.  Both inputs are reduced to one
+    row per repository before they meet.
     """
-    scored = signal_rows.groupBy("repo_id").agg(
+    scored = found.groupBy("repo_id").agg(
         F.sum("weight").alias("raw_score"),
         F.bool_or(F.col("description") == signals.KEY_ANCHOR).alias("key_anchor"),
-        F.bool_or(F.col("description") == signals.WEAK_RSA_ANCHOR).alias("rsa_anchor"))
-    hybrid = hybrid_rows.groupBy("repo_id").agg(F.lit(True).alias("has_hybrid"))
-    production = ~paths.is_test_path(F.col("file_path")) & ~paths.is_vendor_path(F.col("file_path"))
-    critical = (findings.where((F.col("risk_level") == "CRITICAL") & production)
+        F.bool_or(F.col("description") == signals.WEAK_RSA_ANCHOR).alias("rsa_anchor"),
+        F.bool_or(F.col("kind") == "hybrid").alias("has_hybrid"))
+    critical = (findings.where((F.col("risk_level") == "CRITICAL") & is_production(F.col("file_path")))
                 .groupBy("repo_id").agg(F.count("*").alias("critical_count")))
     joined = (repos.select("repo_id").distinct()
-              .join(scored, "repo_id", "left").join(hybrid, "repo_id", "left")
-              .join(critical, "repo_id", "left")
+              .join(scored, "repo_id", "left").join(critical, "repo_id", "left")
               .na.fill(0, ["raw_score", "critical_count"])
               .na.fill(False, ["key_anchor", "rsa_anchor", "has_hybrid"]))
     anchored = (F.when(F.col("key_anchor"), F.least(F.col("raw_score"), F.lit(0)))
@@ -81,8 +84,7 @@ def agility_levels(repos: DataFrame, signal_rows: DataFrame, hybrid_rows: DataFr
     score = F.when(F.col("has_hybrid"), F.greatest(anchored, F.lit(3))).otherwise(anchored)
     cap = F.when(F.col("critical_count") >= 10, 2).when(F.col("critical_count") >= 1, 3).otherwise(5)
     graded = joined.select("repo_id", "has_hybrid", "critical_count", score.alias("agility_score"))
-    raw_level = _level_of(F.col("agility_score"))
-    graded = graded.withColumn("raw_level", raw_level).withColumn(
+    graded = graded.withColumn("raw_level", _level_of(F.col("agility_score"))).withColumn(
         "agility_level", F.least(F.col("raw_level"), cap))
     label = lookup(F.col("agility_level"), signals.AGILITY_LABELS)
     notice = F.when(F.col("agility_level") < F.col("raw_level"), F.concat(

@@ -121,7 +121,7 @@ def _by_pattern(files: DataFrame, suffix: str, pattern: str, max_bytes: int | No
     rows = chosen.withColumns({
         "lines": text.split_lines(text.without_last_newline(F.col("content"))),
         "names": F.regexp_extract_all("content", F.lit(full), F.lit(1)),
-        "starts": text.match_lines(full, F.col("content"))})
+        "starts": F.expr(text.match_lines(full))})
     ends = F.transform("starts", lambda s, i: F.coalesce(
         F.get(F.col("starts"), i + 1) - 1, F.size("lines")))
     rows = rows.withColumn("spans", F.arrays_zip(

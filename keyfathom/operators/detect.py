@@ -7,30 +7,33 @@ the hits leave it.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfathom.dims import signals
-from keyfathom.dims.registry import REGISTRY, Algorithm
+from keyfathom.dims.registry import REGISTRY
 from keyfathom.functions import paths, text
 from keyfathom.functions.grades import registry_field
+from keyfathom.functions.patterns import spans_lines
+from keyfathom.functions.sqltext import literal
 
 LINES_BEFORE = 9
 LINES_AFTER = 11
 FILE_KEYS = ["repo_id", "file_path"]
 
 
-def prepare_text(files: DataFrame) -> DataFrame:
-    """Add what matching needs: marked-safe text, its lower case and its lines.
+@cache
+def registry_tokens() -> tuple[str, ...]:
+    """Tokens that guard the registry's pattern lists, in whole and newline-free part."""
+    flat = [[p for p in a.patterns if not spans_lines(p)] for a in REGISTRY]
+    return tuple(text.all_tokens([a.patterns for a in REGISTRY] + [f for f in flat if f]))
 
-    Line structs hold the line and its lower-cased form, so that guards do not
-    lower a line once per algorithm.
-    """
-    ready = files.withColumn("content", text.markable(text.unify_newlines(F.col("content"))))
-    ready = ready.withColumn("content_lower", F.lower("content"))
-    return ready.withColumn("lines", F.transform(
-        text.split_lines(F.col("content")),
-        lambda line: F.struct(line.alias("t"), F.lower(line).alias("l"))))
+
+def prepare_text(files: DataFrame, guarded: bool = True) -> DataFrame:
+    """Add what matching the registry needs, see :mod:`keyfathom.functions.text`."""
+    return text.with_lines(files, registry_tokens() if guarded else ("",))
 
 
 def unnest(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -44,16 +47,16 @@ def unnest(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     return opened.where(F.col(first).isNotNull())
 
 
-def _hits_of(algorithm: Algorithm, guarded: bool) -> Column:
-    numbers = text.hit_lines(algorithm.patterns, F.col("content"), F.col("lines"),
-                             F.col("content_lower"), guarded)
-    return F.transform(numbers, lambda n: F.struct(
-        F.lit(algorithm.name).alias("algorithm"), n.alias("line_number")))
+@cache
+def _hits_sql(guarded: bool) -> str:
+    parts = [f"transform({text.hit_lines(a.patterns, guarded)}, "
+             f"n -> named_struct('algorithm', {literal(a.name)}, 'line_number', n))" for a in REGISTRY]
+    return f"concat({', '.join(parts)})"
 
 
 def hit_array(guarded: bool = True) -> Column:
     """All (algorithm, line_number) hits of the file in this row."""
-    return F.concat(*[_hits_of(a, guarded) for a in REGISTRY])
+    return F.expr(_hits_sql(guarded))
 
 
 def _context(shown: Column, line_number: Column) -> Column:
@@ -85,7 +88,7 @@ def describe(hits: DataFrame) -> DataFrame:
 
 def code_hits(files: DataFrame, keys: list[str] = FILE_KEYS, guarded: bool = True) -> DataFrame:
     """(keys, algorithm, line_number), one row per file, algorithm and line."""
-    return unnest(prepare_text(files).select(*keys, hit_array(guarded).alias("hits")), keys, "hits")
+    return unnest(prepare_text(files, guarded).select(*keys, hit_array(guarded).alias("hits")), keys, "hits")
 
 
 def code_findings(files: DataFrame, keys: list[str] = FILE_KEYS, context: bool = True,
@@ -94,7 +97,7 @@ def code_findings(files: DataFrame, keys: list[str] = FILE_KEYS, context: bool =
     if not context:
         return describe(code_hits(files, keys, guarded))
     shown = text.split_lines(text.without_last_newline(F.col("content")))
-    ready = prepare_text(files).select(*keys, shown.alias("shown"), hit_array(guarded).alias("hits"))
+    ready = prepare_text(files, guarded).select(*keys, shown.alias("shown"), hit_array(guarded).alias("hits"))
     ready = ready.select(*keys, with_context(F.col("hits"), F.col("shown")).alias("hits"))
     return describe(unnest(ready, keys, "hits"))
 

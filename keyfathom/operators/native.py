@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from keyfathom.dims import grades
 from keyfathom.functions.groups import first_per
+from keyfathom.functions.patterns import guard_tokens
+from keyfathom.functions.sqltext import literal
 
 _PRINTABLE = r"[\x20-\x7e]{6,}"
 
@@ -22,16 +24,17 @@ def symbol_hits(members: DataFrame, text_column: str = "text") -> DataFrame:
     keys = [c for c in members.columns if c != text_column]
     found = []
     for i, (pattern, algorithm, kind, risk, status, replacement) in enumerate(grades.NATIVE_SYMBOLS):
-        symbol = F.regexp_extract(text_column, f"({pattern})", 1)
-        found.append(F.when(symbol != "", F.struct(
-            F.lit(algorithm).alias("algorithm"), symbol.alias("symbol"), F.lit(i).alias("ord"),
-            F.lit(kind).alias("algo_type"), F.lit(risk).alias("risk_level"),
-            F.lit(status).alias("quantum_status"), F.lit(replacement).alias("nist_replacement"))))
-    hits = F.array_compact(F.array(*found))
+        needed = " OR ".join(f"contains({text_column}, {literal(t)})" for t in guard_tokens([pattern], fold=False))
+        symbol = f"regexp_extract({text_column}, {literal(f'({pattern})')}, 1)"
+        hit = (f"named_struct('algorithm', {literal(algorithm)}, 'symbol', {symbol}, 'ord', {i}, 'algo_type', {literal(kind)}, "
+               f"'risk_level', {literal(risk)}, 'quantum_status', {literal(status)}, 'nist_replacement', {literal(replacement)})")
+        found.append(f"CASE WHEN {needed} THEN {hit} END")
+    hits = F.filter(F.array_compact(F.expr(f"array({', '.join(found)})")), lambda h: h["symbol"] != "")
     # an earlier pattern of the same algorithm in the same row wins
-    firsts = F.filter(hits, lambda h, i: ~F.exists(
-        F.slice(hits, F.lit(1), i), lambda e: e["algorithm"] == h["algorithm"]))
-    opened = members.select(*keys, F.inline_outer(firsts)).where(F.col("algorithm").isNotNull())
+    firsts = F.filter("_hits", lambda h, i: ~F.exists(
+        F.slice("_hits", F.lit(1), i), lambda e: e["algorithm"] == h["algorithm"]))
+    rows = members.select(*keys, hits.alias("_hits"))
+    opened = rows.select(*keys, F.inline_outer(firsts)).where(F.col("algorithm").isNotNull())
     return opened.withColumn("quantum_safe", F.lit(False))
 
 

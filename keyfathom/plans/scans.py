@@ -42,8 +42,7 @@ def scan_repositories(files: DataFrame, reachability: bool = True,
         found = dependencies.advisory_findings(packages, advisories)
         deps = deps.unionByName(found, allowMissingColumns=True)
     hidden = secrets.find(files)
-    levels = agility.agility_levels(files.select("repo_id").distinct(), agility.agility_signals(sources),
-                                    agility.hybrid_signals(sources), code)
+    levels = agility.agility_levels(files.select("repo_id").distinct(), agility.signal_rows(sources), code)
     annotated = code
     if reachability:
         extracted = callgraph.extract(sources).checkpoint()

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keyfathom.functions.sqltext import literal
+
 
 def local_session(cpus: int | str = 8, app: str = "keyfathom", **conf: str) -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own."""
@@ -55,23 +57,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def _literal(value: object) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, (int, float)):
-        return repr(value)
-    if isinstance(value, (list, tuple)):
-        return "array(" + ", ".join(_literal(v) for v in value) + ")"
-    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
-    return f"'{text}'"
-
-
 def small_table(spark: SparkSession, rows: Iterable[Sequence[object]], columns: Sequence[str]) -> DataFrame:
     """A fixed dimension as an inline table, which Catalyst folds and broadcasts.
 
     Only for the built-in tables of ``keyfathom.dims`` (tens of rows).
     """
-    values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
