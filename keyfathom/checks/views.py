@@ -100,9 +100,10 @@ SELECT p_partkey AS func_id, concat('src/f', p_partkey % 40, '.py') AS file_path
   p_partkey % 1000 = 0 AS is_entry
 FROM part""",
     "calls_v": """
-SELECT p_partkey AS caller_id, concat('fn', (p_partkey * 2 + k.d) % 700) AS callee_name
-FROM part CROSS JOIN (SELECT * FROM (VALUES (1),(2)) AS t(d)) k
-WHERE p_partkey % 5 <> 4 AND p_partkey % 7 <> 3""",
+SELECT p_partkey AS caller_id, concat('fn', (p_partkey * 2 + 1) % 700) AS callee_name
+FROM part WHERE p_partkey % 5 <> 4 AND p_partkey % 7 <> 3
+UNION ALL SELECT p_partkey AS caller_id, concat('fn', (p_partkey * 2 + 2) % 700) AS callee_name
+FROM part WHERE p_partkey % 5 <> 4 AND p_partkey % 7 <> 3""",
     "tls_v": """
 SELECT o_orderkey AS finding_id, concat('https://h', o_custkey, '.example.com', CASE WHEN o_custkey % 3 = 0 THEN ':8443/x' ELSE '/' END) AS endpoint_raw,
   CASE o_orderkey % 5 WHEN 0 THEN 'TLSv1' WHEN 1 THEN 'TLSv1.1' WHEN 2 THEN 'TLSv1.2' WHEN 3 THEN 'TLSv1.3' ELSE 'SSLv3' END AS tls_version,

@@ -13,6 +13,7 @@ from keyfathom.dims import signals
 from keyfathom.functions import paths, text
 from keyfathom.functions.grades import lookup
 from keyfathom.functions.sqltext import literal
+from keyfathom.operators.detect import unnest
 
 CONTEXT_CHARS = 300
 
@@ -27,25 +28,37 @@ def is_production(path: Column) -> Column:
     return ~paths.is_test_path(path) & ~paths.is_vendor_path(path)
 
 
+def signal_tokens() -> list[str]:
+    return text.all_tokens([[row[0]] for row in [*signals.AGILITY_SIGNALS, *signals.HYBRID_SIGNALS]])
+
+
+def signal_array() -> Column:
+    """Signals of the file in this row, prepared by :func:`text.with_lines`."""
+    parts = [_first_hit("agility", p, d, w, signals.NON_CRYPTO_LINE) for p, w, d in signals.AGILITY_SIGNALS]
+    parts += [_first_hit("hybrid", p, d, 0, None) for p, d in signals.HYBRID_SIGNALS]
+    return F.expr(f"concat({', '.join(parts)})")
+
+
+def signal_context(found: str, shown: str) -> Column:
+    """The same with the source lines around each signal."""
+    return F.transform(found, lambda s: F.struct(
+        s["kind"].alias("kind"), s["description"].alias("description"), s["weight"].alias("weight"),
+        s["line_number"].alias("line_number"),
+        F.left(text.window_of_lines(F.col(shown), s["line_number"] - 1, s["line_number"] + 2),
+               F.lit(CONTEXT_CHARS)).alias("context")))
+
+
 def signal_rows(files: DataFrame) -> DataFrame:
     """(repo_id, file_path, kind, description, weight, line_number, context).
 
     ``kind`` is agility for signals that carry a weight and hybrid for signs of
     classical and post-quantum cryptography side by side; one pass finds both.
     """
-    parts = [_first_hit("agility", p, d, w, signals.NON_CRYPTO_LINE) for p, w, d in signals.AGILITY_SIGNALS]
-    parts += [_first_hit("hybrid", p, d, 0, None) for p, d in signals.HYBRID_SIGNALS]
-    patterns = [[row[0]] for row in [*signals.AGILITY_SIGNALS, *signals.HYBRID_SIGNALS]]
-    ready = text.with_lines(files.where(is_production(F.col("file_path"))), text.all_tokens(patterns))
+    ready = text.with_lines(files.where(is_production(F.col("file_path"))), signal_tokens())
     shown = text.split_lines(text.without_last_newline(F.col("content")))
-    ready = ready.select("repo_id", "file_path", shown.alias("shown"), F.expr(f"concat({', '.join(parts)})").alias("found"))
-    with_context = F.transform("found", lambda s: F.struct(
-        s["kind"].alias("kind"), s["description"].alias("description"), s["weight"].alias("weight"),
-        s["line_number"].alias("line_number"),
-        F.left(text.window_of_lines(F.col("shown"), s["line_number"] - 1, s["line_number"] + 2),
-               F.lit(CONTEXT_CHARS)).alias("context")))
-    opened = ready.select("repo_id", "file_path", F.inline_outer(with_context))
-    return opened.where(F.col("kind").isNotNull())
+    ready = ready.select("repo_id", "file_path", shown.alias("shown"), signal_array().alias("found"))
+    ready = ready.select("repo_id", "file_path", signal_context("found", "shown").alias("found"))
+    return unnest(ready, ["repo_id", "file_path"], "found")
 
 
 def agility_signals(files: DataFrame) -> DataFrame:

@@ -14,6 +14,14 @@ from keyfathom.functions import grades as g
 from keyfathom.operators.bom import reportable
 
 
+def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
+    """Several one-row results as one row: stacked, then folded, so nothing is joined."""
+    stacked = one_row_frames[0]
+    for frame in one_row_frames[1:]:
+        stacked = stacked.unionByName(frame, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def count_if(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
@@ -45,7 +53,7 @@ def top_algorithms(findings: DataFrame, n: int = 10) -> DataFrame:
 
 def dashboard(findings: DataFrame, repos: DataFrame, scan_runs: DataFrame, cbom: DataFrame,
               artifacts: DataFrame) -> DataFrame:
-    """One row of portfolio numbers: one pass over each input, then joined by row."""
+    """One row of portfolio numbers, with one pass over each input."""
     source = F.col("source_type") == "source_code"
     f = findings.where(~F.col("archived")).agg(
         F.count("*").alias("total_findings"),
@@ -62,7 +70,7 @@ def dashboard(findings: DataFrame, repos: DataFrame, scan_runs: DataFrame, cbom:
     c = cbom.agg(F.count("*").alias("cbom_entries"))
     done = artifacts.where(F.col("scan_status") == "complete")
     a = done.agg(F.countDistinct("repo_id").alias("artifact_repos"), F.count("*").alias("total_artifacts"))
-    one = f.crossJoin(r).crossJoin(s).crossJoin(c).crossJoin(a)  # five one-row results
+    one = side_by_side(f, r, s, c, a)
     zero = {k: F.coalesce(k, F.lit(0)) for k in (
         "vulnerable", "broken", "safe", "artifact_findings", "source_findings",
         "call_graph_analyzed", "unreachable_findings", "critical_repos")}
@@ -119,9 +127,8 @@ def blast_totals(radius: DataFrame, cbom: DataFrame, algorithm: str) -> DataFram
     totals = radius.agg(F.count("*").alias("total_repos"),
                         F.coalesce(F.sum("finding_count"), F.lit(0)).alias("total_findings"))
     entry = cbom.where(F.col("algorithm") == algorithm).select(
-        F.lit(1).alias("_k"), "quantum_status", "nist_replacement", "algo_type")
-    return (totals.withColumn("_k", F.lit(1)).join(entry, "_k", "left").drop("_k")
-            .withColumn("algorithm", F.lit(algorithm)))
+        "quantum_status", "nist_replacement", "algo_type")
+    return side_by_side(totals, entry).withColumn("algorithm", F.lit(algorithm))
 
 
 def migration_stats(findings: DataFrame, repo_id: object = None) -> DataFrame:
@@ -191,7 +198,7 @@ def cve_stats(findings: DataFrame, cves: DataFrame) -> DataFrame:
     coverage = _dependencies(findings).select("finding_id").join(with_cve, "finding_id", "left").agg(
         F.count("*").alias("dependency_findings_total"),
         F.count("_cve").alias("dependency_findings_with_cve"))
-    return records.crossJoin(coverage).select(  # two one-row results
+    return side_by_side(records, coverage).select(
         "*", g.percent(F.col("dependency_findings_with_cve"),
                        F.col("dependency_findings_total")).alias("coverage_pct"))
 

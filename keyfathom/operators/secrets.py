@@ -96,8 +96,8 @@ def _graded(field: int) -> Column:
     return lookup(F.col("grade"), {k: v[field] for k, v in GRADES.items()})
 
 
-def find(files: DataFrame, keys: list[str] = ["repo_id", "file_path"]) -> DataFrame:
-    """Graded secrets, one per line that shows one."""
+def secret_array() -> Column:
+    """Secrets of the file in this row (file_path, content), null or empty for none."""
     name = paths.basename(F.col("file_path"))
     is_ssh_config = name.isin("sshd_config", "ssh_config")
     lines = text.split_lines(text.unify_newlines(F.col("content")))
@@ -110,8 +110,17 @@ def find(files: DataFrame, keys: list[str] = ["repo_id", "file_path"]) -> DataFr
     numbered = F.filter(F.transform(lines, lambda line, i: F.struct(
         (i + 1).alias("line_number"), hit(line).alias("hit"), F.left(F.trim(line), F.lit(200)).alias("context"))),
         lambda h: h["hit"].isNotNull())
-    rows = files.select(*keys, F.when(has_key | is_ssh_config, numbered).alias("hits"))
-    opened = rows.select(*keys, F.inline_outer("hits")).where(F.col("line_number").isNotNull())
+    return F.when(has_key | is_ssh_config, numbered)
+
+
+def find(files: DataFrame, keys: list[str] = ["repo_id", "file_path"]) -> DataFrame:
+    """Graded secrets, one per line that shows one."""
+    return graded(files.select(*keys, secret_array().alias("hits")), keys)
+
+
+def graded(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and grades of the secrets in a ``hits`` column."""
+    opened = found.select(*keys, F.inline_outer("hits")).where(F.col("line_number").isNotNull())
     opened = opened.select(*keys, "line_number", "hit.*", "context")
     opened = opened.withColumn("grade", grade(F.col("finding_type"), F.col("algorithm"),
                                               F.col("key_size"), F.col("config_value")))

@@ -7,12 +7,35 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyfathom.functions import paths, text
 from keyfathom.operators import (agility, callgraph, dependencies, detect, lifecycle, manifests, native, reports,
                                  secrets)
 from keyfathom.session import checkpoint_dir
 from keyfathom.sources import archives
 
 
+KEYS = ["repo_id", "file_path"]
+
+
+def match_corpus(files: DataFrame) -> DataFrame:
+    """All that is looked for in source text, in one pass over the corpus.
+
+    One row per file with arrays ``code``, ``signals`` and ``hits`` (secrets).
+    The text itself, by far the largest column, goes no further, and nothing is
+    shuffled.
+    """
+    tokens = sorted({*detect.registry_tokens(), *agility.signal_tokens()})
+    source = paths.is_source_file(F.col("file_path"))
+    production = source & agility.is_production(F.col("file_path"))
+    ready = text.with_lines(files, tokens)
+    shown = text.split_lines(text.without_last_newline(F.col("content")))
+    found = ready.select(
+        *KEYS, source.alias("is_source"), shown.alias("shown"), F.when(source, detect.hit_array()).alias("code"),
+        F.when(production, agility.signal_array()).alias("signals"), secrets.secret_array().alias("hits"))
+    return found.select(*KEYS, "is_source", detect.with_context(F.col("code"), F.col("shown")).alias("code"),
+                        agility.signal_context("signals", "shown").alias("signals"), "hits")
+
+
 @dataclass
 class RepositoryScan:
     code: DataFrame
@@ -28,21 +51,23 @@ def scan_repositories(files: DataFrame, reachability: bool = True,
                       advisories: DataFrame | None = None) -> RepositoryScan:
     """Everything one scan finds in ``files(repo_id, file_path, content)``.
 
-    Code findings are checkpointed, since agility, risk and reachability all
-    read them and matching the corpus is the costly part.
+    What matching finds is checkpointed: it is small, everything after it reads
+    it, and matching the corpus is the costly part.
     """
     checkpoint_dir(files.sparkSession)
     sources = detect.source_files(files)
-    code = detect.code_findings(sources).withColumns({
-        "source_type": F.lit("source_code"), "ai_validated": F.lit(False)}).checkpoint()
+    matched = match_corpus(files).checkpoint()
+    code = detect.describe(detect.unnest(matched, KEYS, "code")).withColumns({
+        "source_type": F.lit("source_code"), "ai_validated": F.lit(False)})
     packages = manifests.parse(files)
     deps = dependencies.dependency_findings(packages)
     cves = dependencies.curated_cves(deps)
     if advisories is not None:
         found = dependencies.advisory_findings(packages, advisories)
         deps = deps.unionByName(found, allowMissingColumns=True)
-    hidden = secrets.find(files)
-    levels = agility.agility_levels(files.select("repo_id").distinct(), agility.signal_rows(sources), code)
+    hidden = secrets.graded(matched, KEYS)
+    scanned = matched.where(F.col("is_source"))
+    levels = agility.agility_levels(matched.select("repo_id"), detect.unnest(matched, KEYS, "signals"), code)
     annotated = code
     if reachability:
         extracted = callgraph.extract(sources).checkpoint()
@@ -57,7 +82,7 @@ def scan_repositories(files: DataFrame, reachability: bool = True,
     return RepositoryScan(
         code=lifecycle.suggest_false_positives(annotated), dependencies=deps, cves=cves, secrets=hidden,
         agility=levels, risk=reports.repo_risk(code, deps, hidden),
-        stats=reports.scan_run_stats(sources, code.select("repo_id").unionAll(deps.select("repo_id"))))
+        stats=reports.scan_run_stats(scanned, code.select("repo_id").unionAll(deps.select("repo_id"))))
 
 
 def next_findings(existing: DataFrame, scan: RepositoryScan, runs: DataFrame, as_of: Column) -> DataFrame:

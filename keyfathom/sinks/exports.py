@@ -87,9 +87,9 @@ def cyclonedx_lines(cbom: DataFrame, evidence: DataFrame, application: str, seri
     """
     first = evidence.groupBy("algorithm").agg(F.min("location").alias("first"), F.count("*").alias("n"))
     heads = cbom.withColumn("head", component_head(cbom)).join(first, "algorithm", "left")
-    lowest = cbom.agg(F.min(F.struct("priority", "algorithm")).alias("m")).select("m.*")
-    comma = F.when((F.col("priority") == F.col("_p")) & (F.col("algorithm") == F.col("_a")), "").otherwise(",")
-    opened = heads.crossJoin(F.broadcast(lowest.toDF("_p", "_a")))  # one row
+    lowest = cbom.orderBy("priority", "algorithm").limit(1).select("algorithm", F.lit(True).alias("_first"))
+    comma = F.when(F.col("_first"), "").otherwise(",")
+    opened = heads.join(lowest, "algorithm", "left")
     has = F.col("first").isNotNull()
     open_line = F.concat(comma, F.col("head"), F.when(has, F.lit(',"evidence":{"occurrences":[')).otherwise(""))
     order = [F.lit(1).alias("part"), F.col("priority"), F.col("algorithm")]

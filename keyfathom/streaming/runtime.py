@@ -46,9 +46,17 @@ def upsert_stream(incoming: DataFrame, path: str, checkpoint: str, trigger: dict
             .trigger(**(trigger or {"processingTime": "30 seconds"})).start())
 
 
-def current_findings(spark: SparkSession, path: str) -> DataFrame:
-    """State of the upserted table: its batches folded in order, with registry grades."""
-    batches = spark.read.parquet(path).withColumn("seq", F.col("batch_id").cast("long"))
+def current_findings(spark: SparkSession, path: str, compacted: str | None = None) -> DataFrame:
+    """State of the upserted table: its batches folded in order, with registry grades.
+
+    With a compacted version, only batches newer than the one it ends with are added.
+    """
+    batches = spark.read.parquet(path)
+    if compacted is not None:
+        base = spark.read.parquet(compacted)
+        last = base.agg(F.max("batch_id").alias("b")).first()["b"]
+        batches = base.unionByName(batches.where(F.col("batch_id") > last))
+    batches = batches.withColumn("seq", F.col("batch_id").cast("long"))
     return runtime.with_registry(runtime.upsert(batches.drop("batch_id", "seq").limit(0), batches))
 
 
