@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from keyfathom.checks.base import check, quoted
 from keyfathom.checks.views import Inputs
 from keyfathom.dims import grades
+from keyfathom.dims.registry import REGISTRY
 from keyfathom.operators import bom, explorer, gate, lifecycle, playbooks, reports
+from keyfathom.session import checkpoint_dir
 from keyfathom.sinks import exports
 
 _RANK = "CASE {0} WHEN 'BROKEN' THEN 0 WHEN 'VULNERABLE' THEN 1 WHEN 'WEAK' THEN 2 WHEN 'MONITOR' THEN 3 WHEN 'SAFE' THEN 4 ELSE 99 END"
@@ -504,10 +506,32 @@ def evidence(i: Inputs) -> DataFrame:
     return rows.groupBy("algorithm", "location").agg(F.count("*").alias("n"))
 
 
-@check("cyclonedx")
+_META = ", ".join(f"({quoted(a.name)}, {quoted(a.algo_type)}, {quoted(a.quantum_status)}, {quoted(a.nist_replacement)}, "
+                  f"{grades.PRIORITY[a.quantum_status]}, {grades.NIST_LEVEL.get(a.quantum_status, 0)})" for a in REGISTRY)
+
+
+@check("cyclonedx", f"""WITH {_LATEST},
+cb AS (SELECT algorithm, count(*) AS total, count(DISTINCT repo_id) AS repos FROM findings_v
+  WHERE NOT archived AND migration_status IN ('open', 're_opened') AND (source_type = 'artifact' OR scan_run_id IN (SELECT scan_run_id FROM latest)) GROUP BY algorithm),
+ev AS (SELECT f.algorithm, {_URL} AS location, count(*) AS copies FROM findings_v f JOIN repos_v r ON r.repo_id = f.repo_id
+  WHERE NOT f.archived AND f.migration_status <> 'false_positive' GROUP BY ALL),
+fst AS (SELECT algorithm, min(location) AS first FROM ev GROUP BY algorithm),
+h AS (SELECT cb.*, m.*, fst.first, row_number() OVER (ORDER BY m.priority, cb.algorithm) AS rn
+  FROM cb JOIN (VALUES {_META}) AS m(name, type, status, nist, priority, lvl) ON m.name = cb.algorithm LEFT JOIN fst ON fst.algorithm = cb.algorithm)
+SELECT 1 AS part, priority, algorithm, 0 AS sub, '' AS location, 0 AS copy,
+  CASE WHEN rn = 1 THEN '' ELSE ',' END || '{{"type":"cryptographic-asset","bom-ref":"' || sha256(algorithm) || '","name":"' || algorithm
+  || '","cryptoProperties":{{"assetType":"' || type || '","algorithmProperties":{{"nistQuantumSecurityLevel":' || lvl || '}}}},"x-pqc-status":"' || status
+  || '","x-nist-replacement":"' || nist || '","x-total-usages":' || total || ',"x-affected-repos":' || repos
+  || CASE WHEN first IS NOT NULL THEN ',"evidence":{{"occurrences":[' ELSE '' END AS line FROM h
+UNION ALL SELECT 1, priority, algorithm, 1, location, n, CASE WHEN location = first AND n = 1 THEN '' ELSE ',' END || '{{"location":"' || location || '"}}'
+  FROM (SELECT h.priority, h.algorithm, h.first, ev.location, unnest(range(1, ev.copies + 1)) AS n FROM ev JOIN h ON h.algorithm = ev.algorithm)
+UNION ALL SELECT 1, priority, algorithm, 2, '', 0, CASE WHEN first IS NOT NULL THEN ']}}}}' ELSE '}}' END FROM h
+UNION ALL SELECT 0, 0, '', 0, '', 0, '{{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,"serialNumber":"urn:uuid:00000000-0000-0000-0000-000000000000","metadata":{{"timestamp":"1998-12-01T00:00:00+00:00","component":{{"type":"application","name":"inventory"}}}},"components":[' FROM (SELECT 1)
+UNION ALL SELECT 2, 0, '', 0, '', 0, ']}}' FROM (SELECT 1)""")
 def cyclonedx(i: Inputs) -> DataFrame:
+    checkpoint_dir(i.spark)
     findings = i.view("findings_v")
-    cbom = bom.rebuild(findings, i.view("scan_runs_v"))
+    cbom = bom.rebuild(findings, i.view("scan_runs_v")).checkpoint()  # a small table, read several times
     places = bom.evidence(findings, i.view("repos_v"))
     return exports.cyclonedx_lines(cbom, places, "inventory", "urn:uuid:00000000-0000-0000-0000-000000000000",
                                    "1998-12-01T00:00:00+00:00").select("part", "priority", "algorithm", "sub", "location", "copy", "line")

@@ -26,24 +26,31 @@ def count_if(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
 
-def _by_each(rows: DataFrame, columns: dict[str, str], weight: str = "n") -> DataFrame:
-    """Counts by each column on its own, as (metric, key, n) rows."""
-    pairs = F.array(*[F.struct(F.lit(metric).alias("metric"), F.col(c).cast("string").alias("key"))
-                      for c, metric in columns.items()])
-    return (rows.select(weight, F.inline(pairs)).groupBy("metric", "key")
-            .agg(F.sum(weight).alias("n")))
+def _tally(cells: DataFrame, *metrics: tuple[str, Column | str | None, Column | str]) -> DataFrame:
+    """(metric, key, n) rows from counted cells, all metrics in one pass.
+
+    A metric is (name, key column or None, how much a cell counts); cells that
+    count null are left out of it.
+    """
+    def entry(metric: str, key: Column | str | None, weight: Column | str) -> Column:
+        key = F.lit(None) if key is None else F.col(key) if isinstance(key, str) else key
+        weight = F.col(weight) if isinstance(weight, str) else weight
+        return F.struct(F.lit(metric).alias("metric"), key.cast("string").alias("key"),
+                        weight.cast("long").alias("n"))
+
+    entries = F.filter(F.array(*[entry(*m) for m in metrics]), lambda e: e["n"].isNotNull())
+    return cells.select(F.inline(entries)).groupBy("metric", "key").agg(F.sum("n").alias("n"))
 
 
 def findings_summary(findings: DataFrame) -> DataFrame:
     """(metric, key, n): counts by risk, status, state and source, total and archived."""
     cells = findings.groupBy("archived", "risk_level", "quantum_status", "migration_status",
                              "source_type").agg(F.count("*").alias("n"))
+    active = F.when(~F.col("archived"), F.col("n"))
     flag = F.when(F.col("archived"), "archived").otherwise("active")
-    metrics = {"risk_level": "by_risk", "quantum_status": "by_quantum_status",
-               "migration_status": "by_status", "source_type": "by_source"}
-    each = _by_each(cells.where(~F.col("archived")), metrics)
-    totals = cells.groupBy(F.lit("total").alias("metric"), flag.alias("key")).agg(F.sum("n").alias("n"))
-    return each.unionByName(totals)
+    return _tally(cells, ("by_risk", "risk_level", active), ("by_quantum_status", "quantum_status", active),
+                  ("by_status", "migration_status", active), ("by_source", "source_type", active),
+                  ("total", flag, "n"))
 
 
 def top_algorithms(findings: DataFrame, n: int = 10) -> DataFrame:
@@ -260,26 +267,19 @@ def network_summary(network: DataFrame) -> DataFrame:
     """(metric, key, n) over TLS findings; the breakdowns cover complete scans only."""
     cells = network.groupBy("scan_status", "quantum_status", "tls_version", "risk_level").agg(
         F.count("*").alias("n"))
-    each = _by_each(cells.where(F.col("scan_status") == "complete"), {
-        "quantum_status": "by_quantum_status", "tls_version": "by_tls_version",
-        "risk_level": "by_risk_level"})
-    states = cells.groupBy(F.lit("scan_status").alias("metric"), F.col("scan_status").alias("key")).agg(
-        F.sum("n").alias("n"))
-    return each.unionByName(states)
+    done = F.when(F.col("scan_status") == "complete", F.col("n"))
+    return _tally(cells, ("by_quantum_status", "quantum_status", done), ("by_tls_version", "tls_version", done),
+                  ("by_risk_level", "risk_level", done), ("scan_status", "scan_status", "n"))
 
 
 def runtime_summary(runtime_findings: DataFrame) -> DataFrame:
     """(metric, key, n): findings by algorithm, risk and status, plus totals."""
-    cells = runtime_findings.groupBy("algorithm", "risk_level", "quantum_status").agg(
+    cells = runtime_findings.groupBy("host_id", "algorithm", "risk_level", "quantum_status").agg(
         F.count("*").alias("n"))
-    each = _by_each(cells, {"algorithm": "by_algorithm", "risk_level": "by_risk_level",
-                            "quantum_status": "by_quantum_status"})
-    total = cells.agg(F.lit("total_findings").alias("metric"), F.lit(None).cast("string").alias("key"),
-                      F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    hosts = runtime_findings.agg(F.lit("total_hosts").alias("metric"),
-                                 F.lit(None).cast("string").alias("key"),
-                                 F.countDistinct("host_id").alias("n"))
-    return each.unionByName(total).unionByName(hosts)
+    hosts = cells.agg(F.lit("total_hosts").alias("metric"), F.lit(None).cast("string").alias("key"),
+                      F.countDistinct("host_id").alias("n"))
+    return _tally(cells, ("by_algorithm", "algorithm", "n"), ("by_risk_level", "risk_level", "n"),
+                  ("by_quantum_status", "quantum_status", "n"), ("total_findings", None, "n")).unionByName(hosts)
 
 
 def secrets_summary(secrets: DataFrame) -> DataFrame:
@@ -287,12 +287,8 @@ def secrets_summary(secrets: DataFrame) -> DataFrame:
     active = secrets.where(~F.col("archived")) if "archived" in secrets.columns else secrets
     cells = active.groupBy("risk_level", "expiry_status").agg(F.count("*").alias("n"))
     expiring = F.col("expiry_status").isin("EXPIRED", "EXPIRES_SOON", "EXPIRES_90D")
-    none = F.lit(None).cast("string")
-    total = cells.agg(F.lit("total").alias("metric"), none.alias("key"),
-                      F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    soon = cells.agg(F.lit("expiring").alias("metric"), none.alias("key"),
-                     F.coalesce(F.sum(F.when(expiring, F.col("n"))), F.lit(0)).alias("n"))
-    return _by_each(cells, {"risk_level": "by_risk"}).unionByName(total).unionByName(soon)
+    return _tally(cells, ("by_risk", "risk_level", "n"), ("total", None, "n"),
+                  ("expiring", None, F.when(expiring, F.col("n")).otherwise(0)))
 
 
 def risk_totals(findings: DataFrame) -> DataFrame:
