@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,7 +151,7 @@ def runtime_windows_stream(i: Inputs) -> DataFrame:
     source = i.spark.readStream.schema(i.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(i.folder)
     rows = source.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("host-"), (F.col("user_id") % 7).cast("string")).alias("host_id"),
                          F.col("user_id").alias("pid"), (F.col("event_id") % 20).alias("probe_id"), F.col("event_type").alias("comm"))
-    root = tempfile.mkdtemp(prefix="run-windows-", dir=_local(checkpoint_dir(i.spark)))
+    root = f"{checkpoint_dir(i.spark)}/windows-{uuid.uuid4()}"
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out")
@@ -164,10 +164,6 @@ def runtime_windows_stream(i: Inputs) -> DataFrame:
     return done.groupBy("host_id", "symbol").agg(F.sum("occurrences").alias("occurrences"), F.count("*").alias("windows"))
 
 
-def _local(folder: str) -> str | None:
-    return folder.removeprefix("file:") if folder.startswith(("/", "file:")) else None
-
-
 def _reported(i: Inputs, earlier: bool) -> DataFrame:
     rows = i.view("raw_events_v").where((F.col("event_id") % 2 == 0) if earlier else (F.col("event_id") % 2 != 0))
     found = runtime.resolve_probes(runtime.aggregate_events(rows))

@@ -194,15 +194,17 @@ def reach(functions: DataFrame, calls: DataFrame, max_rounds: int = 10_000) -> D
     label = F.col("label") if "label" in functions.columns else F.col("name")
     known = functions.select("repo_id", "func_id", "name", label.alias("label"), "is_entry")
     names = known.select("repo_id", "name").distinct()
+    entry = F.col("is_entry")
+    # calls are cut to one per pair of names before unknown callees are dropped,
+    # so a callee everybody calls is down to one row per calling name by then
     called = (calls.select("repo_id", F.col("caller").alias("func_id"), F.col("callee_name").alias("callee"))
               .join(known, ["repo_id", "func_id"])
-              .join(names.withColumnRenamed("name", "callee"), ["repo_id", "callee"], "left_semi"))
-    entry = F.col("is_entry")
-    first = (called.where(entry).groupBy("repo_id", F.col("callee").alias("name"))
-             .agg(F.min(F.array("label")).alias("chain")))
-    edges = (called.where(~entry).groupBy("repo_id", "name", "callee")
-             .agg(F.min("label").alias("label")).checkpoint())
-    frontier = first.withColumn("depth", F.lit(1)).checkpoint()
+              .groupBy("repo_id", "is_entry", "name", "callee").agg(F.min("label").alias("label"))
+              .join(names.withColumnRenamed("name", "callee"), ["repo_id", "callee"], "left_semi")
+              .checkpoint())
+    edges = called.where(~entry).select("repo_id", "name", "callee", "label")
+    frontier = (called.where(entry).groupBy("repo_id", F.col("callee").alias("name"))
+                .agg(F.min(F.array("label")).alias("chain")).withColumn("depth", F.lit(1)).checkpoint())
     settled = frontier
     for depth in range(2, max_rounds):
         chain = _last(F.concat(F.col("chain"), F.array("label")))
@@ -230,8 +232,8 @@ def _last(chain: Column) -> Column:
 
 # ---- functions around a line ----------------------------------------------
 
-_RADIX = 8
-_LEVELS = 10  # blocks of 1, 8, 64, ... lines; the last level spans 8^10 lines
+_RADIX = 16
+_LEVELS = 6  # blocks of 1, 16, 256, ... lines; the largest hold a million
 
 
 def _blocks_of_span(start: Column, end: Column) -> Column:

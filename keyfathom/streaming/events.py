@@ -38,21 +38,24 @@ def run_states(changes: DataFrame) -> DataFrame:
         F.min("changed_at").alias("started_at"), F.max("changed_at").alias("changed_at"))
 
 
-def reconcile_stream(scans: DataFrame, load: Callable[[int], DataFrame], save: Callable[[DataFrame, int], None],
-                     as_of: Column, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def reconcile_stream(scans: DataFrame, load: Callable[[int, DataFrame], DataFrame],
+                     save: Callable[[DataFrame, int], None], as_of: Column, checkpoint: str,
+                     trigger: dict | None = None) -> StreamingQuery:
     """Reconcile the findings table with each micro-batch of scan results.
 
     ``scans`` carries ``repo_id, scan_run_id`` and the findings' columns; a scan
     without findings sends one row whose ``file_path`` is null.  A micro-batch
-    must hold one scan per repository.  ``load(batch_id)`` reads the version the
-    batch starts from and ``save(table, batch_id)`` writes the next, so a batch
-    that is run again starts from the same version.
+    must hold one scan per repository.  ``load(batch_id, runs)`` reads the rows of
+    the repositories in ``runs`` as they were before the batch and
+    ``save(rows, batch_id)`` writes what they are after it.  Versions are told
+    apart by batch id, so a batch that is run again starts from the same rows,
+    and repositories not scanned need not be read or written at all.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         runs = batch.select("repo_id", "scan_run_id").distinct()
         found = batch.where(F.col("file_path").isNotNull())
-        existing = load(batch_id)
+        existing = load(batch_id, runs)
         updated = lifecycle.reconcile(existing, found, runs, as_of).drop("action")
         fresh = lifecycle.untracked(existing, found, runs).withColumns({
             "migration_status": F.lit("open"), "archived": F.lit(False), "source_type": F.lit("source_code")})

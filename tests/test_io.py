@@ -154,7 +154,7 @@ def test_reconcile_stream(spark, tmp_path):
         spark.createDataFrame([("r", run, *f) for f in (found or [(None, None)])], scan_schema).coalesce(1).write.parquet(str(scans / run))
     def go():
         source = spark.readStream.schema(scan_schema).option("recursiveFileLookup", "true").parquet(str(scans))
-        query = events.reconcile_stream(source, lambda b: spark.read.parquet(str(state / str(b))),
+        query = events.reconcile_stream(source, lambda b, runs: spark.read.parquet(str(state / str(b))),
                                         lambda df, b: df.write.mode("overwrite").parquet(str(state / str(b + 1))), F.lit(T0), str(tmp_path / "cp"))
         query.awaitTermination()
         last = max(int(p.name) for p in state.iterdir())
