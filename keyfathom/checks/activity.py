@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from keyfathom.checks.base import check, quoted
 from keyfathom.checks.views import Inputs
 from keyfathom.dims import grades
-from keyfathom.operators import callgraph, reports, runtime, tls, verdicts
+from keyfathom.functions.text import decode_text
+from keyfathom.operators import callgraph, explorer, reports, runtime, tls, verdicts
 from keyfathom.session import checkpoint_dir
 from keyfathom.sources import tables
 from keyfathom.streaming import events as stream_events
@@ -285,3 +286,47 @@ FROM r""")
 def verdict_rows(i: Inputs) -> DataFrame:
     rows = verdicts.normalise(i.sql(_RESPONSES))
     return rows.select("doc_id", "is_crypto_usage", F.round("confidence", 6).alias("confidence"), "label")
+
+
+@check("network_page", f"""WITH {_GRADED}
+SELECT finding_id, risk_level FROM w WHERE quantum_status = 'BROKEN' AND scan_status = 'complete' ORDER BY cert_not_after DESC, finding_id LIMIT 100""")
+def network_page(i: Inputs) -> DataFrame:
+    rows = _graded(i).withColumn("archived", F.lit(False))
+    chosen = explorer.equal_to(rows, quantum_status="BROKEN", scan_status="complete")
+    return explorer.newest(chosen, "cert_not_after", "finding_id", limit=100).select("finding_id", "risk_level")
+
+
+@check("runtime_page", f"""WITH {_AGG}
+SELECT host_id, symbol, pid, occurrences FROM agg WHERE host_id = 'host-3' AND algorithm = 'ECDSA' ORDER BY last_seen DESC, pid LIMIT 100""")
+def runtime_page(i: Inputs) -> DataFrame:
+    rows = _aggregated(i).withColumn("archived", F.lit(False))
+    chosen = explorer.equal_to(rows, host_id="host-3", algorithm="ECDSA")
+    return explorer.newest(chosen, "last_seen", "pid", limit=100).select("host_id", "symbol", "pid", "occurrences")
+
+
+@check("symbol_probes", f"""WITH {_PROBE_CTE}
+SELECT p.library, p.algorithm, count(*) AS events FROM raw_events_v e JOIN probes p ON p.probe_id = e.probe_id GROUP BY ALL""")
+def symbol_probes(i: Inputs) -> DataFrame:
+    rows = runtime.resolve_probes(i.view("raw_events_v"))
+    return rows.groupBy("library", "algorithm").agg(F.count("*").alias("events"))
+
+
+_REPORTS = """SELECT event_id, ts, host_id, concat('[{"algorithm":"MD5","symbol":"s', probe_id, '","pid":', pid, ',"occurrences":', event_id % 9, '},',
+  '{"algorithm":"RC4","symbol":"t","pid":', pid, ',"occurrences":1}]') AS body FROM raw_events_v"""
+
+
+@check("reported_findings", """
+SELECT host_id, 'MD5' AS algorithm, 's' || probe_id AS symbol, pid, event_id % 9 AS occurrences, ts AS first_seen FROM raw_events_v
+UNION ALL SELECT host_id, 'RC4', 't', pid, 1, ts FROM raw_events_v""")
+def reported_findings(i: Inputs) -> DataFrame:
+    shape = ("array<struct<algorithm:string,symbol:string,library:string,process_name:string,pid:long,occurrences:long,"
+             "first_seen:timestamp_ntz,last_seen:timestamp_ntz>>")
+    reports_ = i.sql(_REPORTS).select("host_id", F.col("ts").alias("received_at"), F.from_json("body", shape).alias("findings"))
+    return tables.reported_findings(reports_).select("host_id", "algorithm", "symbol", "pid", "occurrences", "first_seen")
+
+
+@check("decoded_text", """
+SELECT doc_id, md5(replace(content, chr(13), chr(10))) AS digest FROM files_v""")
+def decoded_text(i: Inputs) -> DataFrame:
+    raw = F.concat(F.encode("content", "UTF-8"), F.unhex(F.lit("FFFE")))  # bytes that are no text are dropped
+    return i.files().select("doc_id", F.md5(decode_text(raw)).alias("digest"))

@@ -576,3 +576,50 @@ SELECT f.finding_id, p.key AS playbook FROM findings_id_v f JOIN (VALUES {_PLAYB
   ON p.key = replace(upper(f.algorithm), ' ', '-') AND contains(p.languages, 'go')""")
 def playbooks_for_language(i: Inputs) -> DataFrame:
     return playbooks.for_language(i.view("findings_id_v"), "Go").select("finding_id", playbooks.key_of(F.col("algorithm")).alias("playbook"))
+
+
+@check("cbom_by_status", f"""WITH {_LATEST}
+SELECT f.algorithm, count(*) AS total_usages FROM findings_v f WHERE NOT archived AND migration_status IN ('open', 're_opened')
+  AND (source_type = 'artifact' OR scan_run_id IN (SELECT scan_run_id FROM latest)) AND quantum_status = 'VULNERABLE' GROUP BY f.algorithm""")
+def cbom_by_status(i: Inputs) -> DataFrame:
+    cbom = bom.rebuild(i.view("findings_v"), i.view("scan_runs_v"))
+    return bom.with_status(cbom, "VULNERABLE").select("algorithm", "total_usages")
+
+
+@check("project_cbom", f"""WITH {_LATEST}, secrets AS ({_SECRETS}),
+cb AS (SELECT algorithm, count(*) AS total_usages FROM findings_v WHERE NOT archived AND migration_status IN ('open', 're_opened')
+  AND (source_type = 'artifact' OR scan_run_id IN (SELECT scan_run_id FROM latest)) GROUP BY algorithm)
+SELECT algorithm, total_usages FROM cb WHERE algorithm IN (
+  SELECT algorithm FROM findings_v WHERE NOT archived AND migration_status <> 'false_positive' AND repo_id IN (SELECT repo_id FROM repos_v WHERE project_id = 7)
+  UNION SELECT algorithm FROM secrets WHERE NOT archived AND migration_status <> 'false_positive' AND repo_id IN (SELECT repo_id FROM repos_v WHERE project_id = 7))""")
+def project_cbom(i: Inputs) -> DataFrame:
+    findings = i.view("findings_v")
+    algorithms = bom.project_algorithms(findings, i.sql(_SECRETS), i.view("repos_v"))
+    return bom.for_project(bom.rebuild(findings, i.view("scan_runs_v")), algorithms, 7).select("algorithm", "total_usages")
+
+
+@check("project_findings", """
+SELECT f.finding_id FROM findings_id_v f WHERE f.repo_id IN (SELECT repo_id FROM repos_v WHERE project_id = 3)""")
+def project_findings(i: Inputs) -> DataFrame:
+    return explorer.of_project(i.view("findings_id_v"), i.view("repos_v"), 3).select("finding_id")
+
+
+@check("project_coverage", """
+SELECT r.repo_id, r.name, f.algorithm, any_value(f.quantum_status) AS worst_status, count(*) AS n
+FROM findings_v f JOIN repos_v r ON r.repo_id = f.repo_id AND r.project_id = 7
+WHERE NOT f.archived AND f.migration_status <> 'false_positive' GROUP BY r.repo_id, r.name, f.algorithm""")
+def project_coverage(i: Inputs) -> DataFrame:
+    return reports.coverage_matrix(i.view("findings_v"), i.view("repos_v"), project_id=7)
+
+
+@check("scan_evidence", """
+SELECT algorithm, file_path || '#' || line_number AS location, count(*) AS n FROM findings_v GROUP BY ALL""")
+def scan_evidence(i: Inputs) -> DataFrame:
+    return exports.scan_evidence(i.view("findings_v")).groupBy("algorithm", "location").agg(F.count("*").alias("n"))
+
+
+@check("severity_page", f"""
+SELECT finding_id, risk_level FROM findings_id_v WHERE NOT archived ORDER BY {_risk('risk_level')}, created_at DESC, finding_id LIMIT 200""")
+def severity_page(i: Inputs) -> DataFrame:
+    rows = explorer.findings(i.view("findings_id_v"))
+    return explorer.findings_page(rows, severity_order=True).select("finding_id", "risk_level")

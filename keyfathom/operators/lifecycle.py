@@ -12,10 +12,26 @@ PAIR = ["repo_id", "file_path", "algorithm"]
 OPEN = ["open", "re_opened"]
 RESOLVED = ["auto_resolved", "manually_resolved"]
 
+# ---- FIXED VALUES: texts stored with findings ---------------------------------
+
 MISSED = "Missed scan:"
 NOTE_GONE = "Not detected in 2 consecutive scans"
 NOTE_BACK = "Re-introduced in latest scan"
 NOTE_REVIEW = "Re-detected after manual resolution — please review"
+TEST_PATH_TEXT = (
+    "This file's path matches common test/fixture/example/vendor patterns, so this "
+    "crypto usage is unlikely to represent production risk. Review before confirming.")
+TEST_AND_DEAD_TEXT = TEST_PATH_TEXT + (
+    " In addition, static call graph analysis found no path from any known entry point to this "
+    "function — the crypto usage is very likely test-only or dead code.")
+DEAD_TEXT = (
+    "Static call graph analysis found no path from any known entry point to this function. "
+    "The crypto usage may be dead code or test-only. Review before confirming.")
+TEST_PATH_CONFIDENCE = 0.65
+DEAD_CONFIDENCE = 0.75
+TEST_AND_DEAD_CONFIDENCE = 0.85
+
+# ---- END OF FIXED VALUES ------------------------------------------------------
 
 
 def _missed_before() -> Column:
@@ -145,15 +161,9 @@ def suggest_false_positives(findings: DataFrame) -> DataFrame:
     fresh = ~F.coalesce(F.col("ai_validated"), F.lit(False)) & (F.col("source_type") == "source_code")
     in_test = F.coalesce(F.col("in_test_path"), F.lit(False))
     dead = F.coalesce(~F.col("reachable"), F.lit(False))
-    confidence = F.when(in_test & dead, 0.85).when(dead, 0.75).when(in_test, 0.65)
-    path_text = ("This file's path matches common test/fixture/example/vendor patterns, so this "
-                 "crypto usage is unlikely to represent production risk. Review before confirming.")
-    both_text = path_text + (" In addition, static call graph analysis found no path from any known "
-                             "entry point to this function — the crypto usage is very likely "
-                             "test-only or dead code.")
-    dead_text = ("Static call graph analysis found no path from any known entry point to this "
-                 "function. The crypto usage may be dead code or test-only. Review before confirming.")
-    explanation = F.when(in_test & dead, both_text).when(dead, dead_text).when(in_test, path_text)
+    confidence = (F.when(in_test & dead, TEST_AND_DEAD_CONFIDENCE).when(dead, DEAD_CONFIDENCE)
+                  .when(in_test, TEST_PATH_CONFIDENCE))
+    explanation = F.when(in_test & dead, TEST_AND_DEAD_TEXT).when(dead, DEAD_TEXT).when(in_test, TEST_PATH_TEXT)
     suspect = fresh & (in_test | dead)
     return findings.select(
         *[c for c in findings.columns if c not in ("ai_label", "ai_confidence", "ai_explanation")],

@@ -14,6 +14,30 @@ from pyspark.sql import functions as F
 from keyfathom.functions import paths
 from keyfathom.functions.text import split_lines, unify_newlines
 
+# ---- FIXED VALUES: line and block formats of the manifests -------------------
+
+PY_NAME = r"^([A-Za-z0-9_.\-]+)"
+PY_PINNED = r"^([A-Za-z0-9_.\-]+)\s*[=><~!]+\s*([^\s,;#]+)"
+PY_EXTRAS = r"\[[^\]]*\]"
+PY_SKIPPED = r"^(#|-r|-c|git\+|http)"
+PYPROJECT_ENTRY = r"""(?md)^([A-Za-z0-9_.\-]+)\s*=\s*["']([^"']*)["']"""
+NPM_SECTIONS = ["dependencies", "devDependencies", "peerDependencies"]
+GO_REQUIRE = r"(?md)^\s+([a-zA-Z0-9./_\-]+)\s+v([^\s]+)"
+CARGO_SECTIONS = ["[dependencies]", "[dev-dependencies]", "[build-dependencies]"]
+CARGO_PLAIN = r"""^([A-Za-z0-9_\-]+)\s*=\s*["']([^"']+)["']"""
+CARGO_TABLE = r"""^([A-Za-z0-9_\-]+)\s*=\s*\{.*version\s*=\s*["']([^"']+)["']"""
+GEM_SPEC = r"(?md)^\s{4}([a-zA-Z0-9_\-]+)\s+\(([^)]+)\)"
+WHEEL_REQUIRES = r"(?i)^Requires-Dist:\s*([A-Za-z0-9_.\-]+)\s*(?:\(([^)]+)\))?"
+DPKG_NAME = r"(?md)^Package:\s*(.+)$"
+DPKG_VERSION = r"(?md)^Version:\s*(.+)$"
+DEB_FIELDS = ["Depends", "Pre-Depends", "Recommends"]
+DEB_DEPENDENCY = r"^([a-z0-9][a-z0-9.+\-]+)\s*(?:\(([>=<! ]+)\s*([\d.~:+\-]+)\))?"
+NUSPEC_DEPENDENCY = r"""(?i)<dependency[^>]+id="([^"]+)"[^>]*(?:version="([^"]*)")?"""
+GEM_SECTION = r"^(runtime_)?dependencies\s*:"
+GEM_NAME = r"^\s+name\s*:\s*(.+)"
+
+# ---- END OF FIXED VALUES ------------------------------------------------------
+
 _EMPTY = "array<struct<name:string,version:string>>"
 
 
@@ -38,15 +62,13 @@ def _from_lines(lines: Column, package) -> Column:
 
 
 def requirements(text: Column) -> Column:
-    pinned = r"^([A-Za-z0-9_.\-]+)\s*[=><~!]+\s*([^\s,;#]+)"
-
     def package(line: Column) -> Column:
         bare = F.regexp_replace(line, r"^\s+|\s+$", "")
-        spec = F.regexp_replace(bare, r"\[[^\]]*\]", "")
-        name = F.regexp_extract(spec, r"^([A-Za-z0-9_.\-]+)", 1)
-        used = (name != "") & ~bare.rlike("^(#|-r|-c|git\\+|http)")
-        pinned_name = F.regexp_extract(spec, pinned, 1)
-        return F.when(used & (pinned_name != ""), _package(pinned_name, F.regexp_extract(spec, pinned, 2))
+        spec = F.regexp_replace(bare, PY_EXTRAS, "")
+        name = F.regexp_extract(spec, PY_NAME, 1)
+        used = (name != "") & ~bare.rlike(PY_SKIPPED)
+        pinned_name = F.regexp_extract(spec, PY_PINNED, 1)
+        return F.when(used & (pinned_name != ""), _package(pinned_name, F.regexp_extract(spec, PY_PINNED, 2))
                       ).when(used, _package(name, F.lit("")))
 
     return _from_lines(split_lines(text), package)
@@ -54,13 +76,11 @@ def requirements(text: Column) -> Column:
 
 def pyproject(text: Column) -> Column:
     """Every ``key = "value"`` line; keys that are no packages join nothing later."""
-    pattern = r"""(?md)^([A-Za-z0-9_.\-]+)\s*=\s*["']([^"']*)["']"""
-    return _pairs(text, pattern, lambda v: _digits(F.substring_index(v, ",", 1)))
+    return _pairs(text, PYPROJECT_ENTRY, lambda v: _digits(F.substring_index(v, ",", 1)))
 
 
 def package_json(text: Column) -> Column:
-    sections = ["dependencies", "devDependencies", "peerDependencies"]
-    schema = ", ".join(f"{s} map<string,string>" for s in sections)
+    schema = ", ".join(f"{s} map<string,string>" for s in NPM_SECTIONS)
     parsed = F.from_json(text, schema)
 
     def of(section: str) -> Column:
@@ -68,26 +88,23 @@ def package_json(text: Column) -> Column:
         return F.transform(entries, lambda e: _package(
             e["key"], F.coalesce(_digits(F.substring_index(e["value"], " ", 1)), F.lit(""))))
 
-    return F.concat(*[of(s) for s in sections])
+    return F.concat(*[of(s) for s in NPM_SECTIONS])
 
 
 def go_mod(text: Column) -> Column:
-    return _pairs(text, r"(?md)^\s+([a-zA-Z0-9./_\-]+)\s+v([^\s]+)")
+    return _pairs(text, GO_REQUIRE)
 
 
 def cargo(text: Column) -> Column:
     """Dependency sections only; a line opening with ``[`` starts a section."""
     sections = F.split(text, r"\n(?=[^\S\n]*\[)", -1)
-    wanted = F.filter(sections, lambda s: F.trim(F.substring_index(s, "\n", 1)).isin(
-        "[dependencies]", "[dev-dependencies]", "[build-dependencies]"))
+    wanted = F.filter(sections, lambda s: F.trim(F.substring_index(s, "\n", 1)).isin(CARGO_SECTIONS))
     lines = F.flatten(F.transform(wanted, split_lines))
-    plain = r"""^([A-Za-z0-9_\-]+)\s*=\s*["']([^"']+)["']"""
-    table = r"""^([A-Za-z0-9_\-]+)\s*=\s*\{.*version\s*=\s*["']([^"']+)["']"""
 
     def package(line: Column) -> Column:
         bare = F.trim(line)
         choices = [F.when(bare.rlike(p), _package(F.regexp_extract(bare, p, 1), F.regexp_extract(bare, p, 2)))
-                   for p in (plain, table)]
+                   for p in (CARGO_PLAIN, CARGO_TABLE)]
         return F.coalesce(*choices)
 
     return _from_lines(lines, package)
@@ -107,57 +124,51 @@ def pom(text: Column) -> Column:
 
 
 def gemfile_lock(text: Column) -> Column:
-    return _pairs(text, r"(?md)^\s{4}([a-zA-Z0-9_\-]+)\s+\(([^)]+)\)")
+    return _pairs(text, GEM_SPEC)
 
 
 def wheel_metadata(text: Column) -> Column:
-    pattern = r"(?i)^Requires-Dist:\s*([A-Za-z0-9_.\-]+)\s*(?:\(([^)]+)\))?"
-
     def package(line: Column) -> Column:
-        spec = F.coalesce(F.regexp_extract(line, pattern, 2), F.lit(""))
-        return F.when(line.rlike(pattern), _package(
-            F.regexp_extract(line, pattern, 1), F.regexp_extract(spec, r"([\d.]+)", 1)))
+        spec = F.coalesce(F.regexp_extract(line, WHEEL_REQUIRES, 2), F.lit(""))
+        return F.when(line.rlike(WHEEL_REQUIRES), _package(
+            F.regexp_extract(line, WHEEL_REQUIRES, 1), F.regexp_extract(spec, r"([\d.]+)", 1)))
 
     return _from_lines(split_lines(text), package)
 
 
 def dpkg_status(text: Column) -> Column:
     def package(block: Column) -> Column:
-        name = r"(?md)^Package:\s*(.+)$"
-        return F.when(block.rlike(name), _package(
-            F.trim(F.regexp_extract(block, name, 1)),
-            F.trim(F.regexp_extract(block, r"(?md)^Version:\s*(.+)$", 1))))
+        return F.when(block.rlike(DPKG_NAME), _package(
+            F.trim(F.regexp_extract(block, DPKG_NAME, 1)),
+            F.trim(F.regexp_extract(block, DPKG_VERSION, 1))))
 
     return F.array_compact(F.transform(F.split(text, "\n\n", -1), package))
 
 
 def deb_control(text: Column) -> Column:
-    dep = r"^([a-z0-9][a-z0-9.+\-]+)\s*(?:\(([>=<! ]+)\s*([\d.~:+\-]+)\))?"
-
     def of(field: str) -> Column:
         body = F.regexp_extract(text, rf"(?msd)^{field}:\s*(.+?)(?=\n\S|\z)", 1)
         entries = F.split(F.regexp_replace(body, r"\s+", " "), ",", -1)
-        return F.array_compact(F.transform(entries, lambda e: F.when(F.trim(e).rlike(dep), _package(
-            F.regexp_extract(F.trim(e), dep, 1), F.coalesce(F.regexp_extract(F.trim(e), dep, 3), F.lit(""))))))
+        return F.array_compact(F.transform(entries, lambda e: F.when(F.trim(e).rlike(DEB_DEPENDENCY), _package(
+            F.regexp_extract(F.trim(e), DEB_DEPENDENCY, 1),
+            F.coalesce(F.regexp_extract(F.trim(e), DEB_DEPENDENCY, 3), F.lit(""))))))
 
-    return F.concat(*[of(f) for f in ("Depends", "Pre-Depends", "Recommends")])
+    return F.concat(*[of(f) for f in DEB_FIELDS])
 
 
 def nuspec(text: Column) -> Column:
-    pattern = r"""(?i)<dependency[^>]+id="([^"]+)"[^>]*(?:version="([^"]*)")?"""
-    return F.transform(_pairs(text, pattern), lambda p: _package(F.trim(p["name"]), p["version"]))
+    return F.transform(_pairs(text, NUSPEC_DEPENDENCY), lambda p: _package(F.trim(p["name"]), p["version"]))
 
 
 def gem_metadata(text: Column) -> Column:
     """Names under a top-level dependencies key; they carry no version."""
     blocks = F.split(text, r"\n(?=[^ \n])", -1)
-    wanted = F.filter(blocks, lambda b: b.rlike(r"^(runtime_)?dependencies\s*:"))
+    wanted = F.filter(blocks, lambda b: b.rlike(GEM_SECTION))
     lines = F.flatten(F.transform(wanted, split_lines))
-    pattern = r"^\s+name\s*:\s*(.+)"
 
     def package(line: Column) -> Column:
-        name = F.regexp_replace(F.trim(F.regexp_extract(line, pattern, 1)), "^['\"]+|['\"]+$", "")
-        return F.when(line.rlike(pattern), _package(name, F.lit("")))
+        name = F.regexp_replace(F.trim(F.regexp_extract(line, GEM_NAME, 1)), "^['\"]+|['\"]+$", "")
+        return F.when(line.rlike(GEM_NAME), _package(name, F.lit("")))
 
     return _from_lines(lines, package)
 
