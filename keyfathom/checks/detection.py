@@ -108,6 +108,17 @@ def language_counts(i: Inputs) -> DataFrame:
     return detect.language_counts(i.view("files_v"))
 
 
+@check("repository_scan", _HITS + f"""
+SELECT f.repo_id, f.file_path, h.algorithm, h.line_number, {_TEST} OR {_VENDOR} AS in_test_path,
+  CASE WHEN {_TEST} OR {_VENDOR} THEN 'false_positive' END AS ai_label
+FROM hits h JOIN files_v f ON f.doc_id = h.doc_id
+WHERE {_EXT} IN ({_EXTENSIONS}) AND len(list_intersect(string_split(file_path, '/')[:-2], [{_SKIP}])) = 0""")
+def repository_scan(i: Inputs) -> DataFrame:
+    from keyfathom.plans.scans import scan_repositories
+    return scan_repositories(i.files()).code.select(
+        "repo_id", "file_path", "algorithm", "line_number", "in_test_path", "ai_label")
+
+
 def _first_lines(rows: list[tuple[str, str]], exclude: bool) -> str:
     parts = []
     for pattern, value in rows:

@@ -599,9 +599,9 @@ def project_cbom(i: Inputs) -> DataFrame:
 
 
 @check("project_findings", """
-SELECT f.finding_id FROM findings_id_v f WHERE f.repo_id IN (SELECT repo_id FROM repos_v WHERE project_id = 3)""")
+SELECT f.finding_id FROM findings_id_v f WHERE f.repo_id IN (SELECT repo_id FROM repos_v WHERE project_id = 20)""")
 def project_findings(i: Inputs) -> DataFrame:
-    return explorer.of_project(i.view("findings_id_v"), i.view("repos_v"), 3).select("finding_id")
+    return explorer.of_project(i.view("findings_id_v"), i.view("repos_v"), 20).select("finding_id")
 
 
 @check("project_coverage", """

@@ -10,12 +10,15 @@ from __future__ import annotations
 import ast
 import warnings
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfathom.functions import text
+from keyfathom.functions.sqltext import literal
+from keyfathom.operators.detect import unnest
 from keyfathom.session import checkpoint_dir
 
 MAX_CHAIN = 50
@@ -106,65 +109,69 @@ def python_functions(files: DataFrame, max_bytes: int | None = None) -> DataFram
     return chosen.mapInPandas(read, EXTRACTED)
 
 
-def _by_pattern(files: DataFrame, suffix: str, pattern: str, max_bytes: int | None) -> DataFrame:
-    """Functions that begin at a match of ``pattern`` and end before the next one.
+def span_array() -> Column:
+    """(name, start_line) of the functions in the Go or Java file of this row.
 
-    All of a file's functions are worked out in its row.
+    Needs ``file_path`` and a ``content`` without match marks.
     """
-    chosen = files.where(F.endswith("file_path", F.lit(suffix)))
+    def found(pattern: str) -> str:
+        regex = "(?md)" + pattern
+        return (f"zip_with(regexp_extract_all(content, {literal(regex)}, 1), {text.match_lines(regex)}, "
+                "(n, s) -> named_struct('name', n, 'start_line', s))")
+
+    return F.expr(f"CASE WHEN endswith(file_path, '.go') THEN {found(GO_FUNCTION)} "
+                  f"WHEN endswith(file_path, '.java') THEN {found(JAVA_METHOD)} END")
+
+
+def body_array(spans: str, shown: str) -> Column:
+    """What the bodies of a row's functions say; a function ends before the next one."""
+    def cut(span: Column, i: Column) -> Column:
+        start = span["start_line"]
+        end = F.coalesce(F.get(F.col(spans), i + 1)["start_line"] - 1, F.size(shown))
+        return F.struct(span["name"].alias("name"), start.alias("start_line"), end.alias("end_line"),
+                        text.window_of_lines(F.col(shown), start + 1, end).alias("body"),
+                        text.window_of_lines(F.col(shown), start - 3, start).alias("above"))
+
+    return F.transform(F.transform(spans, cut), lambda f: F.struct(
+        f["name"].alias("name"), f["start_line"].alias("start_line"), f["end_line"].alias("end_line"),
+        F.array_distinct(F.regexp_extract_all(f["body"], F.lit(CALL), F.lit(1))).alias("called"),
+        f["body"].rlike(GO_HANDLER_WORDS).alias("handles"),
+        f["above"].rlike(JAVA_ENTRY_ANNOTATIONS).alias("annotated")))
+
+
+def declared(rows: DataFrame, column: str = "functions") -> DataFrame:
+    """Functions with entry flags and callees from an array of :func:`body_array`."""
+    found = unnest(rows, ["repo_id", "file_path"], column)
+    name, is_go = F.col("name"), F.endswith("file_path", F.lit(".go"))
+    exported = F.filter("called", lambda c: c.rlike(r"^\p{Lu}"))
+    go_calls = F.filter("called", lambda c: c.rlike(r"^\p{Lu}") | (c == "main"))
+    java_calls = F.filter("called", lambda c: ~c.rlike("^[0-9]"))
+    go_entry = (name == "main") | F.startswith(name, F.lit("Test"))
+    java_entry = name.isin(JAVA_ENTRY_NAMES) | F.col("annotated")
+    label = F.concat(name, F.lit("@"), F.col("start_line").cast("string"))
+    return found.select(
+        F.col("repo_id").cast("string").alias("repo_id"), "file_path",
+        F.concat(F.col("file_path"), F.lit("::"), label).alias("func_id"), "name", label.alias("label"),
+        "start_line", "end_line", F.when(is_go, go_entry).otherwise(java_entry).alias("is_entry"),
+        F.when(is_go, go_calls).otherwise(java_calls).alias("callees"),
+        F.when(is_go & F.col("handles"), exported).otherwise(F.array().cast("array<string>")).alias("wires"))
+
+
+def go_java_functions(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Functions of Go and Java files, worked out in the file's row."""
+    chosen = files.where(F.col("file_path").rlike(r"\.(go|java)$"))
     if max_bytes is not None:
         chosen = chosen.where(F.octet_length("content") <= max_bytes)
     content = text.markable(text.unify_newlines(F.col("content")))
-    chosen = chosen.select(F.col("repo_id").cast("string").alias("repo_id"), "file_path",
-                           content.alias("content"))
-    full = "(?md)" + pattern
-    rows = chosen.withColumns({
-        "lines": text.split_lines(text.without_last_newline(F.col("content"))),
-        "names": F.regexp_extract_all("content", F.lit(full), F.lit(1)),
-        "starts": F.expr(text.match_lines(full))})
-    ends = F.transform("starts", lambda s, i: F.coalesce(
-        F.get(F.col("starts"), i + 1) - 1, F.size("lines")))
-    rows = rows.withColumn("spans", F.arrays_zip(
-        F.col("names").alias("name"), F.col("starts").alias("start_line"), ends.alias("end_line")))
-    described = F.transform("spans", lambda s: F.struct(
-        s["name"].alias("name"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"),
-        text.window_of_lines(F.col("lines"), s["start_line"] + 1, s["end_line"]).alias("body"),
-        text.window_of_lines(F.col("lines"), s["start_line"] - 3, s["start_line"]).alias("above")))
-    opened = rows.select("repo_id", "file_path", described.alias("d")).select(
-        "repo_id", "file_path", F.inline_outer("d"))
-    return opened.where(F.col("name").isNotNull())
-
-
-def _finish(rows: DataFrame, is_entry: Column, callees: Column, wires: Column) -> DataFrame:
-    label = F.concat(F.col("name"), F.lit("@"), F.col("start_line").cast("string"))
-    return rows.select("repo_id", "file_path", F.concat(F.col("file_path"), F.lit("::"), label).alias("func_id"),
-                       "name", label.alias("label"), "start_line", "end_line", is_entry.alias("is_entry"),
-                       callees.alias("callees"), wires.alias("wires"))
-
-
-def go_functions(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    rows = _by_pattern(files, ".go", GO_FUNCTION, max_bytes)
-    called = F.array_distinct(F.regexp_extract_all("body", F.lit(CALL), F.lit(1)))
-    exported = F.filter(called, lambda c: c.rlike(r"^\p{Lu}"))
-    callees = F.filter(called, lambda c: c.rlike(r"^\p{Lu}") | (c == "main"))
-    wires = F.when(F.col("body").rlike(GO_HANDLER_WORDS), exported).otherwise(
-        F.array().cast("array<string>"))
-    entry = (F.col("name") == "main") | F.startswith("name", F.lit("Test"))
-    return _finish(rows, entry, callees, wires)
-
-
-def java_functions(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    rows = _by_pattern(files, ".java", JAVA_METHOD, max_bytes)
-    called = F.array_distinct(F.regexp_extract_all("body", F.lit(CALL), F.lit(1)))
-    callees = F.filter(called, lambda c: ~c.rlike("^[0-9]"))
-    entry = F.col("name").isin(JAVA_ENTRY_NAMES) | F.col("above").rlike(JAVA_ENTRY_ANNOTATIONS)
-    return _finish(rows, entry, callees, F.array().cast("array<string>"))
+    rows = chosen.select("repo_id", "file_path", content.alias("content"))
+    shown = text.split_lines(text.without_last_newline(F.col("content")))
+    rows = rows.select("repo_id", "file_path", shown.alias("shown"), span_array().alias("spans"))
+    return declared(rows.select("repo_id", "file_path", body_array("spans", "shown").alias("functions")))
 
 
 def extract(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Functions of all supported languages with the names they call."""
-    return (python_functions(files, max_bytes).unionByName(go_functions(files, max_bytes))
-            .unionByName(java_functions(files, max_bytes)))
+    return python_functions(files, max_bytes).unionByName(go_java_functions(files, max_bytes))
 
 
 def functions_of(extracted: DataFrame) -> DataFrame:
@@ -180,7 +187,7 @@ def calls_of(extracted: DataFrame) -> DataFrame:
     return extracted.select("repo_id", F.col("func_id").alias("caller"), F.explode("callees").alias("callee_name"))
 
 
-def reach(functions: DataFrame, calls: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def reach(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """(repo_id, func_id, depth, chain) of every function an entry point leads to.
 
     A call names its callee, and a name stands for all functions that bear it.
@@ -206,7 +213,7 @@ def reach(functions: DataFrame, calls: DataFrame, max_rounds: int = 10_000) -> D
     frontier = (called.where(entry).groupBy("repo_id", F.col("callee").alias("name"))
                 .agg(F.min(F.array("label")).alias("chain")).withColumn("depth", F.lit(1)).checkpoint())
     settled = frontier
-    for depth in range(2, max_rounds):
+    for depth in count(2):
         chain = _last(F.concat(F.col("chain"), F.array("label")))
         step = (frontier.join(edges, ["repo_id", "name"])
                 .select("repo_id", F.col("callee").alias("name"), chain.alias("chain"),

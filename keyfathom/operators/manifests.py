@@ -212,13 +212,28 @@ def _packages(files: DataFrame, keys: list[str], found: Column, ecosystem: Colum
         F.col("_p.version").alias("version"))
 
 
-def parse(files: DataFrame, keys: list[str] = ["repo_id"]) -> DataFrame:
-    """(keys, manifest, ord, ecosystem, name, version) of all manifests of a repository."""
-    text = unify_newlines(F.col("content"))
+def package_array(text: Column) -> Column:
+    """Packages of the manifest in this row (file_path); null for other files."""
     name = paths.basename(F.col("file_path"))
     found = _choose([(test(name), read(text)) for test, _, read in _READERS], F.lit(None).cast(_EMPTY))
-    ecosystem = _choose([(test(name), F.lit(e)) for test, e, _ in _READERS], F.lit(None).cast("string"))
-    return _packages(files.where(paths.is_manifest(F.col("file_path"))), keys, found, ecosystem)
+    return F.when(paths.is_manifest(F.col("file_path")), found)
+
+
+def ecosystem_of_file() -> Column:
+    name = paths.basename(F.col("file_path"))
+    return _choose([(test(name), F.lit(e)) for test, e, _ in _READERS], F.lit(None).cast("string"))
+
+
+def opened(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, manifest, ord, ecosystem, name, version) from a column of package arrays."""
+    return _packages(rows, keys, F.col(column), ecosystem_of_file())
+
+
+def parse(files: DataFrame, keys: list[str] = ["repo_id"]) -> DataFrame:
+    """(keys, manifest, ord, ecosystem, name, version) of all manifests of a repository."""
+    found = package_array(unify_newlines(F.col("content")))
+    chosen = files.where(paths.is_manifest(F.col("file_path")))
+    return _packages(chosen, keys, found, ecosystem_of_file())
 
 
 def parse_packed(members: DataFrame, keys: list[str]) -> DataFrame:

@@ -18,11 +18,11 @@ KEYS = ["repo_id", "file_path"]
 
 
 def match_corpus(files: DataFrame) -> DataFrame:
-    """All that is looked for in source text, in one pass over the corpus.
+    """All that is looked for in text, in one pass over the corpus.
 
-    One row per file with arrays ``code``, ``signals`` and ``hits`` (secrets).
-    The text itself, by far the largest column, goes no further, and nothing is
-    shuffled.
+    One row per file with arrays ``code``, ``signals``, ``hits`` (secrets),
+    ``functions`` (Go and Java) and ``packages``.  The text itself, by far the
+    largest column, goes no further, and nothing is shuffled.
     """
     tokens = sorted({*detect.registry_tokens(), *agility.signal_tokens()})
     source = paths.is_source_file(F.col("file_path"))
@@ -31,9 +31,12 @@ def match_corpus(files: DataFrame) -> DataFrame:
     shown = text.split_lines(text.without_last_newline(F.col("content")))
     found = ready.select(
         *KEYS, source.alias("is_source"), shown.alias("shown"), F.when(source, detect.hit_array()).alias("code"),
-        F.when(production, agility.signal_array()).alias("signals"), secrets.secret_array().alias("hits"))
-    return found.select(*KEYS, "is_source", detect.with_context(F.col("code"), F.col("shown")).alias("code"),
-                        agility.signal_context("signals", "shown").alias("signals"), "hits")
+        F.when(production, agility.signal_array()).alias("signals"), secrets.secret_array().alias("hits"),
+        callgraph.span_array().alias("spans"), manifests.package_array(F.col("content")).alias("packages"))
+    return found.select(
+        *KEYS, "is_source", detect.with_context(F.col("code"), F.col("shown")).alias("code"),
+        agility.signal_context("signals", "shown").alias("signals"), "hits",
+        callgraph.body_array("spans", "shown").alias("functions"), "packages")
 
 
 @dataclass
@@ -55,11 +58,10 @@ def scan_repositories(files: DataFrame, reachability: bool = True,
     it, and matching the corpus is the costly part.
     """
     checkpoint_dir(files.sparkSession)
-    sources = detect.source_files(files)
     matched = match_corpus(files).checkpoint()
     code = detect.describe(detect.unnest(matched, KEYS, "code")).withColumns({
         "source_type": F.lit("source_code"), "ai_validated": F.lit(False)})
-    packages = manifests.parse(files)
+    packages = manifests.opened(matched, ["repo_id"], "packages")
     deps = dependencies.dependency_findings(packages)
     cves = dependencies.curated_cves(deps)
     if advisories is not None:
@@ -70,7 +72,8 @@ def scan_repositories(files: DataFrame, reachability: bool = True,
     levels = agility.agility_levels(matched.select("repo_id"), detect.unnest(matched, KEYS, "signals"), code)
     annotated = code
     if reachability:
-        extracted = callgraph.extract(sources).checkpoint()
+        extracted = callgraph.python_functions(files).unionByName(
+            callgraph.declared(matched)).checkpoint()
         functions = callgraph.functions_of(extracted)
         reached = callgraph.reach(functions, callgraph.calls_of(extracted))
         keys = ["repo_id", "file_path", "line_number", "algorithm"]
