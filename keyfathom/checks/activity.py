@@ -284,7 +284,7 @@ SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN false WHEN 1 THEN true ELSE NOT ({_WO
   CASE doc_id % 4 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'uncertain' ELSE CASE WHEN {_WORDS} THEN 'false_positive' ELSE 'uncertain' END END AS label
 FROM r""")
 def verdict_rows(i: Inputs) -> DataFrame:
-    rows = verdicts.normalise(i.sql(_RESPONSES))
+    rows = verdicts.normalise(i.spread(_RESPONSES))
     return rows.select("doc_id", "is_crypto_usage", F.round("confidence", 6).alias("confidence"), "label")
 
 

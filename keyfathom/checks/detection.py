@@ -297,7 +297,7 @@ WITH binaries AS ({_BINARIES}),
 found AS (SELECT * FROM ({_native_sql()}) WHERE symbol <> '')
 SELECT doc_id, algorithm, symbol FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, algorithm ORDER BY ord) = 1""")
 def native_symbols(i: Inputs) -> DataFrame:
-    rows = i.sql(_BINARIES)
+    rows = i.spread(_BINARIES)
     rows = rows.select("doc_id", native.printable_text(F.encode("content", "UTF-8")).alias("text"))
     return native.symbol_hits(rows).select("doc_id", "algorithm", "symbol")
 

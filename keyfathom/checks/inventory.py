@@ -409,7 +409,9 @@ def dedupe_latest(i: Inputs) -> DataFrame:
     return lifecycle.newest_of_duplicates(i.view("findings_id_v")).select("finding_id", "archived")
 
 
-_RUNS = "SELECT DISTINCT repo_id, CAST(7 AS BIGINT) AS scan_run_id FROM new_pairs_v WHERE repo_id <> 4"
+# scanned are the known repositories; findings also belong to an unknown one
+_SCANNED = "SELECT DISTINCT n.repo_id FROM new_pairs_v n JOIN repos_v r ON r.repo_id = n.repo_id"
+_RUNS = f"SELECT repo_id, CAST(7 AS BIGINT) AS scan_run_id FROM ({_SCANNED}) s"
 _RECONCILED = f"""
 WITH runs AS ({_RUNS}),
 j AS (SELECT f.*, r.scan_run_id AS run, n.repo_id IS NOT NULL AS present FROM findings_id_v f LEFT JOIN runs r ON r.repo_id = f.repo_id
@@ -438,11 +440,15 @@ def reconcile(i: Inputs) -> DataFrame:
         "finding_id", "migration_status", "scan_run_id", "resolution_note")
 
 
-@check("untracked_pairs", _RECONCILED + """
-SELECT n.repo_id, n.file_path, n.algorithm FROM new_pairs_v n
+_NEW = """SELECT repo_id, file_path, algorithm FROM new_pairs_v
+UNION SELECT repo_id, file_path, algorithm FROM findings_v WHERE source_type = 'source_code'"""
+
+
+@check("untracked_pairs", _RECONCILED + f"""
+SELECT n.repo_id, n.file_path, n.algorithm FROM ({_NEW}) n
 WHERE NOT EXISTS (SELECT 1 FROM e WHERE el AND e.repo_id = n.repo_id AND e.file_path = n.file_path AND e.algorithm = n.algorithm)""")
 def untracked_pairs(i: Inputs) -> DataFrame:
-    return lifecycle.untracked(i.view("findings_id_v"), i.view("new_pairs_v"), i.sql(_RUNS))
+    return lifecycle.untracked(i.view("findings_id_v"), i.sql(_NEW), i.sql(_RUNS))
 
 
 @check("still_present", """
@@ -544,14 +550,14 @@ def scan_export(i: Inputs) -> DataFrame:
     return rows.groupBy("source", "file", "line", "algorithm", "type", "risk_level", "quantum_status").agg(F.count("*").alias("n"))
 
 
-@check("replaced_dependencies", """
+@check("replaced_dependencies", f"""WITH s AS ({_SCANNED})
 SELECT repo_id, source_type, count(*) AS n FROM (
-  SELECT repo_id, source_type FROM findings_id_v WHERE source_type <> 'dependency' OR repo_id IN (8, 9)
-  UNION ALL SELECT repo_id, 'dependency' FROM new_pairs_v WHERE repo_id NOT IN (8, 9)) GROUP BY ALL""")
+  SELECT repo_id, source_type FROM findings_id_v WHERE source_type <> 'dependency' OR repo_id NOT IN (SELECT repo_id FROM s)
+  UNION ALL SELECT repo_id, 'dependency' FROM new_pairs_v WHERE repo_id IN (SELECT repo_id FROM s)) GROUP BY ALL""")
 def replaced_dependencies(i: Inputs) -> DataFrame:
     findings = i.view("findings_id_v")
     fresh = i.view("new_pairs_v").withColumn("source_type", F.lit("dependency"))
-    scanned = i.sql("SELECT DISTINCT repo_id FROM new_pairs_v WHERE repo_id NOT IN (8, 9)")
+    scanned = i.sql(_SCANNED)
     fresh = fresh.join(scanned, "repo_id", "left_semi")
     old = findings.where(F.col("source_type") == "dependency")
     rest = findings.where(F.col("source_type") != "dependency")

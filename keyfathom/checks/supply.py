@@ -95,7 +95,7 @@ _ADVISORIES = """SELECT concat('ADV-', doc_id) AS id, CASE doc_id % 3 WHEN 0 THE
 
 
 def _advisories(i: Inputs) -> DataFrame:
-    rows = i.sql(_ADVISORIES)
+    rows = i.spread(_ADVISORIES)
     return rows.select("id", "ecosystem", "package", "summary", "details", F.array().cast("array<string>").alias("aliases"),
                        F.array("score").alias("severity"))
 

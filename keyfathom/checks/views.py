@@ -165,12 +165,17 @@ class Inputs:
         return self.sql(f"SELECT * FROM {name}")
 
     def files(self) -> DataFrame:
-        """The source corpus.  A small corpus in few file splits is spread over all cores."""
-        files = self.view("files_v")
+        return self.spread("SELECT * FROM files_v")
+
+    def spread(self, text: str) -> DataFrame:
+        """SQL over the documents, for work that is heavy per row.
+
+        Data in fewer file splits than there are cores, as a small test set is,
+        is dealt out to all cores; a large one is read as it lies.
+        """
         cores = self.spark.sparkContext.defaultParallelism
-        if self.table("documents").rdd.getNumPartitions() < cores:
-            return files.repartition(cores)
-        return files
+        rows = self.sql(text)
+        return rows.repartition(cores) if self.table("documents").rdd.getNumPartitions() < cores else rows
 
 
 def _bind(sql: str, words: set[str]) -> str:

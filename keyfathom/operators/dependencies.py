@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from keyfathom.dims import packages as dim
 from keyfathom.functions import grades as g
 from keyfathom.functions.groups import first_per
+from keyfathom.operators.detect import unnest
 from keyfathom.session import small_table
 
 _NUMBER = "decimal(38,0)"
@@ -99,14 +100,12 @@ def _text(*columns: str) -> Column:
     return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])
 
 
-def is_crypto_advisory() -> Column:
-    """Whether an advisory mentions cryptography at all."""
-    said = F.lower(F.concat_ws(" ", _text("summary", "details"), F.array_join("aliases", " ")))
+def is_crypto_text(said: Column) -> Column:
+    """Whether lower-cased advisory text mentions cryptography at all."""
     return reduce(lambda a, b: a | b, [F.contains(said, F.lit(k)) for k in dim.ADVISORY_KEYWORDS])
 
 
-def inferred_algorithm() -> Column:
-    said = F.lower(_text("summary", "details"))
+def inferred_algorithm(said: Column) -> Column:
     chosen = F.lit(dim.ADVISORY_DEFAULT_ALGORITHM)
     for fragment, algorithm in reversed(dim.ADVISORY_ALGORITHMS):
         chosen = F.when(F.contains(said, F.lit(fragment)), algorithm).otherwise(chosen)
@@ -131,12 +130,18 @@ def grade_advisories(advisories: DataFrame) -> DataFrame:
     in the feed's own ecosystem names; ``aliases`` and ``severity`` are arrays
     of text.
     """
-    feed = {k: v for k, v in dim.FEED_ECOSYSTEMS.items()}
+    texts = advisories.select(
+        "id", "ecosystem", "package", "summary", "severity", F.lower(_text("summary", "details")).alias("said"),
+        F.lower(F.array_join("aliases", " ")).alias("aliased"))
     score = cvss_score(F.col("severity"))
-    return advisories.where(is_crypto_advisory()).select(
-        "id", g.lookup(F.col("ecosystem"), feed).alias("ecosystem"), F.col("package").alias("name"),
-        F.coalesce("summary", F.lit(dim.ADVISORY_DEFAULT_SUMMARY)).alias("summary"),
-        inferred_algorithm().alias("algorithm"), score.alias("cvss_score"), cvss_risk(score).alias("risk_level"))
+    graded = F.struct(
+        F.col("id"), g.lookup(F.col("ecosystem"), dim.FEED_ECOSYSTEMS).alias("ecosystem"),
+        F.col("package").alias("name"), F.coalesce("summary", F.lit(dim.ADVISORY_DEFAULT_SUMMARY)).alias("summary"),
+        inferred_algorithm(F.col("said")).alias("algorithm"), score.alias("cvss_score"),
+        cvss_risk(score).alias("risk_level"))
+    # as an array and not as a filter, which would lower the text once per keyword
+    relevant = is_crypto_text(F.col("said")) | is_crypto_text(F.col("aliased"))
+    return unnest(texts.select(F.array_compact(F.array(F.when(relevant, graded))).alias("_g")), [], "_g")
 
 
 def advisory_findings(packages: DataFrame, advisories: DataFrame, keys: list[str] = ["repo_id"]) -> DataFrame:

@@ -85,7 +85,8 @@ def cyclonedx_lines(cbom: DataFrame, evidence: DataFrame, application: str, seri
     into place.  Only the first location of an algorithm, which takes no comma,
     is told apart, by an aggregate.
     """
-    first = evidence.groupBy("algorithm").agg(F.min("location").alias("first"), F.count("*").alias("n"))
+    places = evidence.groupBy("algorithm", "location").agg(F.count("*").alias("copies"))
+    first = places.groupBy("algorithm").agg(F.min("location").alias("first"))
     heads = cbom.withColumn("head", component_head(cbom)).join(first, "algorithm", "left")
     lowest = cbom.orderBy("priority", "algorithm").limit(1).select("algorithm", F.lit(True).alias("_first"))
     comma = F.when(F.col("_first"), "").otherwise(",")
@@ -96,8 +97,7 @@ def cyclonedx_lines(cbom: DataFrame, evidence: DataFrame, application: str, seri
     lines = opened.select(*order, F.lit(0).alias("sub"), F.lit("").alias("location"), F.lit(0).alias("copy"), open_line.alias("line"))
     where = F.to_json(F.struct("location"))
     # repeats of one location are counted, then written out again
-    placed = evidence.groupBy("algorithm", "location").agg(F.count("*").alias("copies")).join(
-        heads.select("algorithm", "priority", "first"), "algorithm")
+    placed = places.join(heads.select("algorithm", "priority", "first"), "algorithm")
     placed = placed.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     lead = F.when((F.col("location") == F.col("first")) & (F.col("copy") == 1), "").otherwise(",")
     lines = lines.unionAll(placed.select(*order, F.lit(1), "location", "copy", F.concat(lead, where)))
