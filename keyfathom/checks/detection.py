@@ -9,10 +9,10 @@ from keyfathom.checks.base import check, quoted
 from keyfathom.checks.views import Inputs
 from keyfathom.dims import grades, signals
 from keyfathom.dims.registry import REGISTRY
-from keyfathom.functions import paths, text
+from keyfathom.functions import text
 from keyfathom.functions.patterns import spans_lines
 from keyfathom.functions.sqltext import literal
-from keyfathom.operators import agility, bom, detect, native, reports, secrets
+from keyfathom.operators import agility, bom, detect, native, reports, secrets, tls
 
 # RE2 has no lookahead; within one line this is the same condition.
 _RE2 = {r"TLSv1\b(?!\.)": r"TLSv1(?:[^\w.]|$)"}
@@ -304,7 +304,7 @@ def native_symbols(i: Inputs) -> DataFrame:
 
 @check("endpoint_parse", """
 SELECT finding_id, regexp_extract(endpoint_raw, '//([^:/]+)', 1) AS host,
-  CASE WHEN endpoint_raw LIKE '%:8443/%' THEN 8443 ELSE 443 END AS port FROM tls_v""")
+  CASE WHEN endpoint_raw LIKE '%:8443/%' THEN 8443 ELSE 443 END AS port,
+  regexp_extract(endpoint_raw, '//([^:/]+)', 1) || CASE WHEN endpoint_raw LIKE '%:8443/%' THEN ':8443' ELSE ':443' END AS endpoint FROM tls_v""")
 def endpoint_parse(i: Inputs) -> DataFrame:
-    return i.view("tls_v").select("finding_id", paths.endpoint_parts(F.col("endpoint_raw")).alias("e")).select(
-        "finding_id", "e.host", "e.port")
+    return tls.with_endpoint(i.view("tls_v")).select("finding_id", "host", "port", "endpoint")

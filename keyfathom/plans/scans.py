@@ -129,4 +129,5 @@ def scan_artifacts(artifacts: DataFrame) -> DataFrame:
         "artifact_id", F.concat_ws("/", "artifact_name", "file_path").alias("file_path"), "algorithm", "algo_type",
         "risk_level", "quantum_status", "quantum_safe", "nist_replacement", "context",
         F.lit("").alias("dependency_name"), F.lit("").alias("dependency_version"))
-    return declared.unionByName(found).withColumn("source_type", F.lit("artifact"))
+    both = declared.withColumn("ord", F.lit(0)).unionByName(found.withColumn("ord", F.lit(1)))
+    return native.once_per_path(both).drop("ord").withColumn("source_type", F.lit("artifact"))

@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import random
-from collections import deque
 
 from tests.conftest import rows
 

@@ -4,11 +4,10 @@ import datetime as dt
 import json
 from pathlib import Path
 
-import pytest
 from tests.conftest import rows
 from pyspark.sql import functions as F
 
-from keyfathom.operators import bom, runtime, secrets, tls, verdicts
+from keyfathom.operators import runtime, secrets, tls, verdicts
 from keyfathom.plans.scans import next_findings, scan_repositories
 from keyfathom.session import checkpoint_dir
 from keyfathom.sinks import exports
@@ -187,6 +186,18 @@ def test_repository_scan_end_to_end(spark, table):
     assert again.count() == 4 and {r.scan_run_id for r in again.collect()} == {"2"}
 
 
+def test_raw_events_and_observations(spark, tmp_path):
+    stamp = int(T0.replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000_000 + 1_500
+    spark.createDataFrame([("h", stamp, 1, 1, 0, "c")], "host_id string, timestamp_ns long, pid long, tid long, probe_id long, comm string").write.parquet(str(tmp_path / "e"))
+    assert rows(tables.raw_events(spark, str(tmp_path / "e")), "ts", "pid", "probe_id") == [(T0 + dt.timedelta(microseconds=1), 1, 0)]
+    spark.createDataFrame([("f", " http://h:8443/x/y ", "complete")], "finding_id string, endpoint_raw string, scan_status string").write.parquet(str(tmp_path / "t"))
+    seen = tls.with_endpoint(tables.tls_observations(spark, str(tmp_path / "t")))
+    assert rows(seen, "endpoint", "host", "port", "tls_version") == [("h:8443", "h", 8443, None)]
+    (tmp_path / "adv.json").write_text(json.dumps({"id": "A", "ecosystem": "PyPI", "package": "x", "summary": "weak cipher", "aliases": ["CVE-1"], "severity": ["9.1"]}))
+    from keyfathom.operators.dependencies import grade_advisories
+    assert rows(grade_advisories(tables.advisories(spark, str(tmp_path / "adv.json"))), "id", "ecosystem", "algorithm", "risk_level") == [("A", "pypi", "RSA-2048", "CRITICAL")]
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert checkpoint_dir(spark)
     assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
