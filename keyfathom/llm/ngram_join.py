@@ -225,6 +225,15 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
+def compared(pairs: DataFrame, sets: DataFrame, texts: DataFrame, fragment: np.ndarray, words: int, percent: int
+             ) -> DataFrame:
+    """The similar ones of the pairs; only sets that stand in a pair are cut into segments."""
+    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    wanted = stage(sets.where("doc_id IS NOT NULL").join(ends, "sid", "left_semi").groupBy("sid").agg(
+        F.min("doc_id").alias("doc_id")), "wanted-sets")
+    return verified(pairs, stage(segments(texts, wanted, fragment, words), "segments"), percent)
+
+
 def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id reachable by links of similarity >= percent / 100.
@@ -232,7 +241,7 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     Null and empty texts have no shingles and link with nothing, nor do rows with a null id, whose
     component is null.
     Equal texts link; ties do not matter.  Other columns are not read.  An empty table gives no rows.
-    Work is linear in the texts, plus the pairs of both rounds; three passes read the texts, since
+    Work is linear in the texts, plus the pairs of both rounds; four passes read the texts, since
     their sets are larger than the texts and are not stored.
     """
     texts = _texts(docs, id_col, text_col)
@@ -248,12 +257,7 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     first = stage(lists.where(F.col("sid") != F.col("lead_sid")).where(fits("n", "lead_n", "pos", "lead_pos")).select(
         F.col("lead_sid").alias("a"), F.col("sid").alias("b"), F.col("lead_n").alias("na"),
         F.col("n").alias("nb")).distinct(), "first-pairs")
-    held = sets.join(lists.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(
-        F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL")
-    held = stage(held, "held-sets")
-    marks = held.select("doc_id", "sid")
-    parts = stage(segments(texts, marks, fragment, words), "segments")
-    links = stage(verified(first, parts, percent), "first-links")
+    links = stage(compared(first, sets, texts, fragment, words, percent), "first-links")
     roots = components(links, "first")
 
     members = lists.select("shingle", "sid", "n", "pos").distinct().join(
@@ -268,7 +272,7 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
         F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
     done = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = stage(second.distinct().join(done, ["a", "b"], "left_anti"), "second-pairs")
-    links = links.unionByName(verified(second, parts, percent))
+    links = links.unionByName(compared(second, sets, texts, fragment, words, percent))
     roots = components(links, "all")
 
     rooted = sets.select("doc_id", "sid", "n").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn(
