@@ -6,10 +6,12 @@ order gives right results, a good one gives short lists.  Two sets that are simi
 the first shingles of both, which yields candidates.  The order is cut into fragments; the overlap
 of a candidate pair is counted in each fragment alone, from the two segments, and summed.
 
-Equal sets are one vertex.  In a first round each list of sets sharing a shingle is compared with
-its leader only, the set with the fewest rarer shingles.  A second round compares all remaining
-pairs of a list that the first has not joined into one component; so no link between components
-can be missed and a large group of near copies costs as many pairs as it has members.
+Equal sets are one vertex.  In a first round the members of each list of sets sharing a shingle are
+compared with its leader, the set with the fewest rarer shingles, and in some lists with their
+neighbours.  A second round compares all remaining pairs of a list that the first has not joined into
+one component; so no link between components can be missed, and a large group of near copies costs
+about as many pairs as it has members.  Pairs whose parity maps lie too far apart are not similar and
+go without a count.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ BUCKETS = 1 << 17
 FRAGMENTS = 4
 #: Bits of the filter that keeps sets without partners from being shuffled.
 FILTER_BITS = 1 << 22
+#: Bits of a set's parity map: two maps differ in no more bits than the sets in elements.
+PARITY_BITS = 512
+#: One list in so many also compares each member with the one before it.
+NEIGHBOURS = 8
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -90,39 +96,49 @@ def _set_id(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype("int64"))
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """Bit k tells whether an odd number of shingles falls into cell k."""
+    cells = np.bincount((shingles >> np.uint64(40)).astype("int64") % PARITY_BITS, minlength=PARITY_BITS) & 1
+    return np.packbits(cells.astype("u1")).view("<i8")
+
+
 def set_prefixes(texts: DataFrame, place: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, sid, n, prefix): the id of each set, its size, and the shingles a partner must share one of.
+    """(doc_id, sid, n, parity, prefix): each set's id, size, parity map and shingles a partner must share one of.
 
     A set met before in the same task has a null prefix: copies are thinned before any shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            sids, sizes, prefixes = [], [], []
+            sids, sizes, parities, prefixes = [], [], [], []
             for doc, text in zip(*batch.columns, strict=True):
                 shingles = shingle_set(text.as_py(), words)
                 n, sid = len(shingles), _set_id(shingles)
                 sids.append(sid)
                 sizes.append(n)
                 if sid in met or not n or not doc.is_valid:
+                    parities.append(None)
                     prefixes.append(None)
                     continue
                 if len(met) > 1_000_000:
                     met.clear()
                 met.add(sid)
+                parities.append(_parity(shingles))
                 prefixes.append(_ordered(shingles, place)[:n - (percent * n + 99) // 100 + 1].view("i8"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()),
-                 pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "sid", "n", "prefix"])
+                 pa.array(parities, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc_id", "sid", "n", "parity", "prefix"])
 
-    return texts.mapInArrow(run, "doc_id long, sid long, n int, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, sid long, n int, parity array<long>, prefix array<long>")
 
 
-SHARED = "shingle long, pos int, n int, sid long, lead_pos int, lead_n int, lead_sid long"
+SHARED = ("shingle long, pos int, n int, sid long, lead_pos int, lead_n int, lead_sid long, "
+          "next_pos int, next_n int, next_sid long")
 
 
 def shared_lists(sets: DataFrame) -> DataFrame:
-    """Members of all lists with two sets or more, each with its list's leader.
+    """Members of all lists with two sets or more, each with its list's leader and the member before it.
 
     Lists are sorted ranges of (shingle, pos, n, sid), so a long one is spread over tasks, each
     with a leader of its own; the first and last rows of a task are kept even if single.
@@ -130,7 +146,7 @@ def shared_lists(sets: DataFrame) -> DataFrame:
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(rows: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(c[keep], pa.int64() if i in (0, 3, 6) else pa.int32()) for i, c in enumerate(rows)],
+                [pa.array(c[keep], pa.int64() if i in (0, 3, 6, 9) else pa.int32()) for i, c in enumerate(rows)],
                 names=SHARED.replace(",", "").split()[::2])
 
         last = None  # the row held back, with its leader
@@ -146,6 +162,9 @@ def shared_lists(sets: DataFrame) -> DataFrame:
             for i in (1, 2, 3):
                 first = columns[i][heads]
                 rows.append(np.concatenate([last[i + 3] if last else first[:1], first])[run])
+            for i in (1, 2, 3):
+                one_before = np.concatenate([last[i] if last else columns[i][:1], columns[i][:-1]])
+                rows.append(np.where(same, one_before, columns[i]))
             if last is not None:
                 rows = [np.concatenate([a, b]) for a, b in zip(last, rows, strict=True)]
                 same = np.r_[False, same]
@@ -225,6 +244,14 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
+def _near_parity(n: str, m: str, left: str, right: str, percent: int):
+    """False only for pairs that cannot be similar: their sets differ in too many elements."""
+    apart = F.lit(0)
+    for k in range(PARITY_BITS // 64):
+        apart = apart + F.bit_count(F.get(left, F.lit(k)).bitwiseXOR(F.get(right, F.lit(k))))
+    return apart.cast("long") * (100 + percent) <= (F.col(n) + F.col(m)).cast("long") * (100 - percent)
+
+
 def compared(pairs: DataFrame, sets: DataFrame, texts: DataFrame, fragment: np.ndarray, words: int, percent: int
              ) -> DataFrame:
     """The similar ones of the pairs; only sets that stand in a pair are cut into segments."""
@@ -254,9 +281,16 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
         return ((F.least(n, m) * 100 >= F.greatest(n, m) * percent)
                 & (F.least(n - n_pos, m - m_pos) * (100 + percent) >= (n + m) * percent))
 
-    first = stage(lists.where(F.col("sid") != F.col("lead_sid")).where(fits("n", "lead_n", "pos", "lead_pos")).select(
-        F.col("lead_sid").alias("a"), F.col("sid").alias("b"), F.col("lead_n").alias("na"),
-        F.col("n").alias("nb")).distinct(), "first-pairs")
+    def partners(of: DataFrame, kind: str) -> DataFrame:
+        return of.where(F.col("sid") != F.col(f"{kind}_sid")).where(fits("n", f"{kind}_n", "pos", f"{kind}_pos")).select(
+            F.least("sid", f"{kind}_sid").alias("a"), F.greatest("sid", f"{kind}_sid").alias("b"))
+
+    known = stage(sets.where("prefix IS NOT NULL").join(lists.select("sid").distinct(), "sid", "left_semi").groupBy(
+        "sid").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "parities")
+    first = partners(lists, "lead").unionByName(
+        partners(lists.where(F.pmod("shingle", F.lit(NEIGHBOURS)) == 0), "next")).distinct()
+    first = stage(first.join(known.toDF("a", "na", "pa"), "a").join(known.toDF("b", "nb", "pb"), "b").where(
+        _near_parity("na", "nb", "pa", "pb", percent)).select("a", "b", "na", "nb"), "first-pairs")
     links = stage(compared(first, sets, texts, fragment, words, percent), "first-links")
     roots = components(links, "first")
 
@@ -265,13 +299,15 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     members = stage(members, "members")
     mixed = members.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
         "low < high").select("shingle")
-    open_lists = members.join(mixed, "shingle", "left_semi")
+    open_lists = members.join(mixed, "shingle", "left_semi").join(known.select("sid", "parity"), "sid")
     x, y = open_lists.alias("x"), open_lists.alias("y")
     second = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") < F.col("y.root"))
-                    & fits("x.n", "y.n", "x.pos", "y.pos")).select(
-        F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    done = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = stage(second.distinct().join(done, ["a", "b"], "left_anti"), "second-pairs")
+                    & fits("x.n", "y.n", "x.pos", "y.pos")
+                    & _near_parity("x.n", "y.n", "x.parity", "y.parity", percent)).select(
+        F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"),
+        F.when(F.col("x.sid") < F.col("y.sid"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"),
+        F.when(F.col("x.sid") < F.col("y.sid"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))
+    second = stage(second.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "second-pairs")
     links = links.unionByName(compared(second, sets, texts, fragment, words, percent))
     roots = components(links, "all")
 
