@@ -33,6 +33,8 @@ FRAGMENTS = 4
 FILTER_BITS = 1 << 22
 #: Bits of a set's parity map: two maps differ in no more bits than the sets in elements.
 PARITY_BITS = 512
+#: Longer lists are passed on without a look at their pairs.
+LOOKED_AT = 32
 #: One list in so many also compares each member with the one before it.
 NEIGHBOURS = 8
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -137,44 +139,69 @@ SHARED = ("shingle long, pos int, n int, sid long, lead_pos int, lead_n int, lea
           "next_pos int, next_n int, next_sid long")
 
 
-def shared_lists(sets: DataFrame) -> DataFrame:
+def _has_partner(run: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """Whether another row of the same run could be similar, by sizes and places; long runs all may."""
+    found = np.zeros(len(run), bool)
+    size = np.bincount(run)[run]
+    for step in range(1, LOOKED_AT):
+        i = np.flatnonzero((size[:-step] <= LOOKED_AT) & (run[:-step] == run[step:]))
+        if not len(i):
+            break
+        j = i + step
+        fits = ((np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+                & (np.minimum(n[i] - pos[i], n[j] - pos[j]) * (100 + percent) >= (n[i] + n[j]) * percent))
+        found[i[fits]] = True
+        found[j[fits]] = True
+    return found | (size > LOOKED_AT)
+
+
+def shared_lists(sets: DataFrame, percent: int) -> DataFrame:
     """Members of all lists with two sets or more, each with its list's leader and the member before it.
 
     Lists are sorted ranges of (shingle, pos, n, sid), so a long one is spread over tasks, each
-    with a leader of its own; the first and last rows of a task are kept even if single.
+    with a leader of its own.  Members that no other of their list could be similar to go; the lists
+    at the ends of a batch are kept whole, since the rest of them is not in sight.
     """
+    names = SHARED.replace(",", "").split()[::2]
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(rows: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array(c[keep], pa.int64() if i in (0, 3, 6, 9) else pa.int32()) for i, c in enumerate(rows)],
-                names=SHARED.replace(",", "").split()[::2])
+                names=names)
 
-        last = None  # the row held back, with its leader
+        last = None  # the row held back, with its leader and the one before it
         last_shared = True  # the first row of a task is kept
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [np.asarray(c) for c in batch.columns]
-            same = np.r_[last is not None and last[0][0] == columns[0][0], columns[0][1:] == columns[0][:-1]]
-            run = np.cumsum(~same)
+            rows = [np.asarray(c) for c in batch.columns]
+            if last is not None:
+                rows = [np.concatenate([a, b]) for a, b in zip(last, rows)]
+            copies = np.r_[False, (rows[0][1:] == rows[0][:-1]) & (rows[3][1:] == rows[3][:-1])]
+            rows = [c[~copies] for c in rows]
+            same = np.r_[False, rows[0][1:] == rows[0][:-1]]
+            run = np.cumsum(~same) - 1
             heads = np.flatnonzero(~same)
-            rows = list(columns)
+            carried = rows[:4]
             for i in (1, 2, 3):
-                first = columns[i][heads]
-                rows.append(np.concatenate([last[i + 3] if last else first[:1], first])[run])
+                first = carried[i][heads]
+                if last is not None:
+                    first[0] = last[i + 3][0]
+                rows.append(first[run])
             for i in (1, 2, 3):
-                one_before = np.concatenate([last[i] if last else columns[i][:1], columns[i][:-1]])
-                rows.append(np.where(same, one_before, columns[i]))
-            if last is not None:
-                rows = [np.concatenate([a, b]) for a, b in zip(last, rows, strict=True)]
-                same = np.r_[False, same]
-            after = np.r_[same[1:], False]
-            keep = same | after
+                before = np.where(same, np.r_[carried[i][:1], carried[i][:-1]], carried[i])
+                if last is not None:
+                    before[0] = last[i + 6][0]
+                rows.append(before)
+            keep = same | np.r_[same[1:], False]
             keep[0] |= last_shared
-            if len(keep) > 1 and keep[:-1].any():
+            last_shared = bool(keep[-1])
+            whole = (run != 0) & (run != run[-1])
+            keep &= ~whole | _has_partner(run, rows[2].astype("int64"), rows[1].astype("int64"), percent)
+            if keep[:-1].any():
                 yield emit(rows, np.r_[keep[:-1], False])
             last = [c[-1:] for c in rows]
-            last_shared = bool(same[-1]) or (len(keep) == 1 and last_shared)
         if last is not None:
             yield emit(last, np.ones(1, bool))
 
@@ -274,7 +301,7 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     texts = _texts(docs, id_col, text_col)
     place, fragment = global_order(texts, words)
     sets = stage(set_prefixes(texts, place, words, percent), "sets")
-    lists = stage(shared_lists(sets), "shared-lists")
+    lists = stage(shared_lists(sets, percent), "shared-lists")
 
     def fits(n: str, m: str, n_pos: str, m_pos: str):
         n, m, n_pos, m_pos = (F.col(c).cast("long") for c in (n, m, n_pos, m_pos))
@@ -294,7 +321,7 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     links = stage(compared(first, sets, texts, fragment, words, percent), "first-links")
     roots = components(links, "first")
 
-    members = lists.select("shingle", "sid", "n", "pos").distinct().join(
+    members = lists.select("shingle", "sid", "n", "pos").join(
         roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     members = stage(members, "members")
     mixed = members.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
