@@ -158,10 +158,22 @@ def _fits(moments: DataFrame, scale: float) -> DataFrame:
     return moments.select("grp", "start", "n", "sums", "products").mapInArrow(run, FIT)
 
 
+def _scaled(step: float):
+    return lambda v: v * step
+
+
 def _starts(rows: DataFrame) -> DataFrame:
     """Two starts per group: medians with the middle half's spread, and all rows' moments."""
-    middle = rows.groupBy("grp").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}")
-                                       for i in range(DIM)))
+    # Quartiles from counts per group, statistic and bin: combined before the shuffle, never held per group.
+    bins = rows.select("grp", F.posexplode(F.array(*(F.round(F.col(f"x{i}") / (VECTOR[i][2] / 10)) for i in range(DIM)))))
+    counts = bins.groupBy("grp", "pos", "col").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("grp", "pos")
+    summed = counts.withColumn("up_to", F.sum("n").over(own.orderBy("col"))).withColumn("all", F.sum("n").over(own))
+    marks = [F.min(F.when(F.col("up_to") >= F.col("all") * q, F.col("col"))) for q in (0.25, 0.5, 0.75)]
+    quartiles = summed.groupBy("grp", "pos").agg(F.array(*marks).alias("q"))
+    middle = quartiles.groupBy("grp").agg(*(F.transform(F.first(F.when(F.col("pos") == i, F.col("q")), True),
+                                                        _scaled(VECTOR[i][2] / 10)).alias(f"q{i}")
+                                            for i in range(DIM)))
     spread = [F.pow((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / 1.349, 2) + VECTOR[i][2] ** 2
               for i in range(DIM)]
     diagonal = [F.lit(1.0) / spread[i] if i == j else F.lit(0.0) for i, j in _PAIRS]
