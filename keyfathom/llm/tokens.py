@@ -8,14 +8,15 @@ stretch of text goes to the library.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-#: Entries a worker keeps; then it starts anew.
-CACHED_WORDS = 600_000
+#: Words of one generation that a worker keeps.
+CACHED_WORDS = 400_000
 #: Characters handled at once; longer texts are cut where words meet.
 STRETCH = 1 << 19
 
@@ -34,19 +35,30 @@ def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
 
 
 class WordCache:
-    """Ids of words as little-endian 32-bit strings, encoded in batches of unseen words."""
+    """Ids of words as little-endian 32-bit strings.
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[list[int]]], limit: int = CACHED_WORDS):
-        self.encode_many, self.limit, self.known = encode_many, limit, {}
+    Two generations: a full dictionary becomes the old one, and what is still met moves to the new,
+    so that frequent words stay and memory is bounded.
+    """
 
-    def ids(self, words: list[str]) -> bytes:
+    def __init__(self, encode_many: Callable[[list], Iterable[list[int]]], limit: int = CACHED_WORDS):
+        self.encode_many, self.limit, self.known, self.old = encode_many, limit, {}, {}
+
+    def ids(self, words: list) -> bytes:
         known = self.known
         if new := [w for w in set(words) if w not in known]:
             if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(set(words))
+                self.old, self.known = known, {}
+                known, new = self.known, list(set(words))
+            old = self.old
+            unseen = []
+            for word in new:
+                if (found := old.get(word)) is not None:
+                    known[word] = found
+                else:
+                    unseen.append(word)
             known.update((w, np.array(ids, "<u4").tobytes())
-                         for w, ids in zip(new, self.encode_many(new), strict=True))
+                         for w, ids in zip(unseen, self.encode_many(unseen), strict=True))
         return b"".join([known[w] for w in words])
 
 
@@ -58,13 +70,35 @@ def _library(path: str):
     return made
 
 
+def _steps(tokenizer) -> Callable[[str], list[int]]:
+    """The library's own normaliser, splitter and model one after the other, without its offsets.
+
+    Pieces of words repeat more often than words, so the model's part is kept.
+    """
+    if any(not t.special for t in tokenizer.get_added_tokens_decoder().values()):
+        return lambda word: tokenizer.encode(word, add_special_tokens=False).ids
+    normalizer, splitter, model = tokenizer.normalizer, tokenizer.pre_tokenizer, tokenizer.model
+    known: dict[str, list[int]] = {}
+
+    def encode(word: str) -> list[int]:
+        ids: list[int] = []
+        for piece, _ in splitter.pre_tokenize_str(normalizer.normalize_str(word) if normalizer else word):
+            if (found := known.get(piece)) is None:
+                if len(known) > CACHED_WORDS // 2:
+                    known.clear()
+                found = known[piece] = [t.id for t in model.tokenize(piece)]
+            ids += found
+        return ids
+
+    return encode
+
+
 class SpacelessWords:
     """Tokenizers that drop white space: words are what stands between it."""
 
     def __init__(self, path: str):
-        tokenizer = _library(path)
-        self.cache = WordCache(lambda words: [
-            e.ids for e in tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)])
+        encode = _steps(_library(path))
+        self.cache = WordCache(lambda words: [encode(w.decode()) for w in words])
 
     def encode(self, text: str) -> bytes:
         return b"".join(self.cache.ids(part.encode().split()) for part in stretches(text))
@@ -75,8 +109,7 @@ class SpacedWords:
 
     def __init__(self, path: str):
         self.tokenizer = _library(path)
-        self.cache = WordCache(lambda words: [
-            e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)])
+        self.cache = WordCache(functools.partial(map, _steps(self.tokenizer)))
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self._part, stretches(text)))
