@@ -224,29 +224,28 @@ def segments(texts: DataFrame, wanted: DataFrame, fragment: np.ndarray, words: i
     """(sid, fragment, segment): the sorted shingles of each wanted set, apart by fragment.
 
     wanted: (doc_id, sid), one document per set.  Most other sets are passed over by a filter of
-    fixed size before anything is shuffled; the join is what decides.
+    fixed size, so nothing is shuffled here; the join with pairs leaves out what else came through.
     """
     bits = _filter_words(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, mark in zip(*batch.columns, strict=True):
+            for text, mark in zip(*batch.columns, strict=True):
                 mark = mark.as_py()
                 if not bits[mark % FILTER_BITS >> 6] >> (mark & 63) & 1:
                     continue
                 shingles = shingle_set(text.as_py(), words)
                 sid, parts = _set_id(shingles), fragment[_bucket(shingles)]
                 for f in np.unique(parts).tolist():
-                    out.append((doc.as_py(), sid, f, shingles[parts == f].tobytes()))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
+                    out.append((sid, f, shingles[parts == f].tobytes()))
+            columns = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
-                names=["doc_id", "sid", "fragment", "segment"])
+                [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)],
+                names=["sid", "fragment", "segment"])
 
-    marked = texts.select("doc_id", "text", F.xxhash64("doc_id").alias("mark"))
-    return marked.mapInArrow(run, "doc_id long, sid long, fragment int, segment binary").join(
-        wanted, ["doc_id", "sid"], "left_semi").select("sid", "fragment", "segment")
+    marked = texts.where("doc_id IS NOT NULL").select("text", F.xxhash64("doc_id").alias("mark"))
+    return marked.mapInArrow(run, "sid long, fragment int, segment binary")
 
 
 def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -261,10 +260,11 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 
     left = parts.select(F.col("sid").alias("a"), "fragment", F.col("segment").alias("left_part"))
     right = parts.select(F.col("sid").alias("b"), "fragment", F.col("segment").alias("right_part"))
-    joined = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
+    # Merged at every size: neither side has a bound that would allow a broadcast.
+    joined = pairs.hint("merge").join(left, "a").join(right.hint("merge"), ["b", "fragment"]).select(
         "a", "b", "na", "nb", "fragment", "left_part", "right_part")
     counted = joined.mapInArrow(overlap, "a long, b long, na int, nb int, fragment int, common int")
-    # A document that is in the table twice gives equal counts twice; the maximum is one of them.
+    # A set that came from two documents gives equal counts twice; the maximum is one of them.
     return (counted.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
             .groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
             .where(F.col("common") * (100 + percent) >= (F.col("na") + F.col("nb")).cast("long") * percent)
