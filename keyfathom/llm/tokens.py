@@ -22,7 +22,9 @@ STRETCH = 1 << 19
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _GAPS = re.compile(r"\s\s")
-_SPACED = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]")
+# Fixed value: the split of these tokenizers, for texts without _GAPS and _OTHER.
+_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s")
+_OTHER = re.compile("[^\x00-\u024f]|[\x1c-\x1f²³¹¼½¾]")
 
 
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
@@ -105,19 +107,37 @@ class SpacelessWords:
 
 
 class SpacedWords:
-    """Byte-level tokenizers that put one space before a word into its token."""
+    """Byte-level tokenizers that put one space before a word into its token.
+
+    Texts of Latin letters without runs of white space are split as the tokenizer's pattern splits
+    them, and only the model is asked for the pieces; all others are split by the library.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = _library(path)
-        self.cache = WordCache(functools.partial(map, _steps(self.tokenizer)))
+        self.model, self.splitter = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        self.plain = (self.tokenizer.normalizer is None and self._splits_alike()
+                      and all(t.special for t in self.tokenizer.get_added_tokens_decoder().values()))
+        self.cache = WordCache(functools.partial(map, self._piece))
+
+    def _splits_alike(self) -> bool:
+        text = "a 'll bc's12 d_#e\nf  g".replace("  ", " ") + " é1,.x "
+        pieces = [p for p, _ in self.splitter.pre_tokenize_str(text)]
+        return pieces == [q for word in _PIECES.findall(text) for q, _ in self.splitter.pre_tokenize_str(word)] and len(
+            pieces) == len(_PIECES.findall(text))
+
+    def _piece(self, piece: str) -> list[int]:
+        if piece.isascii() and piece.isprintable() and " " not in piece[1:]:
+            return [t.id for t in self.model.tokenize(piece.replace(" ", "Ġ"))]
+        return [t.id for part, _ in self.splitter.pre_tokenize_str(piece) for t in self.model.tokenize(part)]
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self._part, stretches(text)))
 
     def _part(self, text: str) -> bytes:
-        if _GAPS.search(text):
+        if not self.plain or _GAPS.search(text) or _OTHER.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.cache.ids(_SPACED.findall(text))
+        return self.cache.ids(_PIECES.findall(text))
 
 
 _MADE: dict[tuple, object] = {}
