@@ -70,7 +70,9 @@ def _is_main_guard(node: ast.AST) -> bool:
             and any(getattr(c, "value", None) == "__main__" for c in test.comparators))
 
 
-def _python_rows(repo_id: str, path: str, source: str) -> Iterator[tuple]:
+def _python_rows(repo_id: str, path: str, source: str | None) -> Iterator[tuple]:
+    if source is None:
+        return
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore", SyntaxWarning)

@@ -48,7 +48,8 @@ def binary_findings(members: DataFrame) -> DataFrame:
 
     ``members(artifact_id, artifact_name, file_path, content)`` with bytes.
     """
-    native = members.where(is_native_binary(F.col("content")))
+    # Class files begin like fat Mach-O files; they are bytecode_findings' part.
+    native = members.where(is_native_binary(F.col("content")) & ~F.endswith("file_path", F.lit(".class")))
     rows = native.select("artifact_id", "artifact_name", "file_path", printable_text(F.col("content")).alias("text"))
     hits = symbol_hits(rows)
     return hits.withColumn("context", F.concat(F.lit("Crypto symbol/string found in binary: "), F.col("symbol")))

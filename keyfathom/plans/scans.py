@@ -126,7 +126,7 @@ def scan_artifacts(artifacts: DataFrame) -> DataFrame:
     symbols = native.binary_findings(members.select("artifact_id", "artifact_name", "file_path", "content")).unionByName(
         native.bytecode_findings(members).drop("jar"))
     found = symbols.select(
-        "artifact_id", F.concat_ws("/", "artifact_name", "file_path").alias("file_path"), "algorithm", "algo_type",
+        "artifact_id", F.concat_ws("/", "artifact_name", F.nullif("file_path", F.lit(""))).alias("file_path"), "algorithm", "algo_type",
         "risk_level", "quantum_status", "quantum_safe", "nist_replacement", "context",
         F.lit("").alias("dependency_name"), F.lit("").alias("dependency_version"))
     both = declared.withColumn("ord", F.lit(0)).unionByName(found.withColumn("ord", F.lit(1)))

@@ -10,8 +10,10 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import lzma
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,15 +25,21 @@ from keyfathom.functions.text import decode_text
 from keyfathom.schemas import MEMBERS
 
 BATCH_BYTES = 32 << 20
-MAX_NESTING = 8
+#: What the standard library raises for damaged, encrypted and unknown contents.
+BROKEN = (zipfile.BadZipFile, tarfile.TarError, zlib.error, lzma.LZMAError, EOFError, OSError, ValueError, RuntimeError)
 _COLUMNS = [part.split()[0] for part in MEMBERS.split(", ")]
 
 
 def _zip_members(data: bytes) -> Iterator[tuple[str, bytes]]:
+    """Members one by one; one that cannot be read is listed without content."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         for info in archive.infolist():
             if not info.is_dir():
-                yield info.filename, archive.read(info)
+                try:
+                    content = archive.read(info)
+                except BROKEN:
+                    content = b""
+                yield info.filename, content
 
 
 def _tar_members(data: bytes) -> Iterator[tuple[str, bytes]]:
@@ -60,15 +68,18 @@ def _open(data: bytes, prefix: str, jar: str, layer: int | None, depth: int) ->
         path = prefix + name
         inner_jar = name.lower().endswith(".jar")
         inner_tar = name in layers or name in ("data.tar.gz", "data.tar.xz", "control.tar.gz")
-        if depth < MAX_NESTING and (inner_jar or inner_tar):
+        if inner_jar or inner_tar:
             try:
                 yield from _open(content, path + "/" if inner_jar else prefix, path if inner_jar else jar,
                                  layers.get(name, layer), depth + 1)
                 continue
-            except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError):
+            except BROKEN:
                 pass
         if name.endswith("metadata.gz"):
-            content = gzip.decompress(content)
+            try:
+                content = gzip.decompress(content)
+            except BROKEN:
+                pass
         yield jar, layer, path, content
 
 
@@ -90,8 +101,8 @@ def unpack(artifacts: DataFrame) -> DataFrame:
                         if held > BATCH_BYTES:
                             yield _frame(rows)
                             rows, held = [], 0
-                except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, ValueError):
-                    rows.append((row.artifact_id, row.artifact_name, "", None, "", len(row.content), row.content))
+                except BROKEN:
+                    rows.append((row.artifact_id, row.artifact_name, "", None, "", len(row.content), bytes(row.content)))
                 if rows:
                     yield _frame(rows)
 

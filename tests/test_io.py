@@ -201,3 +201,33 @@ def test_raw_events_and_observations(spark, tmp_path):
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert checkpoint_dir(spark)
     assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+
+
+def test_damaged_and_deep_archives_do_not_end_the_scan(table):
+    import io
+    import zipfile
+
+    from keyfathom.operators.native import binary_findings, bytecode_findings
+    from keyfathom.sources.archives import unpack
+
+    def jar(members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            for name, body in members.items():
+                archive.writestr(name, body)
+        return out.getvalue()
+
+    kinds = b"\xca\xfe\xba\xbe\x00\x00\x00\x34" + b"\x00RSA_generate_key_ex\x00"
+    deep = jar({"A.class": kinds, "B.class": kinds})
+    for k in range(10):
+        deep = jar({f"level{k}.jar": deep})
+    damaged = bytearray(jar({"good.txt": b"fine", "bad.txt": b"x" * 100}))
+    at = bytes(damaged).index(b"bad.txt") + len("bad.txt")
+    damaged[at:at + 20] = b"y" * 20
+    members = unpack(table("artifact_id string, artifact_name string, content binary", ("1", "deep.jar", deep),
+                           ("2", "damaged.zip", bytes(damaged)), ("3", "junk.zip", b"PKjunk")))
+    found = {(r.artifact_id, r.file_path.rsplit("/", 1)[-1]): bytes(r.content) for r in members.collect()}
+    assert found["1", "A.class"] == kinds and found["2", "good.txt"] == b"fine" and found["2", "bad.txt"] == b""
+    assert found["3", ""] == b"PKjunk"
+    assert binary_findings(members).count() == 0
+    assert bytecode_findings(members).where("artifact_id = '1'").groupBy("algorithm").count().where("count > 1").isEmpty()
