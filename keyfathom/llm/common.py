@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,27 @@ from keyfathom.session import checkpoint_dir
 
 
 _SHIPPED: set[str] = set()
+_HELD: dict[tuple, object] = {}
+#: Bytes of rows that a Python worker gets at once, where the session has Spark's default of 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task: one thing, which goes when another operator keeps its own."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application, so that tasks can import it."""
+    """Sends this package to the executors, once per application, so that tasks can import it.
+
+    Also makes the session's batches for Python workers small, unless it has its own size.
+    """
+    if spark.conf.get(_BATCH).strip("bB") == str(64 << 20):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if spark.sparkContext.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]

@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
+from keyfathom.llm.common import held
+
 #: Words of one generation that a worker keeps.
 CACHED_WORDS = 400_000
 #: Characters handled at once; longer texts are cut where words meet.
@@ -140,11 +142,6 @@ class SpacedWords:
         return self.cache.ids(_PIECES.findall(text))
 
 
-_MADE: dict[tuple, object] = {}
-
-
 def shared(kind: type, path: str):
     """One encoder per worker process and file."""
-    if (kind, path) not in _MADE:
-        _MADE[kind, path] = kind(path)
-    return _MADE[kind, path]
+    return held((kind, path), lambda: kind(path))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfathom.llm.common import stage
+from keyfathom.llm.common import held, stage
 
 #: Letters of the model: word border, a to z, and one for all other characters.
 SIZE = 28
@@ -177,16 +177,6 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-_SCORER: list = [None, None]
-
-
-def _scorer(key: str, costs: np.ndarray, weights: dict[str, float], curve: np.ndarray) -> Scorer:
-    """One per worker process and model, so that decoded stretches stay known."""
-    if _SCORER[0] != key:
-        _SCORER[:] = [key, Scorer(costs, weights, curve)]
-    return _SCORER[1]
-
-
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of at most LABELLED labelled rows that are not held out."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(
@@ -278,7 +268,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     key = xxhash.xxh3_64_hexdigest(costs.tobytes() + repr(sorted(weights.items())).encode() + curve.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(key, costs, weights, curve)
+        scorer = held(("scorer", key), lambda: Scorer(costs, weights, curve))
         for batch in batches:
             scores = [scorer.score(text.as_py() or "") for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
