@@ -15,18 +15,18 @@ from keyfathom.session import checkpoint_dir
 
 
 _SHIPPED: set[str] = set()
-_HELD: dict[tuple, object] = {}
+_KEPT: dict[tuple, object] = {}
 #: Bytes of rows that a Python worker gets at once, where the session has Spark's default of 64 MB.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def held(key: tuple, make: Callable[[], object]) -> object:
+def per_worker(key: tuple, make: Callable[[], object]) -> object:
     """What a worker process keeps from task to task: one thing, which goes when another operator keeps its own."""
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = make()
-    return _HELD[key]
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def ship(spark: SparkSession) -> None:

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-from keyfathom.llm.common import held
+from keyfathom.llm.common import per_worker
 
 #: Words of one generation that a worker keeps.
 CACHED_WORDS = 400_000
@@ -144,4 +144,4 @@ class SpacedWords:
 
 def shared(kind: type, path: str):
     """One encoder per worker process and file."""
-    return held((kind, path), lambda: kind(path))
+    return per_worker((kind, path), lambda: kind(path))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfathom.llm.common import held, stage
+from keyfathom.llm.common import per_worker, stage
 
 #: Letters of the model: word border, a to z, and one for all other characters.
 SIZE = 28
@@ -268,7 +268,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     key = xxhash.xxh3_64_hexdigest(costs.tobytes() + repr(sorted(weights.items())).encode() + curve.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = held(("scorer", key), lambda: Scorer(costs, weights, curve))
+        scorer = per_worker(("scorer", key), lambda: Scorer(costs, weights, curve))
         for batch in batches:
             scores = [scorer.score(text.as_py() or "") for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
