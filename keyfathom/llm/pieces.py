@@ -64,7 +64,7 @@ class Pieces:
         glued = any(SPACE in t.lstrip(SPACE) for t in self.text.values())
         self.words = re.compile(".+" if glued else f"{SPACE}*[^{SPACE}{hard}]+|{SPACE}+|\n", re.S)
         self.whole = glued
-        self.cache = WordCache(lambda words: map(self.word_ids, words))
+        self.cache = WordCache(self.word_ids)
 
     def _last_merge(self, piece: int, made: set[int]) -> tuple[int, int] | None:
         """The two tokens whose merge ends in this piece; none if merging its own text never gives it."""

@@ -8,10 +8,11 @@ stretch of text goes to the library.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+import struct
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 
@@ -23,11 +24,19 @@ CACHED_WORDS = 400_000
 STRETCH = 1 << 19
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_GAPS = re.compile(r"\s\s")
-# Fixed value: the split of these tokenizers, for texts without _GAPS and _OTHER.
-_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s")
+# Fixed value: the split of these tokenizers, for texts of Latin characters without _OTHER.
+_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\s0-9A-Za-zªµºÀ-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
 _OTHER = re.compile("[^\x00-\u024f]|[\x1c-\x1f²³¹¼½¾]")
 
+_SHOWN = [c for c in range(256) if chr(c).isprintable() and chr(c) != " "]
+#: Byte-level models write a byte that cannot be shown as a character from 256 on, in the order of bytes.
+_BYTES = {c: 256 + k for k, c in enumerate(c for c in range(256) if c not in _SHOWN)}
+
+
+def _as_bytes(piece: str) -> str:
+    """The piece as byte-level models have it: one character a byte."""
+    return piece.encode().decode("latin-1").translate(_BYTES)
+
 
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
     """The text in parts, each but the first beginning with a single space before a word."""
@@ -38,32 +47,29 @@ def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
     yield text[start:]
 
 
-class WordCache:
-    """Ids of words as little-endian 32-bit strings.
+class WordCache(dict):
+    """Ids of words as little-endian 32-bit strings; a word is encoded when it is first met.
 
     Two generations: a full dictionary becomes the old one, and what is still met moves to the new,
     so that frequent words stay and memory is bounded.
     """
 
-    def __init__(self, encode_many: Callable[[list], Iterable[list[int]]], limit: int = CACHED_WORDS):
-        self.encode_many, self.limit, self.known, self.old = encode_many, limit, {}, {}
+    def __init__(self, encode: Callable[[Any], list[int]], limit: int = CACHED_WORDS):
+        super().__init__()
+        self.encode, self.limit, self.old = encode, limit, {}
+
+    def __missing__(self, word) -> bytes:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        if (found := self.old.get(word)) is None:
+            ids = self.encode(word)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = found
+        return found
 
     def ids(self, words: list) -> bytes:
-        known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > self.limit:
-                self.old, self.known = known, {}
-                known, new = self.known, list(set(words))
-            old = self.old
-            unseen = []
-            for word in new:
-                if (found := old.get(word)) is not None:
-                    known[word] = found
-                else:
-                    unseen.append(word)
-            known.update((w, np.array(ids, "<u4").tobytes())
-                         for w, ids in zip(unseen, self.encode_many(unseen), strict=True))
-        return b"".join([known[w] for w in words])
+        return b"".join(map(self.__getitem__, words))
 
 
 def _library(path: str):
@@ -102,7 +108,7 @@ class SpacelessWords:
 
     def __init__(self, path: str):
         encode = _steps(_library(path))
-        self.cache = WordCache(lambda words: [encode(w.decode()) for w in words])
+        self.cache = WordCache(lambda word: encode(word.decode()))
 
     def encode(self, text: str) -> bytes:
         return b"".join(self.cache.ids(part.encode().split()) for part in stretches(text))
@@ -111,33 +117,32 @@ class SpacelessWords:
 class SpacedWords:
     """Byte-level tokenizers that put one space before a word into its token.
 
-    Texts of Latin letters without runs of white space are split as the tokenizer's pattern splits
-    them, and only the model is asked for the pieces; all others are split by the library.
+    Texts of Latin letters are split as the tokenizer's pattern splits them, and only the model is
+    asked for the pieces; all others are split by the library.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _library(path)
-        self.model, self.splitter = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        self.model = self.tokenizer.model
         self.plain = (self.tokenizer.normalizer is None and self._splits_alike()
                       and all(t.special for t in self.tokenizer.get_added_tokens_decoder().values()))
-        self.cache = WordCache(functools.partial(map, self._piece))
+        self.cache = WordCache(self._piece)
 
     def _splits_alike(self) -> bool:
-        text = "a 'll bc's12 d_#e\nf  g".replace("  ", " ") + " é1,.x "
-        pieces = [p for p, _ in self.splitter.pre_tokenize_str(text)]
-        return pieces == [q for word in _PIECES.findall(text) for q, _ in self.splitter.pre_tokenize_str(word)] and len(
-            pieces) == len(_PIECES.findall(text))
+        """Whether the library makes the same pieces, tried with each Latin character in several places."""
+        signs = [c for c in map(chr, range(0x250)) if not _OTHER.match(c)]
+        text = "a 'll bc's12 d_#e\nf  g \n\n h\t " + "".join(f"a{c}1{c}, {c}{c} .{c} {c}\n" for c in signs)
+        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)] == list(
+            map(_as_bytes, _PIECES.findall(text)))
 
     def _piece(self, piece: str) -> list[int]:
-        if piece.isascii() and piece.isprintable() and " " not in piece[1:]:
-            return [t.id for t in self.model.tokenize(piece.replace(" ", "Ġ"))]
-        return [t.id for part, _ in self.splitter.pre_tokenize_str(piece) for t in self.model.tokenize(part)]
+        return [t.id for t in self.model.tokenize(_as_bytes(piece))]
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self._part, stretches(text)))
 
     def _part(self, text: str) -> bytes:
-        if not self.plain or _GAPS.search(text) or _OTHER.search(text):
+        if not self.plain or _OTHER.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.cache.ids(_PIECES.findall(text))
 

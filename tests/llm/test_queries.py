@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from keyfathom.llm import queries
+from keyfathom.llm import queries, tokens
 from tests.llm import plain
 
 FOLDER = "/root/testdata/sf0.001"
@@ -161,3 +163,24 @@ def test_pipeline(spark):
 def queries_stage(df):
     from keyfathom.llm.common import stage
     return stage(df, "test")
+
+
+def test_byte_level_ids_equal_the_library():
+    """Latin texts with gaps, signs and contractions, and texts that only the library splits."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = tokens.SpacedWords(path), tokens._library(path)
+    assert encoder.plain
+    rng = random.Random(3)
+    signs = [chr(c) for c in range(0x260)] + list("   \n\n\t''sdlltrevem1 2 日本😀я") * 6
+    for _ in range(3000):
+        text = "".join(rng.choices(signs, k=rng.randint(0, 40)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.array(ids, "<u4").tobytes()
+
+
+def test_word_cache_forgets_in_generations():
+    made = []
+    cache = tokens.WordCache(lambda w: made.append(w) or [len(w)], limit=3)
+    words = [str(i) for i in range(30)] * 2 + ["7"] * 9
+    assert np.frombuffer(cache.ids(words), "<u4").tolist() == [len(w) for w in words]
+    assert len(cache) <= 3 and len(cache.old) <= 3 and len(made) <= 61
