@@ -283,7 +283,7 @@ def compared(pairs: DataFrame, sets: DataFrame, texts: DataFrame, fragment: np.n
              ) -> DataFrame:
     """The similar ones of the pairs; only sets that stand in a pair are cut into segments."""
     ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = stage(sets.where("doc_id IS NOT NULL").join(ends, "sid", "left_semi").groupBy("sid").agg(
+    wanted = stage(sets.where("doc_id IS NOT NULL").join(ends.hint("merge"), "sid", "left_semi").groupBy("sid").agg(
         F.min("doc_id").alias("doc_id")), "wanted-sets")
     return verified(pairs, stage(segments(texts, wanted, fragment, words), "segments"), percent)
 
@@ -296,7 +296,8 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     component is null.
     Equal texts link; ties do not matter.  Other columns are not read.  An empty table gives no rows.
     Work is linear in the texts, plus the pairs of both rounds; four passes read the texts, since
-    their sets are larger than the texts and are not stored.
+    their sets are larger than the texts and are not stored.  Joins are merged at every size, as no
+    side has a bound that would allow a broadcast.
     """
     texts = _texts(docs, id_col, text_col)
     place, fragment = global_order(texts, words)
@@ -312,37 +313,40 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
         return of.where(F.col("sid") != F.col(f"{kind}_sid")).where(fits("n", f"{kind}_n", "pos", f"{kind}_pos")).select(
             F.least("sid", f"{kind}_sid").alias("a"), F.greatest("sid", f"{kind}_sid").alias("b"))
 
-    known = stage(sets.where("prefix IS NOT NULL").join(lists.select("sid").distinct(), "sid", "left_semi").groupBy(
-        "sid").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "parities")
+    listed = lists.select("sid").distinct().hint("merge")
+    known = stage(sets.where("prefix IS NOT NULL").join(listed, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "parities")
     first = partners(lists, "lead").unionByName(
         partners(lists.where(F.pmod("shingle", F.lit(NEIGHBOURS)) == 0), "next")).distinct()
-    first = stage(first.join(known.toDF("a", "na", "pa"), "a").join(known.toDF("b", "nb", "pb"), "b").where(
+    left, right = known.toDF("a", "na", "pa").hint("merge"), known.toDF("b", "nb", "pb").hint("merge")
+    first = stage(first.join(left, "a").join(right, "b").where(
         _near_parity("na", "nb", "pa", "pb", percent)).select("a", "b", "na", "nb"), "first-pairs")
     links = stage(compared(first, sets, texts, fragment, words, percent), "first-links")
     roots = components(links, "first")
 
     members = lists.select("shingle", "sid", "n", "pos").join(
-        roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        roots.withColumnRenamed("id", "sid").hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     members = stage(members, "members")
     mixed = members.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
         "low < high").select("shingle")
-    open_lists = members.join(mixed, "shingle", "left_semi").join(known.select("sid", "parity"), "sid")
+    open_lists = members.join(mixed.hint("merge"), "shingle", "left_semi").join(
+        known.select("sid", "parity").hint("merge"), "sid")
     x, y = open_lists.alias("x"), open_lists.alias("y")
-    second = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") < F.col("y.root"))
+    second = x.join(y.hint("merge"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") < F.col("y.root"))
                     & fits("x.n", "y.n", "x.pos", "y.pos")
                     & _near_parity("x.n", "y.n", "x.parity", "y.parity", percent)).select(
         F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"),
         F.when(F.col("x.sid") < F.col("y.sid"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"),
         F.when(F.col("x.sid") < F.col("y.sid"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))
-    second = stage(second.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "second-pairs")
+    tried = first.select("a", "b").hint("merge")
+    second = stage(second.distinct().join(tried, ["a", "b"], "left_anti"), "second-pairs")
     links = links.unionByName(compared(second, sets, texts, fragment, words, percent))
     roots = components(links, "all")
 
-    rooted = sets.select("doc_id", "sid", "n").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn(
-        "root", F.coalesce("root", "sid"))
+    ends = roots.withColumnRenamed("id", "sid").hint("merge")
+    rooted = sets.select("doc_id", "sid", "n").join(ends, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     rooted = stage(rooted, "rooted")
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least_id"))
-    return rooted.join(least, "root", "left").select(
+    return rooted.join(least.hint("merge"), "root", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias(
             "component_id"))
