@@ -314,7 +314,8 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
             F.least("sid", f"{kind}_sid").alias("a"), F.greatest("sid", f"{kind}_sid").alias("b"))
 
     listed = lists.select("sid").distinct().hint("merge")
-    known = stage(sets.where("prefix IS NOT NULL").join(listed, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "parities")
+    known = stage(sets.where("prefix IS NOT NULL").join(listed, "sid", "left_semi").groupBy("sid").agg(
+        F.first("n").alias("n"), F.first("parity").alias("parity")), "parities")
     first = partners(lists, "lead").unionByName(
         partners(lists.where(F.pmod("shingle", F.lit(NEIGHBOURS)) == 0), "next")).distinct()
     left, right = known.toDF("a", "na", "pa").hint("merge"), known.toDF("b", "nb", "pb").hint("merge")
