@@ -256,7 +256,7 @@ m AS (SELECT o.repo_id, quantum_status || ' finding: ' || algorithm || ' in ' ||
   row_number() OVER (PARTITION BY o.repo_id ORDER BY {_rank('quantum_status')}, algorithm, file_path, line_number) AS rn
   FROM o JOIN cfg ON cfg.repo_id = o.repo_id
   WHERE (quantum_status = 'BROKEN' AND fail_on_broken) OR (quantum_status = 'VULNERABLE' AND fail_on_vulnerable) OR (quantum_status = 'WEAK' AND fail_on_weak)),
-g AS (SELECT c.*, cfg.last_scanned_at, failing = 0 AS passed, CAST(least(failing, 20) AS INT) AS failure_count,
+g AS (SELECT c.*, cfg.last_scanned_at, failing = 0 AS passed, CAST(failing AS BIGINT) AS failure_count,
   (SELECT string_agg(msg, ';' ORDER BY rn) FROM m WHERE m.repo_id = c.repo_id AND rn <= 20) AS failures
   FROM c JOIN cfg ON cfg.repo_id = c.repo_id)
 """

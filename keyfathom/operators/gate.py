@@ -11,6 +11,7 @@ from keyfathom.functions.groups import limit_per
 from keyfathom.operators.lifecycle import OPEN
 from keyfathom.operators.reports import count_if
 
+#: Failures that a report lists.
 MAX_FAILURES = 20
 _FLAG_OF = {"BROKEN": "fail_on_broken", "VULNERABLE": "fail_on_vulnerable", "WEAK": "fail_on_weak"}
 
@@ -32,11 +33,12 @@ def _flag(status: Column) -> Column:
 
 
 def evaluate(findings: DataFrame, repos: DataFrame, configs: DataFrame | None = None,
-             enforce_risk: bool = False) -> DataFrame:
+             enforce_risk: bool = False, listed_failures: int = MAX_FAILURES) -> DataFrame:
     """One row per repository: verdict, counts and the first failures.
 
-    At most twenty failures per repository and status leave the map side, which
-    is all the report shows.  Only the status flags fail a gate; the risk flags
+    ``failure_count`` counts all failures.  The list shows the first
+    ``listed_failures`` of them, so no more than that per repository and status
+    leave the map side.  Only the status flags fail a gate; the risk flags
     switch counting, unless ``enforce_risk`` makes them count as failures too.
     """
     upper = findings.where(~F.col("archived") & F.col("migration_status").isin(OPEN)).withColumns({
@@ -54,9 +56,9 @@ def evaluate(findings: DataFrame, repos: DataFrame, configs: DataFrame | None =
     failing = upper.where(F.col("status").isin(list(_FLAG_OF)))
     rank = g.status_rank(F.col("status"))
     order = ["algorithm", "file_path", "line_number"]
-    few = limit_per(failing.select("repo_id", "status", *order), ["repo_id", "status"], MAX_FAILURES, *order)
+    few = limit_per(failing.select("repo_id", "status", *order), ["repo_id", "status"], listed_failures, *order)
     few = few.join(flags, "repo_id").where(_flag(F.col("status")))
-    few = limit_per(few, ["repo_id"], MAX_FAILURES, rank, *order)
+    few = limit_per(few, ["repo_id"], listed_failures, rank, *order)
     message = F.concat(F.col("status"), F.lit(" finding: "), F.col("algorithm"), F.lit(" in "),
                        F.col("file_path"), F.lit(":"), F.col("line_number").cast("string"))
     listed = few.groupBy("repo_id").agg(F.sort_array(F.collect_list(
@@ -65,10 +67,11 @@ def evaluate(findings: DataFrame, repos: DataFrame, configs: DataFrame | None =
     result = (gated.join(counts, "repo_id", "left").join(listed, "repo_id", "left")
               .na.fill(0, ["broken", "vulnerable", "weak", "critical", "high", "total"]))
     failures = F.coalesce("failures", F.array().cast("array<string>"))
+    failing_of = [F.when(F.col(flag), F.col(status.lower())).otherwise(0) for status, flag in _FLAG_OF.items()]
     result = result.withColumns({
         "critical": F.when(F.col("fail_on_critical"), F.col("critical")).otherwise(0),
         "high": F.when(F.col("fail_on_high"), F.col("high")).otherwise(0),
-        "failures": failures, "failure_count": F.size(failures)})
+        "failures": failures, "failure_count": failing_of[0] + failing_of[1] + failing_of[2]})
     passed = F.col("failure_count") == 0
     if enforce_risk:
         passed = passed & (F.col("critical") == 0) & (F.col("high") == 0)

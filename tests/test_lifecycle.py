@@ -64,8 +64,8 @@ def test_gate_lists_at_most_twenty_of_a_hot_repository(table, spark):
         F.col("id").cast("int").alias("line_number"), F.lit("BROKEN").alias("quantum_status"),
         F.lit("CRITICAL").alias("risk_level"), F.lit("open").alias("migration_status"), F.lit(False).alias("archived"))
     got = gate.evaluate(findings, table("repo_id int, last_scanned_at timestamp", (1, NOW))).first()
-    assert (got.broken, got.failure_count, got.failures[0], got.gate_status) == (
-        5000, 20, "BROKEN finding: MD5 in a:0", "FAIL")
+    assert (got.broken, got.failure_count, len(got.failures), got.failures[0], got.gate_status) == (
+        5000, 5000, 20, "BROKEN finding: MD5 in a:0", "FAIL")
 
 
 def test_latest_runs_keep_ties(table):
