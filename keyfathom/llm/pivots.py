@@ -1,10 +1,10 @@
-"""Near-duplicate vectors through an index of pivot permutations.
+"""Near-duplicate vectors through cells around pivots, with every link found.
 
-A vector is described by the reference points nearest to it, in order.  Each of the first few
-leads to an inverted list; two vectors on a list are compared if they share enough of their
-nearest points, and linked if their cosine says so.  A list of any length is cut into blocks and
-pairs of blocks, so a task holds two blocks at most; what leaves it is a number of links and one
-tree edge per vector, never the pairs.
+Each vector lives in the cell of the pivot nearest to it.  Of two cells the members of the smaller
+visit the larger, each only if the angle allows a link with a member there; pairs are compared at
+home and between a member and a visitor.  A cell of any size is cut into blocks and pairs of blocks,
+so a task holds two blocks at most; what leaves it is a number of links and one tree edge per
+vector, never the pairs.  Pivots decide about the work, not about the result.
 """
 
 from __future__ import annotations
@@ -20,43 +20,101 @@ from pyspark.sql import functions as F
 
 from keyfathom.llm.common import components, stage
 
-#: Reference points: about 4 sqrt(n), within these bounds; a documented sample.
-PIVOTS = (32, 4096)
-NEAREST = 8
-LISTS = 4
-LEAST_SHARED = 3
-BLOCK = 1024
+#: Pivots: one for CELL vectors, within these bounds, spread by distance over a sample of SAMPLED a pivot.
+PIVOTS, CELL, SAMPLED = (16, 4096), 2048, 4
+BLOCK = 4096
+#: Room for rounding in the bounds that spare a comparison.
+SLACK = 1e-6
+#: Vectors and visits handled at once, also the rows of a block compared at once.
+SLICE, VISITS = 512, 4096
 
 
 def _pivots(classes: DataFrame, n: int) -> np.ndarray:
-    """Unit vectors of the sample, chosen by hash: at most PIVOTS[1] rows come to the driver."""
-    count = max(PIVOTS[0], min(PIVOTS[1], 4 * math.isqrt(n)))
-    rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(count).select("vector").collect()
-    points = np.array([r.vector for r in rows], "f8")
-    return points / np.linalg.norm(points, axis=1, keepdims=True)
+    """Unit vectors of the sample, each the one farthest from those before; the sample is chosen by hash.
 
+    At most SAMPLED * PIVOTS[1] rows come to the driver.
+    """
+    count = max(PIVOTS[0], min(PIVOTS[1], n // CELL))
+    rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLED * count).select("vector").collect()
+    sample = _unit(np.array([r.vector for r in rows], "f8"))
+    chosen, nearest = [0], sample @ sample[0]
+    while len(chosen) < min(count, len(sample)) and nearest.min() < 1 - SLACK:
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, sample @ sample[chosen[-1]])
+    return sample[chosen]
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    # Divided by the largest component first: squares of very large or small ones leave the range.
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def _units(bodies: list[bytes], kind: str) -> np.ndarray:
+    return _unit(np.frombuffer(b"".join(bodies), kind).reshape(len(bodies), -1).astype("f8"))
+
+
+def homes(classes: DataFrame, points: np.ndarray, kind: str) -> DataFrame:
+    """(cell, rep, size, body, near): every vector with the pivot nearest to it and the cosine to that.
+
+    The body is the vector as numbers of `kind`, which must hold them without loss.
+    """
 
-def described(classes: DataFrame, points: np.ndarray) -> DataFrame:
-    """(pivot, rep, size, unit, near): one row per vector and inverted list it stands on."""
-    near_count, lists = min(NEAREST, len(points)), min(LISTS, len(points))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                vector = np.array(part.column(2).to_pylist(), "f8")
+                near = _unit(vector) @ points.T
+                cell = near.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell.astype("i4")), part.column(0), part.column(1),
+                     pa.array([v.tobytes() for v in vector.astype(kind)], pa.binary()), pa.array(near[np.arange(len(cell)), cell])],
+                    names=["cell", "rep", "size", "body", "near"])
+
+    return classes.select("rep", "size", "vector").mapInArrow(run, "cell int, rep long, size long, body binary, near double")
+
+
+def visits(cells: np.ndarray, near: np.ndarray, unit: np.ndarray, points: np.ndarray, rank: np.ndarray,
+           radius: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of the larger cells in which a vector may have a link.
+
+    With y in cell q within the angle of x in cell p: x is no farther from q than the angle and the
+    radius of q; and as y is on the side of q, x is no farther than the chord from the plane between.
+    """
+    angle, chord = math.acos(max(-1.0, min(1.0, threshold))), math.sqrt(max(0.0, 2 - 2 * threshold))
+    to = unit @ points.T
+    between = np.sqrt(np.maximum(2 - 2 * points @ points.T, 0))
+    reached = np.arccos(np.clip(to, -1, 1)) <= angle + radius + SLACK
+    sided = near[:, None] - to <= chord * between[cells] + SLACK
+    return np.nonzero(reached & sided & (rank > rank[cells][:, None]))
+
+
+def dealt_cells(home: DataFrame, points: np.ndarray, kind: str, threshold: float) -> DataFrame:
+    """(cell, guest, rep, size, body): members of the cells and their visitors."""
+    # At most one row per pivot comes to the driver: bounded by PIVOTS[1].
+    found = home.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("least")).toPandas()
+    found = found.sort_values(["n", "cell"], kind="stable")
+    rank, radius = np.full(len(points), -1), np.zeros(len(points))
+    rank[found["cell"]] = np.arange(len(found))
+    radius[found["cell"]] = np.arccos(np.clip(found["least"].to_numpy("f8"), -1, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = np.array(batch.column(2).to_pylist(), "f8")
-            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-            near = np.argsort(-(unit @ points.T), axis=1, kind="stable")[:, :near_count].astype("<u2")
-            at = np.repeat(np.arange(len(unit)), lists)
-            bodies = [u.tobytes() for u in unit]
-            orders = [k.tobytes() for k in near]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(near[:, :lists].reshape(-1).astype("i4")), batch.column(0).take(pa.array(at)),
-                 batch.column(1).take(pa.array(at)), pa.array([bodies[i] for i in at], pa.binary()),
-                 pa.array([orders[i] for i in at], pa.binary())], names=["pivot", "rep", "size", "unit", "near"])
-
-    return classes.select("rep", "size", "vector").mapInArrow(
-        run, "pivot int, rep long, size long, unit binary, near binary")
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                cells, near = part.column(0).to_numpy(), part.column(4).to_numpy()
+                unit = _units(part.column(3).to_pylist(), kind)
+                row, cell = visits(cells, near, unit, points, rank, radius, threshold)
+                row, cell = np.r_[np.arange(len(cells)), row], np.r_[cells, cell]
+                for at in range(0, len(row), VISITS):
+                    taken = pa.array(row[at:at + VISITS])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell[at:at + VISITS].astype("i4")), pa.array(np.arange(at, at + len(taken)) >= len(cells)),
+                         *(part.column(c).take(taken) for c in (1, 2, 3))], names=["cell", "guest", "rep", "size", "body"])
+
+    return home.select("cell", "rep", "size", "body", "near").mapInArrow(
+        run, "cell int, guest boolean, rep long, size long, body binary")
 
 
 def _trees(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -73,40 +131,29 @@ def _trees(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def block_links(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """(rep, others, root) of the links between two blocks of a list, or within one.
-
-    A pair that meets on several lists counts on the one with the smallest number only.
-    """
+def block_links(frame: pd.DataFrame, kind: str, threshold: float) -> pd.DataFrame:
+    """(rep, others, root) of the links between two blocks of a cell, or within one."""
     frame = frame.sort_values("rep", kind="stable").reset_index(drop=True)
-    own, a, b = (int(frame[c].iloc[0]) for c in ("pivot", "low_block", "high_block"))
-    unit = np.frombuffer(b"".join(frame["unit"]), "f8").reshape(len(frame), -1)
-    near = np.frombuffer(b"".join(frame["near"]), "<u2").reshape(len(frame), -1).astype("int64")
-    names, slot = np.unique(near, return_inverse=True)
-    marks = np.zeros((len(frame), len(names)), "f4")
-    np.put_along_axis(marks, slot.reshape(near.shape), 1, axis=1)
-    block = frame["block"].to_numpy()
-    left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-    linked = ((marks[left] @ marks[right].T >= min(LEAST_SHARED, near.shape[1]))
-              & (unit[left] @ unit[right].T >= threshold))
-    if a == b:
-        linked = np.triu(linked, 1)
-    i, j = np.nonzero(linked)
-    i, j = left[i], right[j]
-    lists = near[:, :LISTS]
-    keep = np.zeros(len(i), bool)
-    for at in range(0, len(i), 1 << 16):
-        x, y = lists[i[at:at + (1 << 16)]], lists[j[at:at + (1 << 16)]]
-        common = np.where((x[:, :, None] == y[:, None, :]).any(2), x, 1 << 30)
-        keep[at:at + (1 << 16)] = common.min(1) == own
-    i, j = i[keep], j[keep]
+    a, b, visited = (frame[c].iloc[0] for c in ("low_block", "high_block", "visited"))
+    unit = _units(frame["body"].tolist(), kind)
+    block, guest = frame["block"].to_numpy(), frame["guest"].to_numpy(bool)
+    left, right = np.flatnonzero((block == a) & ~guest), np.flatnonzero((block == b) & (guest == visited))
     size = frame["size"].to_numpy("int64")
-    others = np.zeros(len(frame), "int64")
-    np.add.at(others, i, size[j])
-    np.add.at(others, j, size[i])
+    others, root, every = np.zeros(len(frame), "int64"), np.arange(len(frame)), np.arange(len(frame))
+    facing = unit[right].T
+    for at in range(0, len(left), SLICE):
+        linked = unit[left[at:at + SLICE]] @ facing >= threshold
+        if a == b and not visited:
+            linked = np.triu(linked, at + 1)
+        i, j = np.nonzero(linked)
+        if len(i):
+            i, j = left[at + i], right[j]
+            np.add.at(others, i, size[j])
+            np.add.at(others, j, size[i])
+            root = _trees(len(frame), np.r_[i, every], np.r_[j, root])
     met = np.flatnonzero(others)
     rep = frame["rep"].to_numpy("int64")
-    return pd.DataFrame({"rep": rep[met], "others": others[met], "root": rep[_trees(len(frame), i, j)[met]]})
+    return pd.DataFrame({"rep": rep[met], "others": others[met], "root": rep[root[met]]})
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
@@ -115,9 +162,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
     rows with a null id.  Of vectors of several lengths the shorter count as filled up with zeros.  Equal
-    vectors are one class, whose members all link; a repeated id is one more member.  An empty table
-    gives no rows.
+    vectors are one class, whose members all link; a repeated id is one more member.  Every pair is
+    decided: what the bounds cannot rule out is compared.  An empty table gives no rows.
     """
+    narrow = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vector"))
     good = ("vec_id IS NOT NULL AND size(vector) > 0 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) "
             "AND abs(x) < double('Infinity')) AND exists(vector, x -> x <> 0)")
@@ -130,16 +178,27 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     n = classes.count()
     if n:
         points = _pivots(classes, n)
-        listed = stage(described(classes, points), "pivot-lists")
+        kind = "<f4" if narrow else "<f8"
+        # Visits are found twice rather than written: only their counts are needed before they are dealt.
+        listed = dealt_cells(stage(homes(classes, points, kind), "vector-homes"), points, kind, threshold)
         # At most one row per pivot: bounded by PIVOTS[1].
-        blocks = F.broadcast(listed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
-        dealt = listed.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("low_block", F.least("block", "other")).withColumn(
-            "high_block", F.greatest("block", "other"))
-        found = dealt.select("pivot", "low_block", "high_block", "block", "rep", "size", "unit", "near").groupBy(
-            "pivot", "low_block", "high_block").applyInPandas(
-            lambda frame: block_links(frame, threshold), "rep long, others long, root long")
+        counts = [F.ceil(F.count(F.when(F.col("guest") == g, 1)) / BLOCK).cast("int").alias(name)
+                  for g, name in ((False, "own_blocks"), (True, "guest_blocks"))]
+        blocks = F.broadcast(listed.groupBy("cell").agg(*counts))
+        dealt = listed.join(blocks, "cell").withColumn("block", F.pmod(
+            F.xxhash64("rep"), F.when(F.col("guest"), F.col("guest_blocks")).otherwise(F.col("own_blocks"))).cast("int"))
+        # Members meet members and visitors; visitors meet members only.
+        own = F.transform(F.sequence(F.lit(0), F.col("own_blocks") - 1), lambda k: F.when(
+            F.col("guest"), F.struct(k.alias("low_block"), F.col("block").alias("high_block"), F.lit(True).alias("visited")))
+            .otherwise(F.struct(F.least("block", k).alias("low_block"), F.greatest("block", k).alias("high_block"),
+                                F.lit(False).alias("visited"))))
+        foreign = F.when(F.col("guest") | (F.col("guest_blocks") == 0), F.array()).otherwise(
+            F.transform(F.sequence(F.lit(0), F.greatest(F.col("guest_blocks"), F.lit(1)) - 1), lambda k: F.struct(
+                F.col("block").alias("low_block"), k.alias("high_block"), F.lit(True).alias("visited"))))
+        dealt = dealt.withColumn("task", F.explode(F.concat(own, foreign)))
+        found = dealt.select("cell", "task.*", "block", "guest", "rep", "size", "body").groupBy(
+            "cell", "low_block", "high_block", "visited").applyInPandas(
+            lambda frame: block_links(frame, kind, threshold), "rep long, others long, root long")
         found = stage(found, "vector-links")
     else:
         found = rows.sparkSession.createDataFrame([], "rep long, others long, root long")
