@@ -2,7 +2,8 @@
 
 Tokens of a page are its tags, told apart by their place in the tree, and its text blocks.  Tokens
 with the same occurrence vector over a host's pages form an equivalence class; the classes that are
-large and on nearly every page are the template.  Its tokens have one order; text of the template
+large and on nearly every page are the template.  Copies of a page are one page there: what only they
+share is their article.  Its tokens have one order; text of the template
 that stands in its place on a page is dropped, and what the remaining slots of the article hold is
 the main text.  Vectors are compared by their support and a commutative hash, so a class needs
 no list of pages and a host with a third of all pages is counted like any other.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from keyfathom.llm.common import stage
 
-#: A template token is on this share of a host's pages; a class has so many tokens; a host so many pages.
+#: A template token is on this share of a host's pages; a class has so many tokens; a host so many distinct pages.
 SUPPORT, LEAST_TOKENS, LEAST_PAGES = 0.9, 3, 5
 #: Counted tokens a task holds before it passes them on.
 HELD_TOKENS = 100_000
@@ -159,8 +161,15 @@ STATS = "host string, token long, pages long, total long, vector long, places do
 def token_stats(pages: DataFrame) -> DataFrame:
     """(host, token) with support, occurrences, hash of the occurrence vector and mean place, summed in each task first.
 
-    Token 0 stands for the page itself.
+    Token 0 stands for the page itself.  Pages of a host with the same tokens count once.
     """
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [struct.pack(f"<{len(t)}q", *t) for t in (read_page(html.as_py() or "").tokens for html in batch.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([xxhash.xxh3_128_digest(b) for b in bodies], pa.binary()),
+                 pa.array(bodies, pa.binary())], names=["host", "page", "tokens"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
 
@@ -171,9 +180,9 @@ def token_stats(pages: DataFrame) -> DataFrame:
                                               names=STATS.replace(",", "").split()[::2])
 
         for batch in batches:
-            for host, page_id, html in zip(*batch.columns, strict=True):
-                host, name = host.as_py(), str(page_id.as_py())
-                tokens = read_page(html.as_py() or "").tokens
+            for host, name, body in zip(*batch.columns, strict=True):
+                host, name = host.as_py(), name.as_py()
+                tokens = struct.unpack(f"<{len(body.as_py()) // 8}q", body.as_py())
                 counts: dict[int, list] = {0: [1, 0.0]}
                 for k, token in enumerate(tokens):
                     if token in counts:
@@ -181,7 +190,7 @@ def token_stats(pages: DataFrame) -> DataFrame:
                     else:
                         counts[token] = [1, k / len(tokens)]
                 for token, (n, place) in counts.items():
-                    mark = (xxhash.xxh3_64_intdigest(f"{name}:{n}") >> 1)
+                    mark = xxhash.xxh3_64_intdigest(name + n.to_bytes(8, "little")) >> 1
                     if (entry := held.get((host, token))) is None:
                         held[host, token] = [1, n, mark, place]
                     else:
@@ -194,7 +203,10 @@ def token_stats(pages: DataFrame) -> DataFrame:
                     held.clear()
         yield rows()
 
-    parts = pages.select("host", "page_id", "html").mapInArrow(run, STATS)
+    # Copies go within each task first, so that many of them do not meet in one.
+    distinct = pages.select("host", "html").mapInArrow(read, "host string, page binary, tokens binary").groupBy(
+        "host", "page").agg(F.first("tokens").alias("tokens"))
+    parts = distinct.mapInArrow(run, STATS)
     return parts.groupBy("host", "token").agg(
         F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"),
         F.sum("places").alias("places"))
@@ -233,8 +245,8 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """(page_id, url, text, n_chars) of every page.
 
     A null or empty page has an empty text; a null url belongs to no host and has no template, nor have
-    hosts with few pages; there the tree alone decides.  Repeated rows are pages like others; null ids
-    are carried along.  Nothing is capped; an empty table gives no rows.
+    hosts with few distinct pages; there the tree alone decides.  Copies all get their text, but count once
+    for the template; null ids are carried along.  Nothing is capped; an empty table gives no rows.
     """
     host = F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from keyfathom.llm import pivots
+from keyfathom.llm import main_text, pivots
 from keyfathom.llm.common import ship
 
 
@@ -36,3 +36,22 @@ def test_every_link_of_a_dense_group(spark, monkeypatch):
         assert [found[i].n_links for i in range(len(unit))] == want.tolist()
         assert [found[i].component_id for i in range(len(unit))] == root.tolist()
         assert [found[i].kept for i in range(len(unit))] == (root == np.arange(len(unit))).tolist()
+
+
+def texts_of(spark, table, pages):
+    ship(spark)
+    rows = table("page_id long, url string, html string", *((i, "http://a.b/x", html) for i, html in enumerate(pages)))
+    return [r.text for r in main_text.main_texts(rows).orderBy("page_id").collect()]
+
+
+def test_copies_are_no_template(spark, table):
+    """Most pages of the host are one article; the template is what different articles share."""
+    def page(k):
+        return (f"<div class='top'><p>Home of all<p>All rights kept</div><article><h1>Title {k}</h1><p>First {k}.<p>Second {k}."
+                f"<p>Third {k}.<p>Subscribe today</article>")
+
+    own = [f"Title {k}\nFirst {k}.\nSecond {k}.\nThird {k}." for k in range(6)]
+    only = texts_of(spark, table, [page(0)] * 40)
+    assert only == [own[0] + "\nSubscribe today"] * 40
+    mixed = texts_of(spark, table, [page(0)] * 95 + [page(k) for k in range(1, 6)])
+    assert mixed == [own[0]] * 95 + own[1:]
