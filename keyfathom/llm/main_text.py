@@ -45,6 +45,10 @@ NOISE_NAMES = set("""ad ads advert adverts advertisement advertising adsense ban
 commentlist consent cookie cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation
 newsletter notice notices notification overlay paywall pagination popup promo promoted promotion related respond search share
 sharing sidebar signup social sponsor sponsored subscribe subscription toolbar toc widget widgets""".split())
+# The names that name no part of an article, where they stand in a class inside one.
+ARTICLE_NOISE = set("""ad ads advert adverts advertisement advertising adsense commentlist comments disqus navbar newsletter
+pagination promo promoted sidebar sponsored""".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup header".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?/][^>]*(?:>|\Z)"
@@ -78,6 +82,10 @@ def _noise(tag: str, raw: str, in_article: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
+    if in_article:
+        # Ids are anchors of sections there, and other names belong to its parts; the template's classes decide.
+        return tag not in HEADINGS and not ARTICLE_NOISE.isdisjoint(
+            n.lower() for n in _NAME.findall(found.get("class", "")))
     names = f"{found.get('class', '')} {found.get('id', '')}"
     return not NOISE_NAMES.isdisjoint(n.lower() for n in _NAME.findall(names))
 

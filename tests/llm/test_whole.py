@@ -55,3 +55,11 @@ def test_copies_are_no_template(spark, table):
     assert only == [own[0] + "\nSubscribe today"] * 40
     mixed = texts_of(spark, table, [page(0)] * 95 + [page(k) for k in range(1, 6)])
     assert mixed == [own[0]] * 95 + own[1:]
+
+
+def test_parts_of_an_article_stay(spark, table):
+    page = ("<div id='search'>box</div><article><header class='entry-header'><h1>Head</h1></header><div class='post-header'>Line"
+            "</div><h2 id='related-work'>Related</h2><section id='search'>Search</section><p id='notice-period'>Notice</p>"
+            "<div class='share-price'>Price</div><h3 class='ad-hoc'>Ad hoc</h3><div class='ad-slot'>buy</div>"
+            "<div class='comments'>me too</div></article>")
+    assert texts_of(spark, table, [page]) == ["Head\nLine\nRelated\nSearch\nNotice\nPrice\nAd hoc"]
