@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyfathom.llm.common import stage
-from keyfathom.llm.tokens import SpacedWords, shared
+from keyfathom.llm.tokens import MarkedWords, shared
 
 #: Ids in a block, apart from the last document's, which is never cut.
 BLOCK_IDS = 1 << 16
@@ -58,10 +58,10 @@ def document_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
 
     Null texts are empty: the end id alone.  The width is one for the whole table.
     """
-    wide = shared(SpacedWords, tokenizer).tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
+    wide = shared(MarkedWords, tokenizer).tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared(SpacedWords, tokenizer)
+        encoder = shared(MarkedWords, tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = []

@@ -3,7 +3,8 @@
 Splitting into words comes first in these tokenizers and no merge crosses a word, so
 the ids of a text are the ids of its words in a row.  Words repeat: each is encoded once
 per worker and kept in a bounded dictionary.  Where the split is not plain, the whole
-stretch of text goes to the library.
+stretch of text goes to the library.  So does a whole text that holds a special token, unless
+the encoder takes these for plain text.
 """
 
 from __future__ import annotations
@@ -72,14 +73,31 @@ class WordCache(dict):
         return b"".join(map(self.__getitem__, words))
 
 
-def _library(path: str):
+def _library(path: str, plain_specials: bool = True):
+    """The tokenizer of the file; with plain_specials, special tokens in a text are text like any other."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
+    made.encode_special_tokens = plain_specials
     return made
 
 
+class _Specials:
+    """Ids of the texts that hold a special token, as the library gives them by default."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _library(path, False)
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        # Some are looked for after the normaliser, which may fold case: too many texts do no harm.
+        self.exact = [t.content for t in added if not t.normalized]
+        self.folded = [t.content.lower() for t in added if t.normalized]
+
+    def ids(self, text: str) -> bytes | None:
+        if not any(t in text for t in self.exact) and not (self.folded and any(map(text.lower().__contains__, self.folded))):
+            return None
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def _steps(tokenizer) -> Callable[[str], list[int]]:
     """The library's own normaliser, splitter and model one after the other, without its offsets.
 
@@ -109,8 +127,11 @@ class SpacelessWords:
     def __init__(self, path: str):
         encode = _steps(_library(path))
         self.cache = WordCache(lambda word: encode(word.decode()))
+        self.specials = _Specials(path)
 
     def encode(self, text: str) -> bytes:
+        if (found := self.specials.ids(text)) is not None:
+            return found
         return b"".join(self.cache.ids(part.encode().split()) for part in stretches(text))
 
 
@@ -118,7 +139,8 @@ class SpacedWords:
     """Byte-level tokenizers that put one space before a word into its token.
 
     Texts of Latin letters are split as the tokenizer's pattern splits them, and only the model is
-    asked for the pieces; all others are split by the library.
+    asked for the pieces; all others are split by the library.  Special tokens in a text are plain text
+    here, as a reader that looks for separators needs it; see MarkedWords.
     """
 
     def __init__(self, path: str):
@@ -147,6 +169,18 @@ class SpacedWords:
         return self.cache.ids(_PIECES.findall(text))
 
 
+class MarkedWords(SpacedWords):
+    """The same with special tokens in a text taken as such, as the library does by default."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.specials = _Specials(path)
+
+    def encode(self, text: str) -> bytes:
+        found = self.specials.ids(text)
+        return super().encode(text) if found is None else found
+
+
 def shared(kind: type, path: str):
     """One encoder per worker process and file."""
     return per_worker((kind, path), lambda: kind(path))

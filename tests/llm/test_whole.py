@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
-from keyfathom.llm import main_text, pivots
+from keyfathom.llm import main_text, packing, pivots, token_files, tokens
 from keyfathom.llm.common import ship
+from tests.llm import plain
 
 
 def cone(rng, n, dim, cosine):
@@ -63,3 +68,25 @@ def test_parts_of_an_article_stay(spark, table):
             "<div class='share-price'>Price</div><h3 class='ad-hoc'>Ad hoc</h3><div class='ad-slot'>buy</div>"
             "<div class='comments'>me too</div></article>")
     assert texts_of(spark, table, [page]) == ["Head\nLine\nRelated\nSearch\nNotice\nPrice\nAd hoc"]
+
+
+def test_special_tokens_as_the_library_has_them(spark, table):
+    """Both queries' ids are those of an untouched tokenizer, and starts follow from them."""
+    ship(spark)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|ENDOFTEXT|> y", "<|startoftext|>d  <|endoftext|>\n", "plain"]
+    docs = table("doc_id long, text string", *enumerate(texts))
+    for name, end in (("word_bpe_49k.json", 1), ("byte_bpe_50k.json", 2)):
+        path = public_tokenizers.path(name)
+        library = Tokenizer.from_file(path)
+        ids = [[*library.encode(t, add_special_tokens=False).ids, end] for t in texts]
+        if end == 1:
+            rows = packing.token_pieces(docs, path, end, 2048).orderBy("doc_id").collect()
+            assert [(r.doc_tokens, r.ids_crc32) for r in rows] == [(len(x), plain.crc(x)) for x in ids]
+        else:
+            folder = tempfile.mkdtemp(prefix="run-")
+            token_files.write_documents(docs, path, end, f"{folder}/files")
+            rows = token_files.read_documents(spark, f"{folder}/files").orderBy("doc_id").collect()
+            assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(x), plain.crc(x)) for x in ids]
+            assert [r.start for r in rows] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
+    # The scan for separators needs special tokens to be text.
+    assert np.frombuffer(tokens.SpacedWords(path).encode(texts[0]), "<u4").tolist() == [64, 1279, 91, 437, 1659, 5239, 91, 29, 275]
