@@ -35,15 +35,20 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h",
 }
 SUBSTITUTED, SQUEEZED, DROPPED, KEPT = 1.0, 0.2, 1.5, 0.3
+#: Cost of taking a letter that stands twice for one: many words have such letters.
+UNDOUBLED = 3.0
 
 _SIGNS = re.escape("".join(LEET))
 _WORD = re.compile(r"[^\W\d_]+")
-#: Letters with signs among or before them; a letter three times; three single letters or more with gaps.
+_GAP = r"[\s._*/\\,~-]+"
+#: Three single letters or signs or more with gaps of any length; letters with signs among or before them; a letter
+#: twice or more in a word.
 SUSPICIOUS = re.compile(
-    rf"[{_SIGNS}]*[^\W\d_]+(?:[{_SIGNS}]+[^\W\d_]+)+[{_SIGNS}]*|[{_SIGNS}]+[^\W\d_]+"
-    r"|\w*?([^\W\d_])\1\1\w*"
-    r"|(?<!\w)[^\W_](?:[ ._*-][^\W_]){2,}(?!\w)")
-_HINT = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1\1|(?<!\w)[^\W_][ ._*-][^\W_][ ._*-][^\W_](?!\w)")
+    rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:{_GAP}(?:[^\W_]|[{_SIGNS}])(?![^\W_])){{2,}}"
+    rf"|(?<![^\W\d_])[{_SIGNS}]*[^\W\d_]+(?:[{_SIGNS}]+[^\W\d_]+)+[{_SIGNS}]*|[{_SIGNS}]+[^\W\d_]+"
+    r"|(?<![^\W_])[^\W_]*?([^\W\d_])\1[^\W_]*")
+_SPACED = re.compile(rf"(?:[^\W_]|[{_SIGNS}])(?:{_GAP}(?:[^\W_]|[{_SIGNS}])){{2,}}")
+_GAPS, _RUN = re.compile(_GAP), re.compile(r"(.)\1*", re.S)
 
 
 def folded(text: str) -> str:
@@ -115,8 +120,6 @@ class Decoder:
     def restore(self, text: str) -> str:
         """The folded text with its suspicious stretches decoded; the whole text, whatever its length."""
         text = folded(text)
-        if not _HINT.search(text):
-            return text
         return SUSPICIOUS.sub(lambda m: self.stretch(m.group()), text)
 
     def stretch(self, noisy: str) -> str:
@@ -128,18 +131,21 @@ class Decoder:
 
     def _decode(self, noisy: str) -> str:
         """Best path: states are the last three letters, each with the cheapest text that led there."""
-        spaced = len(noisy) > 2 and not noisy[1].isalnum()
+        spaced = bool(_SPACED.fullmatch(noisy))
+        if spaced:
+            noisy = _GAPS.sub(" ", noisy)
         states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        runs = [len(m.group()) for m in _RUN.finditer(noisy) for _ in m.group()]
         before = ""
-        for symbol in noisy:
+        for symbol, run in zip(noisy, runs, strict=True):
             choices: list[tuple[str, float]] = []
             if symbol.isalpha():
                 choices.append((symbol, 0.0))
                 if symbol == before:
-                    choices.append(("", SQUEEZED))
+                    choices.append(("", SQUEEZED if run > 2 else UNDOUBLED))
             else:
                 choices += [(c, SUBSTITUTED) for c in LEET.get(symbol, "")]
-                if spaced and symbol in " ._*-":
+                if spaced and symbol == " ":
                     choices.append(("", SQUEEZED))
                 elif symbol not in "0123456789":
                     choices.append(("", DROPPED))
@@ -160,6 +166,22 @@ class Decoder:
         return min((cost + self.costs[state][0], text) for state, (cost, text) in states.items())[1]
 
 
+    def cost(self, text: str) -> float:
+        state, total = 0, 0.0
+        for code in [*codes(text).tolist(), 0]:
+            total += self.costs[state][code]
+            state = (state * SIZE + code) % SIZE ** (ORDER - 1)
+        return total
+
+    def weight(self, words: list[str], weights: dict[str, float]) -> float:
+        """Summed weights of the words, and of those that one gap splits where the letters speak for one word."""
+        total = sum(map(weights.get, filter(weights.__contains__, words)))
+        for a, b in zip(words, words[1:], strict=False):
+            if a + b in weights and self.cost(a + b) + DROPPED < self.cost(f"{a} {b}"):
+                total += weights[a + b]
+        return total
+
+
 class Scorer:
     """Weights of words and the curve that turns the evidence of a text into a probability."""
 
@@ -169,7 +191,7 @@ class Scorer:
     def evidence(self, text: str) -> tuple[float, float]:
         """(ln of 1 + summed weights, the same per word of the restored text)."""
         words = _WORD.findall(self.decoder.restore(text))
-        total = sum(map(self.weights.get, filter(self.weights.__contains__, words)))
+        total = self.decoder.weight(words, self.weights)
         return math.log1p(total), math.log1p(100 * total / (len(words) + 20))
 
     def score(self, text: str) -> float:
@@ -226,11 +248,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, flo
     weights = {r.word: r.odds for r in rows}
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(costs)
         for batch in batches:
             out = []
             for words in batch.column(1):
                 words = words.as_py()
-                total = sum(weights.get(w, 0.0) for w in words)
+                total = decoder.weight(words, weights)
                 out.append((math.log1p(total), math.log1p(100 * total / (len(words) + 20))))
             columns = list(zip(*out, strict=True)) or [[]] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in columns)],

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from keyfathom.llm import main_text, packing, pivots, token_files, tokens
+from keyfathom.llm import main_text, packing, pivots, token_files, tokens, toxicity
 from keyfathom.llm.common import ship
 from tests.llm import plain
 
@@ -90,3 +90,24 @@ def test_special_tokens_as_the_library_has_them(spark, table):
             assert [r.start for r in rows] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
     # The scan for separators needs special tokens to be text.
     assert np.frombuffer(tokens.SpacedWords(path).encode(texts[0]), "<u4").tolist() == [64, 1279, 91, 437, 1659, 5239, 91, 29, 275]
+
+
+def test_obfuscated_words_are_restored():
+    """Letters learned from plain text; every way to hide a word gives the word again, plain words stay."""
+    plain_text = ("you are an idiot and a stupid person they said to the good little boy in the letter we will all see a book "
+                  "the idiot took the stupid apple from the hill and the idiots keep a stupid shop ") * 20
+    counts = np.zeros(toxicity.SIZE ** toxicity.ORDER, "int64")
+    c = np.concatenate([np.zeros(toxicity.ORDER - 1, "i8"), toxicity.codes(plain_text)])
+    for k in range(len(c) - toxicity.ORDER + 1):
+        counts[int(np.polyval(c[k:k + toxicity.ORDER], toxicity.SIZE))] += 1
+    costs = toxicity.letter_model(counts)
+    decoder = toxicity.Decoder(costs)
+    for hidden, word in (("i_d_i_o_t", "idiot"), ("iddiot", "idiot"), ("idiioot", "idiot"), ("i  d  i  o  t", "idiot"),
+                         ("i/d/i/o/t", "idiot"), ("i d ! o t", "idiot"), ("$ t u p 1 d", "stupid"),
+                         ("s.t.u.p.!.d", "stupid"), ("1d10t", "idiot"), ("stuuupid", "stupid")):
+        assert word in toxicity._WORD.findall(decoder.restore(f"you {hidden} person")), hidden
+    assert decoder.restore("the good little boy will all see a book") == "the good little boy will all see a book"
+    weights = {"idiot": 3.0}
+    assert decoder.weight("you id iot person".split(), weights) == 3.0
+    assert decoder.weight("the idiot took".split(), weights) == 3.0
+    assert decoder.weight("the letter".split(), {"theletter": 3.0}) == 0.0
