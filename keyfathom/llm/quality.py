@@ -199,6 +199,11 @@ def concentrate(rows: DataFrame, fits: DataFrame, scale: float) -> DataFrame:
     return stage(_fits(_moments(inner, ["grp", "start"]), scale), "concentrated")
 
 
+def _group(*keys: str) -> Column:
+    """Name of a group: nulls are written out, so that it cannot meet the name of a pooled one."""
+    return F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """(doc_id, counts, base_failed, distance, kept) of every document.
@@ -214,8 +219,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fine = rows.where("NOT base_failed")
     sizes = fine.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("own"))
     sizes = sizes.withColumn("of_lang", F.sum("own").over(Window.partitionBy("lang")))
-    name = F.when(F.col("own") >= LEAST_GROUP, F.to_json(F.struct("lang", "source"))).when(
-        F.col("of_lang") >= LEAST_GROUP, F.to_json(F.struct("lang"))).otherwise(F.lit("all"))
+    name = F.when(F.col("own") >= LEAST_GROUP, _group("lang", "source")).when(
+        F.col("of_lang") >= LEAST_GROUP, _group("lang")).otherwise(F.lit("all"))
     names = sizes.select(F.col("lang").alias("l"), F.col("source").alias("s"), name.alias("grp"), "own", "of_lang")
     vector = fine.join(names, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id", "grp", "lang", "own", "of_lang", *(F.expr(sql).alias(f"x{i}") for i, (_, sql, _) in enumerate(VECTOR)))
@@ -224,7 +229,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     xs = [f"x{i}" for i in range(DIM)]
     wanted = pooled.select("grp").distinct()
     samples = pooled.select("grp", *xs).where(F.col("own") >= LEAST_GROUP).unionByName(
-        pooled.select(F.to_json(F.struct("lang")).alias("grp"), *xs)).unionByName(
+        pooled.select(_group("lang").alias("grp"), *xs)).unionByName(
         pooled.select(F.lit("all").alias("grp"), *xs)).join(wanted, "grp", "left_semi")
     inner = chi2_quantile(SHARE, DIM)
     scale = SHARE / (1 - chi2_above(inner, DIM + 2))

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from keyfathom.llm import main_text, packing, pivots, token_files, tokens, toxicity
+from keyfathom.llm import main_text, packing, pivots, quality, token_files, tokens, toxicity
 from keyfathom.llm.common import ship
 from tests.llm import plain
 
@@ -111,3 +111,9 @@ def test_obfuscated_words_are_restored():
     assert decoder.weight("you id iot person".split(), weights) == 3.0
     assert decoder.weight("the idiot took".split(), weights) == 3.0
     assert decoder.weight("the letter".split(), {"theletter": 3.0}) == 0.0
+
+
+def test_null_groups_have_their_own_names(spark, table):
+    rows = table("lang string, source string", ("en", None), (None, None))
+    names = rows.select(quality._group("lang", "source"), quality._group("lang")).collect()
+    assert len({n for row in names for n in row}) == 4
