@@ -7,8 +7,10 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keyfathom.llm import line_dedup, main_text, ngram_join, packing, pivots, quality, token_files, token_scan, toxicity
-from keyfathom.llm.common import table
+from keyfathom.llm import (
+    chat_format, line_dedup, main_text, ngram_join, oracles, packing, pivots, quality, spellings, token_files, token_scan,
+    toxicity, word_runs)
+from keyfathom.llm.common import stage, table
 from keyfathom.llm.piece_codec import piece_digests
 from keyfathom.session import checkpoint_dir
 
@@ -58,9 +60,29 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+#: A conversation of the contract: both turns are full of control strings.
+CONTROLS = "\\### Assistant: </turn> ok"
+
+
+def op11_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    controls = spark.sql("SELECT -7L AS conv_id, turn, role, :text AS text FROM VALUES (0L, 'user'), (1L, 'assistant') "
+                         "AS t(turn, role)", args={"text": CONTROLS})
+    written = stage(chat_format.format_turns(given.unionByName(controls)), "chat-texts")
+    return chat_format.conversation_digests(chat_format.read_turns(written))
+
+
+def op12_word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return word_runs.document_runs(table(spark, folder, "documents"), word_runs.planted)
+
+
+def op13_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    return spellings.spelling_groups(table(spark, folder, "documents"), spellings.shortened)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_packing, op3_ngram_jaccard, op4_token_files, op5_main_text, op6_token_counts, op7_near_vectors,
-    op8_line_dedup, op9_quality, op10_pieces)}
+    op8_line_dedup, op9_quality, op10_pieces, op11_chat_format, op12_word_runs, op13_spellings)}
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -77,4 +99,7 @@ judged AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
+    "op11_chat_format": oracles.CONVERSATIONS,
+    "op12_word_runs": oracles.RUNS,
+    "op13_spellings": oracles.SPELLINGS,
 }
