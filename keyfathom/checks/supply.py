@@ -194,7 +194,7 @@ def packed_manifests(i: Inputs) -> DataFrame:
     return manifests.parse_packed(i.sql(_PACKED), ["artifact_id"]).select("artifact_id", "manifest", "ecosystem", "name", "version")
 
 
-def _zipped(files: DataFrame) -> DataFrame:
+def zipped(files: DataFrame) -> DataFrame:
     """Every file packed into a wheel that also holds metadata and a nested jar."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,15 +217,7 @@ SELECT CAST(doc_id AS VARCHAR) AS artifact_id, '' AS jar, 'src/text.txt' AS file
 UNION ALL SELECT CAST(doc_id AS VARCHAR), '', 'a-1.dist-info/METADATA', 27, md5('Requires-Dist: pyjwt (1.0)' || chr(10)) FROM files_v
 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'lib/in.jar', 'lib/in.jar/A.class', 22 + length(CAST(doc_id AS VARCHAR)), md5('\\x00'::BLOB || encode('javax/crypto/Cipher ' || doc_id) || '\\x00'::BLOB) FROM files_v""")
 def archive_members(i: Inputs) -> DataFrame:
-    return archives.unpack(_zipped(i.files())).select("artifact_id", "jar", "file_path", "size", F.md5("content").alias("digest"))
-
-
-@check("artifact_scan", """
-SELECT CAST(doc_id AS VARCHAR) AS artifact_id, 'd' || doc_id || '.whl/a-1.dist-info/METADATA' AS file_path, 'JWT-RS256' AS algorithm FROM files_v
-UNION ALL SELECT CAST(doc_id AS VARCHAR), 'd' || doc_id || '.whl/lib/in.jar/A.class', 'RSA-2048' FROM files_v""")
-def artifact_scan(i: Inputs) -> DataFrame:
-    from keyfathom.plans.scans import scan_artifacts
-    return scan_artifacts(_zipped(i.files())).select("artifact_id", "file_path", "algorithm")
+    return archives.unpack(zipped(i.files())).select("artifact_id", "jar", "file_path", "size", F.md5("content").alias("digest"))
 
 
 _NAMED = """SELECT CAST(p_partkey AS VARCHAR(20)) AS artifact_id,

@@ -236,13 +236,22 @@ def parse(files: DataFrame, keys: list[str] = ["repo_id"]) -> DataFrame:
     return _packages(chosen, keys, found, ecosystem_of_file())
 
 
+def packed_array(text: Column) -> Column:
+    """Packages of the manifest inside an archive in this row (file_path); null for other members."""
+    name = F.lower(paths.basename(F.col("file_path")))
+    return _choose([(test(name, F.col("file_path")), read(text)) for test, _, read in _PACKED_READERS],
+                   F.lit(None).cast(_EMPTY))
+
+
+def packed_opened(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, manifest, ord, ecosystem, name, version) from a column of package arrays of members."""
+    name = F.lower(paths.basename(F.col("file_path")))
+    ecosystem = _choose([(test(name, F.col("file_path")), F.lit(e)) for test, e, _ in _PACKED_READERS],
+                        F.lit(None).cast("string"))
+    return _packages(rows, keys, F.col(column), ecosystem)
+
+
 def parse_packed(members: DataFrame, keys: list[str]) -> DataFrame:
     """The same for manifests inside archives, given ``members(keys, file_path, content)``."""
-    text = unify_newlines(F.col("content"))
-    path = F.col("file_path")
-    name = F.lower(paths.basename(path))
-    found = _choose([(test(name, path), read(text)) for test, _, read in _PACKED_READERS],
-                    F.lit(None).cast(_EMPTY))
-    ecosystem = _choose([(test(name, path), F.lit(e)) for test, e, _ in _PACKED_READERS],
-                        F.lit(None).cast("string"))
-    return _packages(members, keys, found, ecosystem)
+    found = members.withColumn("_packed", packed_array(unify_newlines(F.col("content"))))
+    return packed_opened(found, keys, "_packed")

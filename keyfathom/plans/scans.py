@@ -106,28 +106,47 @@ def next_findings(existing: DataFrame, scan: RepositoryScan, runs: DataFrame, as
                             allowMissingColumns=True)
 
 
-def scan_artifacts(artifacts: DataFrame) -> DataFrame:
-    """Findings in package archives: declared packages, binaries and bytecode.
+@dataclass
+class ArtifactScan:
+    findings: DataFrame
+    ledger: DataFrame
+
 
-    ``artifacts(artifact_id, artifact_name, content)``.  Unpacking is done once
-    and checkpointed; members then go through the ordinary operators.
+def scan_artifact_files(artifacts: DataFrame, piece_bytes: int = archives.PIECE_BYTES) -> ArtifactScan:
+    """Findings in artifacts (declared packages, programs, bytecode) and a row of each artifact's state.
+
+    ``artifacts(artifact_id, artifact_name, content)``.  Artifacts are opened and searched in one pass;
+    what is checkpointed are packages, symbols and states, no contents.  The ledger has
+    (artifact_id, artifact_name, artifact_type, status, reason, n_members, n_unread, n_findings).
     """
     checkpoint_dir(artifacts.sparkSession)
-    members = archives.unpack(artifacts).checkpoint()
+    pieces = archives.artifact_pieces(artifacts, piece_bytes)
+    manifest = F.when(F.col("kind") == "manifest", text.unify_newlines(text.decode_text(F.col("content"))))
+    found = native.piece_symbols(pieces.withColumn("packages", manifests.packed_array(manifest)))
+    found = found.where("kind = 'status' OR size(hits) > 0 OR size(packages) > 0").checkpoint()
+
     keys = ["artifact_id", "artifact_name", "layer"]
-    packages = manifests.parse_packed(archives.text_members(members), keys)
+    packages = manifests.packed_opened(found.where("kind = 'manifest'"), keys, "packages")
     in_image = F.col("layer").isNotNull()
     layered = dependencies.layer_packages(packages.where(in_image), ["artifact_id"])
     packages = packages.where(~in_image).unionByName(layered.select(*packages.columns))
+    columns = ["algorithm", "algo_type", "risk_level", "quantum_status", "quantum_safe", "nist_replacement", "context"]
     declared = dependencies.artifact_findings(packages, ["artifact_id", "artifact_name"]).select(
-        "artifact_id", F.concat_ws("/", "artifact_name", "manifest").alias("file_path"), "algorithm", "algo_type",
-        "risk_level", "quantum_status", "quantum_safe", "nist_replacement", "context", "dependency_name",
-        "dependency_version")
-    symbols = native.binary_findings(members.select("artifact_id", "artifact_name", "file_path", "content")).unionByName(
-        native.bytecode_findings(members).drop("jar"))
-    found = symbols.select(
-        "artifact_id", F.concat_ws("/", "artifact_name", F.nullif("file_path", F.lit(""))).alias("file_path"), "algorithm", "algo_type",
-        "risk_level", "quantum_status", "quantum_safe", "nist_replacement", "context",
-        F.lit("").alias("dependency_name"), F.lit("").alias("dependency_version"))
-    both = declared.withColumn("ord", F.lit(0)).unionByName(found.withColumn("ord", F.lit(1)))
-    return native.once_per_path(both).drop("ord").withColumn("source_type", F.lit("artifact"))
+        "artifact_id", F.concat_ws("/", "artifact_name", "manifest").alias("file_path"), *columns, "dependency_name",
+        "dependency_version", F.lit(0).alias("ord"))
+    symbols = native.artifact_symbols(found.where("kind IN ('class', 'native', 'macho')")).select(
+        "artifact_id", F.concat_ws("/", "artifact_name", F.nullif("file_path", F.lit(""))).alias("file_path"), *columns,
+        F.lit("").alias("dependency_name"), F.lit("").alias("dependency_version"), F.lit(1).alias("ord"))
+    findings = native.once_per_path(declared.unionByName(symbols)).drop("ord").withColumn("source_type", F.lit("artifact"))
+
+    # counts come to the states as rows of the same groups
+    state = ["artifact_name", "artifact_type", "status", "reason", "n_members", "n_unread"]
+    states = found.where("kind = 'status'").select("artifact_id", *state, F.lit(0).alias("n_findings")).unionByName(
+        findings.select("artifact_id", F.lit(1).alias("n_findings")), allowMissingColumns=True)
+    ledger = states.groupBy("artifact_id").agg(*[F.max(c).alias(c) for c in state], F.sum("n_findings").alias("n_findings"))
+    return ArtifactScan(findings, ledger)
+
+
+def scan_artifacts(artifacts: DataFrame) -> DataFrame:
+    """The findings of scan_artifact_files."""
+    return scan_artifact_files(artifacts).findings

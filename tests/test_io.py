@@ -226,8 +226,8 @@ def test_damaged_and_deep_archives_do_not_end_the_scan(table):
     damaged[at:at + 20] = b"y" * 20
     members = unpack(table("artifact_id string, artifact_name string, content binary", ("1", "deep.jar", deep),
                            ("2", "damaged.zip", bytes(damaged)), ("3", "junk.zip", b"PKjunk")))
-    found = {(r.artifact_id, r.file_path.rsplit("/", 1)[-1]): bytes(r.content) for r in members.collect()}
-    assert found["1", "A.class"] == kinds and found["2", "good.txt"] == b"fine" and found["2", "bad.txt"] == b""
+    found = {(r.artifact_id, r.file_path.rsplit("/", 1)[-1]): r.content and bytes(r.content) for r in members.collect()}
+    assert found["1", "A.class"] == kinds and found["2", "good.txt"] == b"fine" and found["2", "bad.txt"] is None
     assert found["3", ""] == b"PKjunk"
     assert binary_findings(members).count() == 0
     assert bytecode_findings(members).where("artifact_id = '1'").groupBy("algorithm").count().where("count > 1").isEmpty()
