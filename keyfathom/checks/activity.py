@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,31 +139,6 @@ def runtime_windows(i: Inputs) -> DataFrame:
         "window_start", "host_id", "pid", "symbol", "algorithm", "occurrences", "first_seen", "last_seen")
 
 
-_ORDER = "row_number() OVER (ORDER BY ts, event_id)"
-
-
-@check("runtime_windows_stream", f"""WITH {_PROBE_CTE}
-SELECT host_id, symbol, sum(n)::BIGINT AS occurrences, count(*) AS windows FROM (
-  SELECT e.host_id, p.symbol, time_bucket(INTERVAL '30 seconds', e.ts) AS w, e.pid, count(*) AS n
-  FROM raw_events_v e JOIN probes p ON p.probe_id = e.probe_id GROUP BY ALL) GROUP BY ALL""")
-def runtime_windows_stream(i: Inputs) -> DataFrame:
-    """The same windows as a stream run to its end; without a watermark all are kept."""
-    source = i.spark.readStream.schema(i.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(i.folder)
-    rows = source.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("host-"), (F.col("user_id") % 7).cast("string")).alias("host_id"),
-                         F.col("user_id").alias("pid"), (F.col("event_id") % 20).alias("probe_id"), F.col("event_type").alias("comm"))
-    root = f"{checkpoint_dir(i.spark)}/windows-{uuid.uuid4()}"
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out")
-
-    windows = stream_runtime.windowed_calls(rows)
-    query = (windows.writeStream.outputMode("complete").foreachBatch(store)
-             .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
-    query.awaitTermination()
-    done = i.spark.read.parquet(f"{root}/out")
-    return done.groupBy("host_id", "symbol").agg(F.sum("occurrences").alias("occurrences"), F.count("*").alias("windows"))
-
-
 def _reported(i: Inputs, earlier: bool) -> DataFrame:
     rows = i.view("raw_events_v").where((F.col("event_id") % 2 == 0) if earlier else (F.col("event_id") % 2 != 0))
     found = runtime.resolve_probes(runtime.aggregate_events(rows))

@@ -30,6 +30,24 @@ def scan_requests(deliveries: DataFrame, repos: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).drop("_tracked")
 
 
+def queue_scans(deliveries: DataFrame, repos_at: Callable[[int], DataFrame], path: str, checkpoint: str,
+                delay: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
+    """Scan requests from a stream of webhook deliveries, each delivery once, one folder per micro-batch.
+
+    A provider that gets no answer sends a delivery again: within `delay` of event time it counts once,
+    also after a restart.  ``repos_at(batch_id)`` reads the repositories as they are to be seen by a
+    batch; it must give a batch that is run again what it gave it first, so that its folder is
+    overwritten with the same rows.
+    """
+    once = deliveries.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["delivery_id"])
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        scan_requests(batch, repos_at(batch_id)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (once.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "30 seconds"})).start())
+
+
 def run_states(changes: DataFrame) -> DataFrame:
     """Current state of each scan run from ``changes(scan_run_id, status, changed_at)``."""
     rank = F.col("status").isin("complete", "failed").cast("int")  # final states win ties

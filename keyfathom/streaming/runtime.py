@@ -29,6 +29,15 @@ def append_windows(windows: DataFrame, path: str, checkpoint: str, trigger: dict
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "30 seconds"})).start())
 
 
+def dropped_late(query: StreamingQuery) -> int:
+    """How many rows of a run came behind the watermark and were dropped, as far as its progress is remembered.
+
+    Rows that a task has already combined into one of a window and key are counted as one.
+    """
+    return sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress
+               for state in progress["stateOperators"])
+
+
 def upsert_stream(incoming: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Keep runtime findings up to date from a stream of reported findings.
 
