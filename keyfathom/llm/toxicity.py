@@ -26,8 +26,9 @@ SIZE = 28
 ORDER = 4
 #: Labelled rows that weights are learned from, at most, chosen by hash.
 LABELLED = 20_000
-#: Words with a weight: at least this share of the toxic rows holds them, this much more often than clean rows.
-LEAST_SHARE, LEAST_ODDS, MOST_WORDS = 0.02, 2.0, 1000
+#: Words with a weight: this much more often in toxic rows than in clean ones, and in so many that at most this many words
+#: of the whole vocabulary would be there by chance.
+LEAST_ODDS, BY_CHANCE = 2.0, 1.0
 
 # What a symbol may stand for, with the cost of the substitution.
 LEET = {
@@ -41,13 +42,16 @@ UNDOUBLED = 3.0
 _SIGNS = re.escape("".join(LEET))
 _WORD = re.compile(r"[^\W\d_]+")
 _GAP = r"[\s._*/\\,~-]+"
+#: A letter or sign between gaps; a star is a gap there.
+_ONE = rf"(?:[^\W_]|[{re.escape(''.join(c for c in LEET if c != '*'))}])"
 #: Three single letters or signs or more with gaps of any length; letters with signs among or before them; a letter
 #: twice or more in a word.
-SUSPICIOUS = re.compile(
-    rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:{_GAP}(?:[^\W_]|[{_SIGNS}])(?![^\W_])){{2,}}"
-    rf"|(?<![^\W\d_])[{_SIGNS}]*[^\W\d_]+(?:[{_SIGNS}]+[^\W\d_]+)+[{_SIGNS}]*|[{_SIGNS}]+[^\W\d_]+"
-    r"|(?<![^\W_])[^\W_]*?([^\W\d_])\1[^\W_]*")
-_SPACED = re.compile(rf"(?:[^\W_]|[{_SIGNS}])(?:{_GAP}(?:[^\W_]|[{_SIGNS}])){{2,}}")
+SUSPICIOUS = re.compile(  # every branch begins where a run begins, so that no run is tried from each of its places
+    rf"(?<![^\W_]){_ONE}(?:{_GAP}{_ONE}(?![^\W_])){{2,}}+"
+    rf"|(?<![^\W\d_])(?<![{_SIGNS}])[{_SIGNS}]*+[^\W\d_]++(?:[{_SIGNS}]++[^\W\d_]++)++[{_SIGNS}]*+"
+    rf"|(?<![{_SIGNS}])[{_SIGNS}]++[^\W\d_]++"
+    r"|(?<![^\W_])[^\W_]*?([^\W\d_])\1[^\W_]*+")
+_SPACED = re.compile(rf"{_ONE}(?:{_GAP}{_ONE}){{2,}}")
 _GAPS, _RUN = re.compile(_GAP), re.compile(r"(.)\1*", re.S)
 
 
@@ -134,7 +138,7 @@ class Decoder:
         spaced = bool(_SPACED.fullmatch(noisy))
         if spaced:
             noisy = _GAPS.sub(" ", noisy)
-        states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # cost, (last letter, path before it)
         runs = [len(m.group()) for m in _RUN.finditer(noisy) for _ in m.group()]
         before = ""
         for symbol, run in zip(noisy, runs, strict=True):
@@ -151,8 +155,8 @@ class Decoder:
                     choices.append(("", DROPPED))
                 choices.append((" " if symbol in " ._-" else symbol, KEPT + (1.0 if symbol.isdigit() else 0.5)))
             before = symbol
-            new: dict[int, tuple[float, str]] = {}
-            for state, (cost, text) in states.items():
+            new: dict[int, tuple[float, tuple | None]] = {}
+            for state, (cost, path) in states.items():
                 for letter, price in choices:
                     if letter:
                         code = _CODES[ord(letter)] if letter < "\x80" else 27
@@ -161,10 +165,14 @@ class Decoder:
                     else:
                         total, to = cost + price, state
                     if to not in new or total < new[to][0]:
-                        new[to] = (total, text + letter)
+                        new[to] = (total, (letter, path) if letter else path)
             states = new
-        return min((cost + self.costs[state][0], text) for state, (cost, text) in states.items())[1]
-
+        _, _, path = min((cost + self.costs[state][0], state, path) for state, (cost, path) in states.items())
+        letters = []
+        while path is not None:
+            letters.append(path[0])
+            path = path[1]
+        return "".join(reversed(letters))
 
     def cost(self, text: str) -> float:
         state, total = 0, 0.0
@@ -242,9 +250,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, flo
         F.sum(F.when(F.col("toxic") == 1, F.col("share")).otherwise(0.0)).alias("bad"),
         F.sum(F.when(F.col("toxic") == 0, F.col("share")).otherwise(0.0)).alias("good"))
     odds = F.ln((F.col("bad") + 0.5) / (bad + 1)) - F.ln((F.col("good") + 0.5) / (good + 1))
-    rare = max(2.0, LEAST_SHARE * bad)
-    rows = spread.where(F.col("bad") >= rare).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(
-        F.desc("odds"), "word").limit(MOST_WORDS).collect()
+    # Chernoff's bound of the chance that a word as frequent as in clean rows is in so many toxic ones
+    expected = (F.col("good") + 1) * (bad + 1) / (good + 1)
+    surprise = F.col("bad") * F.ln(F.greatest(F.col("bad"), expected) / expected) - F.col("bad") + expected
+    found = stage(spread.where("bad > 0").withColumns({"odds": odds, "surprise": surprise}), "word-odds")
+    rows = found.where((F.col("odds") >= LEAST_ODDS) & (F.col("surprise") >= math.log(max(1, spread.count()) / BY_CHANCE))
+                       ).select("word", "odds").collect()
     weights = {r.word: r.odds for r in rows}
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,17 +275,30 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, flo
 
 
 def _curve(evidence: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps with a small penalty; without rows, what says 0.5 at some evidence."""
+    """Logistic regression by Newton steps with a small penalty; without rows, what says 0.5 at some evidence.
+
+    More evidence never lowers a score, and no evidence gives less than 0.5, whatever share of the labels is toxic.
+    """
     x = np.column_stack([np.ones(len(evidence)), evidence])
+    least, most = np.array([-np.inf, 0.0, 0.0]), np.array([-0.1, np.inf, np.inf])
     beta = np.array([-2.0, 1.0, 0.0])
     if len(toxic) == 0:
         return beta
-    for _ in range(50):
+    free = np.ones(3, bool)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        slope = x.T @ (toxic - p) - 0.01 * beta
+        # a number at its bound stays there while the slope points beyond it
+        free = ~((beta <= least) & (slope < 0) | (beta >= most) & (slope > 0))
+        if not free.any():
+            break
         hess = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(3)
-        move = np.linalg.solve(hess, x.T @ (toxic - p) - 0.01 * beta)
-        beta = beta + np.clip(move, -5, 5)
-        if np.abs(move).max() < 1e-9:
+        move = np.zeros(3)
+        move[free] = np.linalg.solve(hess[np.ix_(free, free)], slope[free])
+        new = np.clip(beta + np.clip(move, -5, 5), least, most)
+        done = np.abs(new - beta).max() < 1e-9
+        beta = new
+        if done:
             break
     return beta
 
@@ -284,7 +308,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts score as texts without evidence.  A null id is not held out and not
     learned from; repeated ids are scored row by row; labels without a document do nothing.
-    Without any usable label no word has a weight.  Other columns are not read.
+    Without any usable label no word has a weight, and a text without evidence scores below 0.5.
+    Other columns are not read; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     costs, weights, curve = train(docs, labels)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import random
 import tempfile
+import time
+import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from keyfathom.llm import main_text, packing, pivots, quality, token_files, tokens, toxicity
@@ -117,3 +122,63 @@ def test_null_groups_have_their_own_names(spark, table):
     rows = table("lang string, source string", ("en", None), (None, None))
     names = rows.select(quality._group("lang", "source"), quality._group("lang")).collect()
     assert len({n for row in names for n in row}) == 4
+
+
+def cheapest_reading(decoder, noisy):
+    """Least cost and its text over all paths of the lattice, one by one."""
+    spaced = bool(toxicity._SPACED.fullmatch(noisy))
+    noisy = toxicity._GAPS.sub(" ", noisy) if spaced else noisy
+    lattice = []
+    for i, symbol in enumerate(noisy):
+        run = len(noisy[i:]) - len(noisy[i:].lstrip(symbol)) + len(noisy[:i]) - len(noisy[:i].rstrip(symbol))
+        if symbol.isalpha():
+            choices = [(symbol, 0.0)]
+            if i and noisy[i - 1] == symbol:
+                choices.append(("", toxicity.SQUEEZED if run > 2 else toxicity.UNDOUBLED))
+        else:
+            choices = [(c, toxicity.SUBSTITUTED) for c in toxicity.LEET.get(symbol, "")]
+            if spaced and symbol == " ":
+                choices.append(("", toxicity.SQUEEZED))
+            elif symbol not in "0123456789":
+                choices.append(("", toxicity.DROPPED))
+            choices.append((" " if symbol in " ._-" else symbol, toxicity.KEPT + (1.0 if symbol.isdigit() else 0.5)))
+        lattice.append(choices)
+    paths = []
+    for path in itertools.product(*lattice):
+        text = "".join(letter for letter, _ in path)
+        paths.append((decoder.cost(text) + sum(price for _, price in path), text))
+    return min(paths)
+
+
+def test_decoding_is_the_cheapest_of_all_readings():
+    counts = np.random.default_rng(4).integers(0, 9, toxicity.SIZE ** toxicity.ORDER) ** 3
+    decoder = toxicity.Decoder(toxicity.letter_model(counts))
+    chance = random.Random(4)
+    for _ in range(150):
+        noisy = "".join(chance.choice("aabeilosst013$!") for _ in range(chance.randint(1, 7)))
+        if chance.random() < 0.3:
+            noisy = chance.choice([" ", ".", " - "]).join(noisy[:4])
+        least, text = cheapest_reading(decoder, noisy)
+        found = decoder._decode(noisy)
+        assert found == text or cheapest_reading(decoder, noisy)[0] == pytest.approx(least), noisy
+
+
+@pytest.mark.parametrize("text", ["0", "#", "$", "*", "(", "!", "a", "_", " ", "*-", "0 ", "aB3/", "ab. ", "a b "])
+def test_long_runs_take_linear_time(text):
+    decoder = toxicity.Decoder(toxicity.letter_model(np.ones(toxicity.SIZE ** toxicity.ORDER, "int64")))
+    begin = time.process_time()
+    decoder.restore(text * (200_000 // len(text)))
+    assert time.process_time() - begin < 20  # a quadratic search took 20 s for a tenth
+
+
+def test_no_evidence_stays_below_a_half(spark, table):
+    ship(spark)
+    labelled = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    labels = table("doc_id long, toxic int, quality int", *[(i, int(k < 19), 1) for k, i in enumerate(labelled[:20])])
+    for words in ("one two", "bad thing"):
+        docs = table("doc_id long, text string", *[(i, f"{words} {i}") for i in labelled[:20]], (200, ""), (201, None))
+        rows = toxicity.score_toxicity(docs, labels).collect()
+        assert all(r.score < 0.5 and r.predicted == 0 for r in rows if r.doc_id >= 200)
+    pair = labels.where(f"doc_id IN ({labelled[0]}, {labelled[19]})")
+    assert not any(r.predicted for r in toxicity.score_toxicity(docs, pair).collect())
+    assert toxicity.score_toxicity(docs.where("false"), labels).count() == 0
