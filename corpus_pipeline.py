@@ -17,21 +17,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SEQUENCE = 2048
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among the ids; rows without an id go."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(COLUMNS)
+def _without(docs: DataFrame, rejected: DataFrame, label: str) -> DataFrame:
+    """The rows of docs whose doc_id is not among the rejected ones, which are few; rows without an id stay."""
+    ids = stage(rejected.where("doc_id IS NOT NULL").select("doc_id").distinct(), label)
+    return docs.join(ids, "doc_id", "left_anti").select(COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the toxicity score does not reject."""
     found = toxicity.score_toxicity(docs, table(spark, folder, "labels"))
-    rejected = stage(found.where("predicted = 1").select("doc_id"), "toxic-ids")
-    return docs.join(rejected, "doc_id", "left_anti").select(COLUMNS)
+    return _without(docs, found.where("predicted = 1"), "toxic-ids")
 
 
 def drop_outliers(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return _keep(docs, stage(quality.judged(docs).where("kept").select("doc_id"), "quality-ids"))
+    return _without(docs, quality.judged(docs).where("NOT kept"), "quality-ids")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -43,7 +43,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
     found = ngram_join.near_documents(docs)
-    return _keep(docs, stage(found.where("doc_id = component_id").select("doc_id"), "distinct-ids"))
+    return _without(docs, found.where("doc_id <> component_id"), "copy-ids")
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
