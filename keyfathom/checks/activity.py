@@ -56,6 +56,25 @@ def call_chains(i: Inputs) -> DataFrame:
     return _reached(i).select("func_id", F.size("chain").alias("chain_length"))
 
 
+_REPO_FUNCTIONS = "SELECT func_id % 4 AS repo_id, func_id, file_path, name, concat(name, '@', start_line) AS label, start_line, end_line, is_entry FROM functions_v"
+
+
+@check("repository_chains", f"""
+WITH RECURSIVE f AS ({_REPO_FUNCTIONS}), c AS (SELECT caller_id % 4 AS repo_id, caller_id, callee_name FROM calls_v),
+walk AS (
+  SELECT repo_id, func_id, 0 AS depth, [label] AS chain FROM f WHERE is_entry
+  UNION ALL
+  SELECT g.repo_id, g.func_id, w.depth + 1, min(list_append(w.chain, g.label)) FROM walk w
+  JOIN c ON c.repo_id = w.repo_id AND c.caller_id = w.func_id JOIN f g ON g.repo_id = c.repo_id AND g.name = c.callee_name
+  WHERE w.depth < 30 GROUP BY g.repo_id, g.func_id, w.depth),
+best AS (SELECT repo_id, func_id, min(depth) AS depth, arg_min(chain, (depth, chain)) AS chain FROM walk GROUP BY repo_id, func_id)
+SELECT repo_id, func_id, depth, array_to_string(chain, ' > ') AS chain FROM best""")
+def repository_chains(i: Inputs) -> DataFrame:
+    """Four repositories with functions of the same names, and what the chains say."""
+    calls = i.sql("SELECT caller_id % 4 AS repo_id, caller_id AS caller, callee_name FROM calls_v")
+    return callgraph.reach(i.sql(_REPO_FUNCTIONS), calls).select("repo_id", "func_id", "depth", F.array_join("chain", " > ").alias("chain"))
+
+
 @check("finding_reachability", _REACH + """,
 spot AS (SELECT f.finding_id, arg_min(g.func_id, (g.end_line - g.start_line, g.func_id)) AS func_id
   FROM findings_id_v f LEFT JOIN functions_v g ON g.file_path = f.file_path AND f.finding_id % 300 BETWEEN g.start_line AND g.end_line

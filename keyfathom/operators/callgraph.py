@@ -8,12 +8,13 @@ function's ``func_id``.
 from __future__ import annotations
 
 import ast
+import uuid
 import warnings
 from collections.abc import Iterator
 from itertools import count
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfathom.functions import text
@@ -189,17 +190,57 @@ def calls_of(extracted: DataFrame) -> DataFrame:
     return extracted.select("repo_id", F.col("func_id").alias("caller"), F.explode("callees").alias("callee_name"))
 
 
+def _partitions(spark: SparkSession) -> int:
+    """Partitions that an exchange of this session has before any are coalesced."""
+    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return int(initial or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _placed(rows: DataFrame, partitions: int, dealt: bool = True) -> DataFrame:
+    """The rows written in buckets of (repo_id, name) to the checkpoint folder: joins on these two find them in place.
+
+    Rows that do not lie so already are dealt first.  The table's name goes at once, its files go with the folder.
+    """
+    spark = rows.sparkSession
+    name = f"placed_{uuid.uuid4().hex}"
+    if not dealt:
+        rows = rows.repartition(partitions, "repo_id", "name")
+    (rows.write.bucketBy(partitions, "repo_id", "name").option("path", f"{checkpoint_dir(spark)}/{name}")
+     .format("parquet").saveAsTable(name))
+    placed = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return placed
+
+
+def next_frontier(frontier: DataFrame, edges: DataFrame, unsettled: DataFrame, depth: int) -> DataFrame:
+    """(repo_id, name, chain, depth) of the unsettled names that the frontier's functions call.
+
+    All three tables lie dealt by (repo_id, name), and so does the result.  Edges and unsettled names
+    stay where they are; the one exchange is that of the names called, cut to one row per name
+    and task before it.
+    """
+    chain = _last(F.concat(F.col("chain"), F.array("label")))
+    called = (frontier.join(edges, ["repo_id", "name"]).select("repo_id", F.col("callee").alias("name"), chain.alias("chain"))
+              .groupBy("repo_id", "name").agg(F.min("chain").alias("chain")))
+    return unsettled.join(called, ["repo_id", "name"]).select("repo_id", "name", "chain", F.lit(depth).alias("depth"))
+
+
 def reach(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """(repo_id, func_id, depth, chain) of every function an entry point leads to.
 
     A call names its callee, and a name stands for all functions that bear it.
     So the search runs over distinct names, not over functions: each name is
     settled once, and a name borne or called by very many functions never
-    multiplies rows.  Of equally short chains the smallest is kept.  Each round
-    is checkpointed, so lost executors do not replay the search.
+    multiplies rows.  Of equally short chains the smallest is kept.
+
+    Edges and names are dealt by (repo_id, name) once.  A round moves only what
+    its frontier calls; settled names leave the unsettled ones in place, and every
+    few rounds so do the edges of names that are settled.  Each round is
+    written, so lost executors do not replay the search.
     """
     spark = functions.sparkSession
     checkpoint_dir(spark)
+    partitions = _partitions(spark)
     label = F.col("label") if "label" in functions.columns else F.col("name")
     known = functions.select("repo_id", "func_id", "name", label.alias("label"), "is_entry")
     names = known.select("repo_id", "name").distinct()
@@ -211,23 +252,23 @@ def reach(functions: DataFrame, calls: DataFrame) -> DataFrame:
               .groupBy("repo_id", "is_entry", "name", "callee").agg(F.min("label").alias("label"))
               .join(names.withColumnRenamed("name", "callee"), ["repo_id", "callee"], "left_semi")
               .checkpoint())
-    edges = called.where(~entry).select("repo_id", "name", "callee", "label")
-    frontier = (called.where(entry).groupBy("repo_id", F.col("callee").alias("name"))
-                .agg(F.min(F.array("label")).alias("chain")).withColumn("depth", F.lit(1)).checkpoint())
+    edges = _placed(called.where(~entry).select("repo_id", "name", "callee", "label"), partitions, dealt=False)
+    unsettled = _placed(names, partitions, dealt=False)
+    first = (called.where(entry).groupBy("repo_id", F.col("callee").alias("name"))
+             .agg(F.min(F.array("label")).alias("chain")))
+    frontier = _placed(unsettled.join(first, ["repo_id", "name"]).select(
+        "repo_id", "name", "chain", F.lit(1).alias("depth")), partitions)
     settled = frontier
     for depth in count(2):
-        chain = _last(F.concat(F.col("chain"), F.array("label")))
-        step = (frontier.join(edges, ["repo_id", "name"])
-                .select("repo_id", F.col("callee").alias("name"), chain.alias("chain"),
-                        F.lit(depth).alias("depth"))
-                .groupBy("repo_id", "name", "depth").agg(F.min("chain").alias("chain"))
-                .join(settled.select("repo_id", "name"), ["repo_id", "name"], "left_anti")
-                .select("repo_id", "name", "chain", "depth"))
-        frontier = step.checkpoint()
+        unsettled = _placed(unsettled.join(frontier, ["repo_id", "name"], "left_anti"), partitions)
+        frontier = _placed(next_frontier(frontier, edges, unsettled, depth), partitions)
         if frontier.isEmpty():
             break
         settled = settled.unionByName(frontier)
-        if depth % 10 == 0:  # the parts are checkpointed; this only keeps the plan short
+        if depth % 4 == 0:  # edges of settled names have done their part, but for those of the frontier
+            left = unsettled.select("repo_id", "name")
+            edges = _placed(edges.join(left, ["repo_id", "name"], "left_semi"), partitions)
+        if depth % 10 == 0:  # the parts are written; this only keeps the plan short
             settled = settled.checkpoint()
     roots = known.where(entry).select("repo_id", "func_id", F.lit(0).alias("depth"), F.array("label").alias("chain"))
     others = known.where(~entry).join(settled, ["repo_id", "name"]).select(
@@ -309,12 +350,12 @@ def verdicts(findings: DataFrame, functions: DataFrame, reached: DataFrame) -> D
     source = findings.where(F.coalesce(F.col("source_type"), F.lit("source_code")) == "source_code").join(
         with_entries, "repo_id", "left_semi")
     at = enclosing_functions(source, functions)
-    joined = (source.join(at, ["repo_id", "file_path", "line_number"], "left")
-              .join(reached, ["repo_id", "func_id"], "left"))
-    outside = F.col("func_id").isNull()
-    return joined.select(
-        *findings.columns, "func_id",
-        (outside | F.col("depth").isNotNull()).alias("reachable"),
-        F.when(outside, 0).otherwise(F.col("depth")).alias("call_depth"),
-        F.when(outside, F.array(F.lit(MODULE_LEVEL))).otherwise(
-            F.coalesce("chain", F.array().cast("array<string>"))).alias("call_chain"))
+    placed = source.join(at, ["repo_id", "file_path", "line_number"], "left")
+    # rows outside any function have no key for the join with the functions reached, and need none
+    inside = placed.where(F.col("func_id").isNotNull()).join(reached, ["repo_id", "func_id"], "left").select(
+        *findings.columns, "func_id", F.col("depth").isNotNull().alias("reachable"), F.col("depth").alias("call_depth"),
+        F.coalesce("chain", F.array().cast("array<string>")).alias("call_chain"))
+    outside = placed.where(F.col("func_id").isNull()).select(
+        *findings.columns, "func_id", F.lit(True).alias("reachable"), F.lit(0).alias("call_depth"),
+        F.array(F.lit(MODULE_LEVEL)).alias("call_chain"))
+    return inside.unionByName(outside)

@@ -133,3 +133,35 @@ def test_handler_names_become_entries(spark):
     assert rows(functions.where("is_entry"), "name") == [("Serve",)]
     reached = cg.reach(functions, cg.calls_of(extracted))
     assert rows(reached, "func_id", "depth") == [("a.go::Serve@8", 0), ("a.go::Sign@12", 1)]
+
+
+def test_a_round_moves_only_what_the_frontier_calls(spark):
+    """Edges and unsettled names stay in place, also from round to round."""
+    parts = cg._partitions(spark)
+    edges = cg._placed(spark.createDataFrame([("r", f"n{i}", f"n{i + 1}", f"n{i}@1") for i in range(50)],
+                                             "repo_id string, name string, callee string, label string"), parts, dealt=False)
+    unsettled = cg._placed(spark.createDataFrame([("r", f"n{i}") for i in range(1, 51)], "repo_id string, name string"), parts, dealt=False)
+    frontier = cg._placed(spark.createDataFrame([("r", "n0", ["e"], 1)], "repo_id string, name string, chain array<string>, depth int"), parts, dealt=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for depth in (2, 3):
+            step = cg.next_frontier(frontier, edges, unsettled, depth)
+            plan = step._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 2, plan
+            unsettled = unsettled.join(frontier, ["repo_id", "name"], "left_anti")
+            assert "Exchange" not in unsettled._jdf.queryExecution().executedPlan().toString()
+            unsettled, frontier = cg._placed(unsettled, parts), cg._placed(step, parts)
+            assert rows(frontier, "name", "chain") == [(f"n{depth - 1}", ["e", *[f"n{i}@1" for i in range(depth - 1)]])]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_outside_functions_do_not_meet_the_reached_ones(spark, table):
+    functions = table(FUNCTIONS, ("r", "a.py", "f", "main", "main@1", 1, 3, True), ("q", "a.py", "g", "g", "g@1", 1, 3, False))
+    calls = table(CALLS, ("r", "f", "g"))
+    found = table("repo_id string, file_path string, line_number int, source_type string",
+                  ("r", "a.py", 2, "source_code"), ("r", "a.py", 9, None), ("q", "a.py", 2, "source_code"), ("r", "b", 1, "dependency"))
+    out = cg.verdicts(found, functions, cg.reach(functions, calls))
+    assert rows(out, "repo_id", "line_number", "func_id", "reachable", "call_depth", "call_chain") == [
+        ("r", 2, "f", True, 0, ["main@1"]), ("r", 9, None, True, 0, [cg.MODULE_LEVEL])]
+    assert "isnotnull(func_id" in out._jdf.queryExecution().optimizedPlan().toString()
