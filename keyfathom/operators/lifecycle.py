@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyfathom.dims import grades
@@ -38,29 +38,35 @@ def _missed_before() -> Column:
     return F.coalesce(F.startswith("resolution_note", F.lit(MISSED)), F.lit(False))
 
 
-def reconcile(existing: DataFrame, new_findings: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
-    """Existing findings after one more scan of the repositories in ``runs``.
+#: Runs of one scan that are sent to every task, at most; a row of them is two ids.
+BROADCAST_RUNS = 500_000
 
-    ``runs(repo_id, scan_run_id)`` names the scan of each scanned repository and
-    ``new_findings`` holds what those scans found.  Rows of other repositories,
-    archived rows and rows that do not come from source code pass through.  An
-    ``action`` column tells what happened.
+
+def _marked(existing: DataFrame, runs: DataFrame) -> DataFrame:
+    """Existing rows with the run of their repository, and whether the run has a say about them.
+
+    Few runs, as all but the largest scans have, are broadcast, so that no row of the table moves.
     """
-    present = new_findings.select(*PAIR).distinct().withColumn("_present", F.lit(True))
-    joined = (existing.join(runs.select("repo_id", F.col("scan_run_id").alias("_run")), "repo_id", "left")
-              .join(present, PAIR, "left"))
+    marks = runs.select("repo_id", F.col("scan_run_id").alias("_run"))
+    if marks.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
+        marks = F.broadcast(marks)
     eligible = (F.col("_run").isNotNull() & ~F.col("archived")
                 & (F.col("source_type") == "source_code") & (F.col("scan_run_id") != F.col("_run")))
-    seen = eligible & F.col("_present").isNotNull()
-    gone = eligible & F.col("_present").isNull() & (F.col("migration_status") == "open")
+    return existing.join(marks, "repo_id", "left").withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
+
+
+def _decided(rows: DataFrame, as_of: Column) -> DataFrame:
+    """Eligible rows after the scan, from `_run` and `_present`, with an `action`."""
+    seen = F.col("_present")
     status = F.col("migration_status")
+    gone = ~seen & (status == "open")
     action = (F.when(seen & status.isin(OPEN), "still_present")
               .when(gone & _missed_before(), "auto_resolved")
               .when(gone, "missed_once")
               .when(seen & (status == "auto_resolved"), "reintroduced")
               .when(seen & (status == "manually_resolved"), "needs_review")
               .otherwise("unchanged"))
-    decided = joined.withColumn("action", action)
+    decided = rows.withColumn("action", action)
     act = F.col("action")
     back = act.isin("reintroduced", "needs_review")
     miss_note = F.concat(F.lit(MISSED + " "), F.left(F.col("_run").cast("string"), F.lit(8)))
@@ -74,23 +80,58 @@ def reconcile(existing: DataFrame, new_findings: DataFrame, runs: DataFrame, as_
         .when(act == "needs_review", NOTE_REVIEW).when(act == "still_present", None)
         .otherwise(F.col("resolution_note")),
     }
-    if "resolved_at" in existing.columns:
+    if "resolved_at" in rows.columns:
         changes["resolved_at"] = (F.when(act == "auto_resolved", as_of).when(back, None)
                                   .otherwise(F.col("resolved_at")))
-    if "resolved_by" in existing.columns:
+    if "resolved_by" in rows.columns:
         changes["resolved_by"] = (F.when(act == "auto_resolved", "scanner").when(back, None)
                                   .otherwise(F.col("resolved_by")))
-    return decided.withColumns(changes).select(*existing.columns, "action")
+    return decided.withColumns(changes)
+
+
+def reconcile(existing: DataFrame, new_findings: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
+    """Existing findings after one more scan of the repositories in ``runs``.
+
+    ``runs(repo_id, scan_run_id)`` names the scan of each scanned repository and
+    ``new_findings`` holds what those scans found.  Rows of other repositories,
+    archived rows and rows that do not come from source code pass through and are not
+    moved; the others are, once.  An ``action`` column tells what happened.
+    """
+    marked = _marked(existing, runs)
+    present = new_findings.select(*PAIR).distinct().withColumn("_found", F.lit(True))
+    judged = marked.where("_eligible").join(present, PAIR, "left").withColumn("_present", F.col("_found").isNotNull())
+    columns = [*existing.columns, "action"]
+    passed = marked.where("NOT _eligible").withColumn("action", F.lit("unchanged"))
+    return _decided(judged, as_of).select(columns).unionByName(passed.select(columns))
 
 
 def untracked(existing: DataFrame, new_findings: DataFrame, runs: DataFrame) -> DataFrame:
     """New findings whose (repo, path, algorithm) no earlier source finding covers."""
-    tracked = (existing.where(~F.col("archived") & (F.col("source_type") == "source_code"))
-               .join(runs.select("repo_id", F.col("scan_run_id").alias("_run")), "repo_id")
-               .where(F.col("scan_run_id") != F.col("_run")).select(*PAIR))
+    tracked = _marked(existing, runs).where("_eligible").select(*PAIR)
     return new_findings.join(tracked, PAIR, "left_anti")
 
 
+def scan_step(existing: DataFrame, new_findings: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
+    """What reconcile and untracked give, from one exchange: old and new rows meet by pair.
+
+    All existing rows after the scan, and the new findings that none of them covers with the action "new" and
+    nulls where they lack a column of `existing`.  Pairs with a null in them are no pairs.
+    """
+    marked = _marked(existing, runs)
+    shared = [c for c in existing.columns if c in new_findings.columns and c != "scan_run_id"]
+    both = marked.where("_eligible").select(*existing.columns, "_run", F.lit(True).alias("_old")).unionByName(
+        new_findings.select(*shared, F.lit(False).alias("_old")), allowMissingColumns=True)
+    whole = F.lit(True)
+    for c in PAIR:
+        whole = whole & F.col(c).isNotNull()
+    pair = Window.partitionBy(*PAIR)
+    met = both.withColumns({"_present": F.max(~F.col("_old")).over(pair) & whole, "_tracked": F.max("_old").over(pair) & whole})
+    columns = [*existing.columns, "action"]
+    return (_decided(met.where("_old"), as_of).select(columns)
+            .unionByName(met.where("NOT _old AND NOT _tracked").withColumn("action", F.lit("new")).select(columns))
+            .unionByName(marked.where("NOT _eligible").withColumn("action", F.lit("unchanged")).select(columns)))
+
+
 def still_present(existing: DataFrame, new_findings: DataFrame) -> DataFrame:
     """Distinct (repo, path, algorithm) found before and found again."""
     return (existing.where(~F.col("archived")).select(*PAIR).distinct()

@@ -88,22 +88,59 @@ def scan_repositories(files: DataFrame, reachability: bool = True,
         stats=reports.scan_run_stats(scanned, code.select("repo_id").unionAll(deps.select("repo_id"))))
 
 
+def _of_runs(rows: DataFrame, runs: DataFrame, how: str) -> DataFrame:
+    """Rows of the scanned repositories (left_semi) or of all others (left_anti)."""
+    return rows.join(runs.select("repo_id"), "repo_id", how)
+
+
+def _identity(*columns: str) -> Column:
+    """An id that the same row of the same scan always has."""
+    return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+
+
+FINDING_ID = ["scan_run_id", "repo_id", "file_path", "line_number", "algorithm", "source_type", "dependency_name"]
+SECRET_ID = ["scan_run_id", "repo_id", "file_path", "line_number", "finding_type", "algorithm", "config_key", "config_value"]
+
+
+def _dependency_rows(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Dependency findings of a scan as rows of the findings table, with their ids."""
+    named = rows.withColumnRenamed("manifest", "file_path").withColumn("line_number", F.lit(0))
+    return named.join(runs.select("repo_id", "scan_run_id"), "repo_id").withColumn("finding_id", _identity(*FINDING_ID))
+
+
 def next_findings(existing: DataFrame, scan: RepositoryScan, runs: DataFrame, as_of: Column) -> DataFrame:
     """The findings table after a scan: source rows reconciled, dependency rows replaced."""
-    kept = lifecycle.reconcile(existing, scan.code, runs, as_of).drop("action")
-    scanned = runs.select("repo_id").withColumn("_scanned", F.lit(True))
-    kept = kept.join(scanned, "repo_id", "left")
-    kept = kept.where(F.col("_scanned").isNull() | (F.col("source_type") != "dependency")).drop("_scanned")
+    code = scan.code.withColumn("source_type", F.lit("source_code")) if "source_type" not in scan.code.columns else scan.code
+    stepped = lifecycle.scan_step(existing.where("source_type <> 'dependency' OR source_type IS NULL"), code, runs, as_of)
     state = {"migration_status": F.lit("open"), "archived": F.lit(False), "created_at": as_of}
-    new = lifecycle.untracked(existing, scan.code, runs).withColumns(state)
-    deps = scan.dependencies.withColumnRenamed("manifest", "file_path").withColumns(
-        {**state, "line_number": F.lit(0)})
-    rows = new.unionByName(deps, allowMissingColumns=True).join(runs.select("repo_id", "scan_run_id"), "repo_id")
-    identity = F.sha2(F.concat_ws("\u0001", "scan_run_id", "repo_id", "file_path", "line_number", "algorithm",
-                                  "source_type", "dependency_name"), 256)
-    rows = rows.withColumn("finding_id", identity)
-    return kept.unionByName(rows.select(*[c for c in existing.columns if c in rows.columns]),
-                            allowMissingColumns=True)
+    stamps = runs.select("repo_id", "scan_run_id")
+    fresh = stepped.where("action = 'new'").drop("scan_run_id", "action").join(stamps, "repo_id").withColumns(
+        {c: v for c, v in state.items() if c in existing.columns}).withColumn("finding_id", _identity(*FINDING_ID))
+    deps = _dependency_rows(scan.dependencies, runs).withColumns(state)
+    columns = existing.columns
+    others = _of_runs(existing.where("source_type = 'dependency'"), runs, "left_anti")
+    return (stepped.where("action <> 'new'").select(columns).unionByName(fresh.select(columns)).unionByName(others.select(columns))
+            .unionByName(deps.select(*[c for c in columns if c in deps.columns]), allowMissingColumns=True))
+
+
+def next_secrets(existing: DataFrame, scan: RepositoryScan, runs: DataFrame) -> DataFrame:
+    """The secrets table after a scan: those of the scanned repositories are replaced."""
+    found = scan.secrets.join(runs.select("repo_id", "scan_run_id"), "repo_id").withColumns(
+        {"secret_id": _identity(*SECRET_ID), "migration_status": F.lit("open"), "archived": F.lit(False)})
+    return _of_runs(existing, runs, "left_anti").unionByName(
+        found.select(*[c for c in existing.columns if c in found.columns]), allowMissingColumns=True)
+
+
+def next_cves(existing: DataFrame, findings: DataFrame, scan: RepositoryScan, runs: DataFrame) -> DataFrame:
+    """The CVE records after a scan.
+
+    ``findings`` is the findings table before it: records of its dependency findings in scanned repositories go,
+    those of the scan's dependencies come, under the ids that next_findings gives these.
+    """
+    replaced = _of_runs(findings.where("source_type = 'dependency'"), runs, "left_semi").select("finding_id")
+    found = _dependency_rows(scan.cves, runs)
+    return existing.join(replaced, "finding_id", "left_anti").unionByName(
+        found.select(*[c for c in existing.columns if c in found.columns]), allowMissingColumns=True)
 
 
 @dataclass
