@@ -4,93 +4,86 @@ from __future__ import annotations
 
 # ---- FIXED VALUES ----------------------------------------------------------
 
-_KEM_OR_SIG = "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)"
-_SIG = "ML-DSA-65 (FIPS 204)"
-_KEM = "ML-KEM-768 (FIPS 203)"
-_AES = "AES-256-GCM"
-_SHA3 = "SHA-3-256"
-_ARGON = "Argon2id (quantum-safe KDF)"
-
 # (ecosystem, name, algorithm, algo_type, vulnerable_below, risk_level,
 #  quantum_status, nist_replacement, reason); no threshold means every version.
 CURATED_PACKAGES = [
-    ("pypi", "cryptography", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", _KEM_OR_SIG,
+    ("pypi", "cryptography", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)",
      "Widely-used crypto library — provides RSA/ECDSA/AES/TLS primitives, all quantum-vulnerable; no PQC support yet"),
-    ("pypi", "pyopenssl", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", _KEM_OR_SIG,
+    ("pypi", "pyopenssl", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)",
      "PyOpenSSL wraps OpenSSL RSA/ECDSA/TLS — all quantum-vulnerable algorithms exposed"),
-    ("pypi", "python-jose", "JWT-RS256", "Signature", "3.3.0", "HIGH", "VULNERABLE", _SIG,
+    ("pypi", "python-jose", "JWT-RS256", "Signature", "3.3.0", "HIGH", "VULNERABLE", "ML-DSA-65 (FIPS 204)",
      "Versions < 3.3.0 had algorithm confusion (CVE-2022-29217); RS256/RS512 JWT signing is quantum-vulnerable"),
-    ("pypi", "authlib", "JWT-RS256", "Signature", "1.2.0", "HIGH", "VULNERABLE", _SIG,
+    ("pypi", "authlib", "JWT-RS256", "Signature", "1.2.0", "HIGH", "VULNERABLE", "ML-DSA-65 (FIPS 204)",
      "OAuth2/OIDC library using RSA-based JWT — quantum-vulnerable; versions < 1.2.0 had validation issues"),
-    ("pypi", "jwcrypto", "JWT-RS256", "Signature", "1.5.0", "HIGH", "VULNERABLE", _SIG,
+    ("pypi", "jwcrypto", "JWT-RS256", "Signature", "1.5.0", "HIGH", "VULNERABLE", "ML-DSA-65 (FIPS 204)",
      "JWE/JWS/JWT library using RSA/ECDSA — quantum-vulnerable"),
-    ("pypi", "pycrypto", "RSA-2048", "Asymmetric", None, "CRITICAL", "VULNERABLE", _KEM_OR_SIG,
+    ("pypi", "pycrypto", "RSA-2048", "Asymmetric", None, "CRITICAL", "VULNERABLE", "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)",
      "Abandoned library (last release 2014); implements RSA/DES/MD5 — quantum-vulnerable with known CVEs"),
-    ("pypi", "pycryptodome", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", _KEM_OR_SIG,
+    ("pypi", "pycryptodome", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)",
      "Provides RSA/ECDSA/DES/MD5 — all quantum-vulnerable; migrate to post-quantum primitives"),
-    ("pypi", "pyjwt", "JWT-RS256", "Signature", "2.4.0", "HIGH", "VULNERABLE", _SIG,
+    ("pypi", "pyjwt", "JWT-RS256", "Signature", "2.4.0", "HIGH", "VULNERABLE", "ML-DSA-65 (FIPS 204)",
      "Versions < 2.4.0 default to RS256 (RSA-based JWT signing) — quantum-vulnerable"),
     ("pypi", "paramiko", "RSA-2048", "Asymmetric", "3.0.0", "HIGH", "VULNERABLE",
      "ML-KEM-768 hybrid (FIPS 203)",
      "Versions < 3.0.0 use RSA/DSA host key algorithms by default in SSH connections"),
-    ("pypi", "pydes", "DES", "Symmetric", None, "CRITICAL", "BROKEN", _AES,
+    ("pypi", "pydes", "DES", "Symmetric", None, "CRITICAL", "BROKEN", "AES-256-GCM",
      "Implements DES/3DES — classically broken cipher, quantum-vulnerable"),
-    ("pypi", "m2crypto", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", _KEM_OR_SIG,
+    ("pypi", "m2crypto", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)",
      "M2Crypto wraps OpenSSL RSA/DSA/ECDSA/TLS — all quantum-vulnerable algorithms exposed"),
-    ("pypi", "rsa", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", _KEM_OR_SIG,
+    ("pypi", "rsa", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)",
      "Pure-Python RSA implementation — quantum-vulnerable; no PQC support"),
-    ("pypi", "ecdsa", "ECDSA", "Signature", None, "HIGH", "VULNERABLE", _SIG,
+    ("pypi", "ecdsa", "ECDSA", "Signature", None, "HIGH", "VULNERABLE", "ML-DSA-65 (FIPS 204)",
      "Pure-Python ECDSA implementation — quantum-vulnerable elliptic curve signatures"),
     ("pypi", "pyotp", "SHA-1", "Hash", None, "HIGH", "WEAK", "TOTP with SHA-256 (RFC 6238)",
      "Uses HMAC-SHA1 by default for TOTP generation — SHA-1 is quantum-weak"),
-    ("npm", "jsonwebtoken", "JWT-RS256", "Signature", "9.0.0", "HIGH", "VULNERABLE", _SIG,
+    ("npm", "jsonwebtoken", "JWT-RS256", "Signature", "9.0.0", "HIGH", "VULNERABLE", "ML-DSA-65 (FIPS 204)",
      "Versions < 9.0.0 defaulted to RS256 and had CVE-2022-23529; RS256 is quantum-vulnerable"),
-    ("npm", "node-forge", "RSA-2048", "Asymmetric", "1.3.0", "HIGH", "VULNERABLE", _KEM,
+    ("npm", "node-forge", "RSA-2048", "Asymmetric", "1.3.0", "HIGH", "VULNERABLE", "ML-KEM-768 (FIPS 203)",
      "Versions < 1.3.0 had RSA verification bypass (CVE-2022-0122); all versions use quantum-vulnerable RSA"),
-    ("npm", "md5", "MD5", "Hash", None, "CRITICAL", "BROKEN", _SHA3,
+    ("npm", "md5", "MD5", "Hash", None, "CRITICAL", "BROKEN", "SHA-3-256",
      "MD5 hash — classically broken (collision attacks) and quantum-vulnerable"),
-    ("npm", "sha1", "SHA-1", "Hash", None, "HIGH", "WEAK", _SHA3,
+    ("npm", "sha1", "SHA-1", "Hash", None, "HIGH", "WEAK", "SHA-3-256",
      "SHA-1 hash — weakened by SHAttered attack; quantum-weak"),
     ("npm", "crypto-js", "MD5", "Hash", "4.2.0", "HIGH", "VULNERABLE", "SHA-3-256 / AES-256-GCM",
      "Versions < 4.2.0 include MD5/SHA1/DES implementations and weak PRNG"),
-    ("npm", "des.js", "DES", "Symmetric", None, "CRITICAL", "BROKEN", _AES,
+    ("npm", "des.js", "DES", "Symmetric", None, "CRITICAL", "BROKEN", "AES-256-GCM",
      "Implements DES/3DES — classically broken cipher"),
-    ("npm", "jsrsasign", "RSA-2048", "Asymmetric", "10.5.25", "HIGH", "VULNERABLE", _KEM_OR_SIG,
+    ("npm", "jsrsasign", "RSA-2048", "Asymmetric", "10.5.25", "HIGH", "VULNERABLE", "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)",
      "Versions < 10.5.25 had signature verification bypass; all versions use quantum-vulnerable RSA/ECDSA"),
-    ("maven", "bcprov-jdk15on", "RSA-2048", "Asymmetric", "1.70", "HIGH", "VULNERABLE", _KEM_OR_SIG,
+    ("maven", "bcprov-jdk15on", "RSA-2048", "Asymmetric", "1.70", "HIGH", "VULNERABLE", "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)",
      "Bouncy Castle < 1.70 has known CVEs; all versions provide quantum-vulnerable RSA/ECDSA"),
-    ("maven", "bcprov-jdk18on", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", _KEM_OR_SIG,
+    ("maven", "bcprov-jdk18on", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)",
      "Bouncy Castle provides quantum-vulnerable RSA/ECDSA — use PQC extensions"),
-    ("maven", "nimbus-jose-jwt", "JWT-RS256", "Signature", "9.37.2", "HIGH", "VULNERABLE", _SIG,
+    ("maven", "nimbus-jose-jwt", "JWT-RS256", "Signature", "9.37.2", "HIGH", "VULNERABLE", "ML-DSA-65 (FIPS 204)",
      "Versions < 9.37.2 had parsing vulnerabilities; RS256 default is quantum-vulnerable"),
-    ("maven", "jose4j", "JWT-RS256", "Signature", "0.9.4", "HIGH", "VULNERABLE", _SIG,
+    ("maven", "jose4j", "JWT-RS256", "Signature", "0.9.4", "HIGH", "VULNERABLE", "ML-DSA-65 (FIPS 204)",
      "JWT library using RSA-based signing — quantum-vulnerable"),
     ("maven", "jasypt", "MD5", "Hash", "1.9.3", "HIGH", "VULNERABLE", "Argon2id / AES-256-GCM",
      "Versions < 1.9.3 default to MD5-based encryption; weak key derivation"),
-    ("go", "github.com/dgrijalva/jwt-go", "JWT-RS256", "Signature", None, "CRITICAL", "VULNERABLE", _SIG,
+    ("go", "github.com/dgrijalva/jwt-go", "JWT-RS256", "Signature", None, "CRITICAL", "VULNERABLE", "ML-DSA-65 (FIPS 204)",
      "Abandoned (CVE-2020-26160); uses RSA-based JWT signing — quantum-vulnerable. Migrate to github.com/golang-jwt/jwt/v5"),
-    ("go", "github.com/golang-jwt/jwt", "JWT-RS256", "Signature", "4.5.0", "HIGH", "VULNERABLE", _SIG,
+    ("go", "github.com/golang-jwt/jwt", "JWT-RS256", "Signature", "4.5.0", "HIGH", "VULNERABLE", "ML-DSA-65 (FIPS 204)",
      "Versions < 4.5.0 had algorithm confusion vulnerability; RS256 is quantum-vulnerable"),
-    ("crates.io", "md5", "MD5", "Hash", None, "CRITICAL", "BROKEN", _SHA3,
+    ("crates.io", "md5", "MD5", "Hash", None, "CRITICAL", "BROKEN", "SHA-3-256",
      "MD5 hash implementation — classically broken and quantum-vulnerable"),
-    ("crates.io", "sha1", "SHA-1", "Hash", None, "HIGH", "WEAK", _SHA3,
+    ("crates.io", "sha1", "SHA-1", "Hash", None, "HIGH", "WEAK", "SHA-3-256",
      "SHA-1 hash implementation — weakened by SHAttered attack"),
-    ("crates.io", "rsa", "RSA-2048", "Asymmetric", "0.9.6", "HIGH", "VULNERABLE", _KEM,
+    ("crates.io", "rsa", "RSA-2048", "Asymmetric", "0.9.6", "HIGH", "VULNERABLE", "ML-KEM-768 (FIPS 203)",
      "Versions < 0.9.6 had timing side-channel (RUSTSEC-2023-0071); all versions quantum-vulnerable"),
-    ("crates.io", "des", "DES", "Symmetric", None, "CRITICAL", "BROKEN", _AES,
+    ("crates.io", "des", "DES", "Symmetric", None, "CRITICAL", "BROKEN", "AES-256-GCM",
      "DES cipher implementation — classically broken"),
-    ("pypi", "twisted", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", _KEM_OR_SIG,
+    ("pypi", "twisted", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)",
      "Twisted TLS/SSL uses OpenSSL RSA/ECDSA under the hood — quantum-vulnerable; no PQC support"),
-    ("pypi", "fabric", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", _KEM_OR_SIG,
+    ("pypi", "fabric", "RSA-2048", "Asymmetric", None, "HIGH", "VULNERABLE", "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)",
      "Fabric uses Paramiko for SSH — RSA/ECDSA key exchange is quantum-vulnerable"),
-    ("pypi", "invoke", "RSA-2048", "Asymmetric", None, "MEDIUM", "VULNERABLE", _KEM_OR_SIG,
+    ("pypi", "invoke", "RSA-2048", "Asymmetric", None, "MEDIUM", "VULNERABLE", "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)",
      "Invoke (Fabric dependency) may invoke SSH via Paramiko — quantum-vulnerable key exchange"),
     ("pypi", "httplib2", "RSA-2048", "Asymmetric", "0.22.0", "HIGH", "VULNERABLE",
      "httpx with TLS 1.3 / ML-KEM post-quantum TLS",
      "httplib2 < 0.22.0 had SSRF and cert validation issues; TLS transport uses RSA/ECDSA — quantum-vulnerable"),
-    ("pypi", "bcrypt", "Blowfish", "Symmetric", None, "MEDIUM", "WEAK", _ARGON,
+    ("pypi", "bcrypt", "Blowfish", "Symmetric", None, "MEDIUM", "WEAK", "Argon2id (quantum-safe KDF)",
      "bcrypt uses Blowfish cipher — Grover's algorithm halves effective key strength; migrate to Argon2id for password hashing"),
-    ("pypi", "passlib", "Blowfish", "Symmetric", "1.7.4", "MEDIUM", "WEAK", _ARGON,
+    ("pypi", "passlib", "Blowfish", "Symmetric", "1.7.4", "MEDIUM", "WEAK", "Argon2id (quantum-safe KDF)",
      "passlib bcrypt backend uses Blowfish — quantum-weak; upgrade to Argon2id handler"),
     ("pypi", "itsdangerous", "HMAC-SHA1", "Signature", "2.0.0", "MEDIUM", "WEAK",
      "HMAC-SHA256 / ML-DSA-65 (FIPS 204)",
@@ -101,11 +94,11 @@ CURATED_PACKAGES = [
     ("pypi", "flask", "HMAC-SHA1", "Signature", "2.3.0", "MEDIUM", "WEAK",
      "HMAC-SHA256 / ML-DSA-65 (FIPS 204)",
      "Flask < 2.3 session cookies signed with HMAC-SHA1 via Werkzeug — quantum-weak"),
-    ("npm", "bcrypt", "Blowfish", "Symmetric", None, "MEDIUM", "WEAK", _ARGON,
+    ("npm", "bcrypt", "Blowfish", "Symmetric", None, "MEDIUM", "WEAK", "Argon2id (quantum-safe KDF)",
      "bcrypt uses Blowfish cipher — Grover's algorithm halves effective key strength; migrate to Argon2id"),
-    ("npm", "bcryptjs", "Blowfish", "Symmetric", None, "MEDIUM", "WEAK", _ARGON,
+    ("npm", "bcryptjs", "Blowfish", "Symmetric", None, "MEDIUM", "WEAK", "Argon2id (quantum-safe KDF)",
      "bcryptjs uses Blowfish cipher — quantum-weak symmetric; migrate to Argon2id"),
-    ("npm", "passport", "JWT-RS256", "Signature", "0.6.0", "HIGH", "VULNERABLE", _SIG,
+    ("npm", "passport", "JWT-RS256", "Signature", "0.6.0", "HIGH", "VULNERABLE", "ML-DSA-65 (FIPS 204)",
      "Passport.js < 0.6.0 had session fixation; JWT strategy uses RSA-based RS256 — quantum-vulnerable"),
 ]
 

@@ -12,9 +12,6 @@ from dataclasses import dataclass, field
 
 # ---- FIXED VALUES ----------------------------------------------------------
 
-_RSA_USE_PQC = "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)"
-_TLS_USE_13 = "TLS 1.3 + ML-KEM hybrid"
-
 MD5_PATTERNS = [
     r"\bMD5\b",
     r"hashlib\.md5",
@@ -73,22 +70,45 @@ DES_PATTERNS = [
     r"\bwc_Des3?_",
 ]
 
+RSA1024_PATTERNS = [
+    r"RSA\.generate\(1024",
+    r"KeyPairGenerator.*1024",
+    r"generateKeyPair.*1024",
+    r"new RSACryptoServiceProvider\(1024\)",
+    r"RSA\.Create\(1024\)",
+    r"RsaKeyGenerationParameters.*1024",
+    r"RSA_generate_key(?:_ex)?\([^;]*?\b1024\b",
+    r"EVP_PKEY_CTX_set_rsa_keygen_bits\([^,]*,\s*1024\s*\)",
+    r"mbedtls_rsa_gen_key\([^;]*?\b1024\b",
+    r"wc_MakeRsaKey\([^,]*,\s*1024",
+]
 
-def rsa_patterns(bits: int, extra: tuple[str, ...] = ()) -> list[str]:
-    """RSA key generation with an explicit modulus size."""
-    return [
-        rf"RSA\.generate\({bits}",
-        rf"KeyPairGenerator.*{bits}",
-        *extra,
-        rf"new RSACryptoServiceProvider\({bits}\)",
-        rf"RSA\.Create\({bits}\)",
-        rf"RsaKeyGenerationParameters.*{bits}",
-        rf"RSA_generate_key(?:_ex)?\([^;]*?\b{bits}\b",
-        rf"EVP_PKEY_CTX_set_rsa_keygen_bits\([^,]*,\s*{bits}\s*\)",
-        rf"mbedtls_rsa_gen_key\([^;]*?\b{bits}\b",
-        rf"wc_MakeRsaKey\([^,]*,\s*{bits}",
-    ]
+RSA2048_PATTERNS = [
+    r"RSA\.generate\(2048",
+    r"KeyPairGenerator.*2048",
+    r"RSAKeySize\.RSA_2048",
+    r"KeySize\(2048\)",
+    r"default_bits\s*=\s*2048",
+    r"new RSACryptoServiceProvider\(2048\)",
+    r"RSA\.Create\(2048\)",
+    r"RsaKeyGenerationParameters.*2048",
+    r"RSA_generate_key(?:_ex)?\([^;]*?\b2048\b",
+    r"EVP_PKEY_CTX_set_rsa_keygen_bits\([^,]*,\s*2048\s*\)",
+    r"mbedtls_rsa_gen_key\([^;]*?\b2048\b",
+    r"wc_MakeRsaKey\([^,]*,\s*2048",
+]
 
+RSA4096_PATTERNS = [
+    r"RSA\.generate\(4096",
+    r"KeyPairGenerator.*4096",
+    r"new RSACryptoServiceProvider\(4096\)",
+    r"RSA\.Create\(4096\)",
+    r"RsaKeyGenerationParameters.*4096",
+    r"RSA_generate_key(?:_ex)?\([^;]*?\b4096\b",
+    r"EVP_PKEY_CTX_set_rsa_keygen_bits\([^,]*,\s*4096\s*\)",
+    r"mbedtls_rsa_gen_key\([^;]*?\b4096\b",
+    r"wc_MakeRsaKey\([^,]*,\s*4096",
+]
 
 ECDSA_PATTERNS = [
     r"\bECDSA\b",
@@ -154,18 +174,22 @@ TLS10_PATTERNS = [
     r"\bTLSv1_(?:client_|server_)?method\b",
 ]
 
+TLS11_PATTERNS = [
+    r"TLSv1\.1",
+    r"ssl\.PROTOCOL_TLSv1_1",
+    r"TLS_1_1",
+    r"\bTLS1_1_VERSION\b",
+    r"\bTLSv1_1_(?:client_|server_)?method\b",
+]
 
-def tls_patterns(minor: int, extra: tuple[str, ...] = ()) -> list[str]:
-    """TLS 1.1 and later, which share one naming scheme."""
-    return [
-        rf"TLSv1\.{minor}",
-        rf"ssl\.PROTOCOL_TLSv1_{minor}",
-        rf"TLS_1_{minor}",
-        *extra,
-        rf"\bTLS1_{minor}_VERSION\b",
-        rf"\bTLSv1_{minor}_(?:client_|server_)?method\b",
-    ]
-
+TLS12_PATTERNS = [
+    r"TLSv1\.2",
+    r"ssl\.PROTOCOL_TLSv1_2",
+    r"TLS_1_2",
+    r"sslVersion\s*=\s*TLSv1\.2",
+    r"\bTLS1_2_VERSION\b",
+    r"\bTLSv1_2_(?:client_|server_)?method\b",
+]
 
 RC4_PATTERNS = [
     r"\bRC4\b",
@@ -242,28 +266,56 @@ SSH_KEX_PATTERNS = [
     r"^KexAlgorithms\s+[^\n]*(?:ecdh-sha2-nistp|diffie-hellman-group)",
 ]
 
+ML_KEM_512_PATTERNS = [
+    r"\bML[-_]?KEM[-_]?512\b",
+    r"\bMLKEM512\b",
+    r"kyber512\b",
+    r"Kyber512",
+    r"MLKEMParameters\.ML_KEM_512",
+]
 
-def ml_kem_patterns(size: int, extra: tuple[str, ...] = ()) -> list[str]:
-    return [
-        rf"\bML[-_]?KEM[-_]?{size}\b",
-        rf"\bMLKEM{size}\b",
-        rf"kyber{size}\b",
-        rf"Kyber{size}",
-        rf"MLKEMParameters\.ML_KEM_{size}",
-        *extra,
-    ]
+ML_KEM_768_PATTERNS = [
+    r"\bML[-_]?KEM[-_]?768\b",
+    r"\bMLKEM768\b",
+    r"kyber768\b",
+    r"Kyber768",
+    r"MLKEMParameters\.ML_KEM_768",
+    r"sntrup761",
+]
 
+ML_KEM_1024_PATTERNS = [
+    r"\bML[-_]?KEM[-_]?1024\b",
+    r"\bMLKEM1024\b",
+    r"kyber1024\b",
+    r"Kyber1024",
+    r"MLKEMParameters\.ML_KEM_1024",
+]
 
-def ml_dsa_patterns(size: int, dilithium: int, extra: tuple[str, ...] = ()) -> list[str]:
-    return [
-        rf"\bML[-_]?DSA[-_]?{size}\b",
-        rf"\bMLDSA{size}\b",
-        rf"dilithium{dilithium}\b",
-        rf"Dilithium{dilithium}",
-        rf"MLDSAParameters\.ML_DSA_{size}",
-        *extra,
-    ]
+ML_DSA_44_PATTERNS = [
+    r"\bML[-_]?DSA[-_]?44\b",
+    r"\bMLDSA44\b",
+    r"dilithium2\b",
+    r"Dilithium2",
+    r"MLDSAParameters\.ML_DSA_44",
+]
 
+ML_DSA_65_PATTERNS = [
+    r"\bML[-_]?DSA[-_]?65\b",
+    r"\bMLDSA65\b",
+    r"dilithium3\b",
+    r"Dilithium3",
+    r"MLDSAParameters\.ML_DSA_65",
+    r"mldsa65",
+]
+
+ML_DSA_87_PATTERNS = [
+    r"\bML[-_]?DSA[-_]?87\b",
+    r"\bMLDSA87\b",
+    r"dilithium5\b",
+    r"Dilithium5",
+    r"MLDSAParameters\.ML_DSA_87",
+    r"mldsa87",
+]
 
 SLH_DSA_PATTERNS = [
     r"\bSLH[-_]?DSA\b",
@@ -294,22 +346,21 @@ REGISTRY: list[Algorithm] = [
     Algorithm("MD5", "Hash", "BROKEN", "CRITICAL", "SHA-3-256", MD5_PATTERNS),
     Algorithm("SHA-1", "Hash", "WEAK", "HIGH", "SHA-3-256", SHA1_PATTERNS),
     Algorithm("DES", "Symmetric", "BROKEN", "CRITICAL", "AES-256-GCM", DES_PATTERNS),
-    Algorithm("RSA-1024", "Asymmetric", "BROKEN", "CRITICAL", _RSA_USE_PQC,
-              rsa_patterns(1024, (r"generateKeyPair.*1024",))),
-    Algorithm("RSA-2048", "Asymmetric", "VULNERABLE", "CRITICAL", _RSA_USE_PQC,
-              rsa_patterns(2048, (r"RSAKeySize\.RSA_2048", r"KeySize\(2048\)",
-                                  r"default_bits\s*=\s*2048"))),
+    Algorithm("RSA-1024", "Asymmetric", "BROKEN", "CRITICAL", "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)",
+              RSA1024_PATTERNS),
+    Algorithm("RSA-2048", "Asymmetric", "VULNERABLE", "CRITICAL", "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)",
+              RSA2048_PATTERNS),
     Algorithm("RSA-4096", "Asymmetric", "VULNERABLE", "HIGH",
-              "ML-KEM-1024 (FIPS 203) / ML-DSA-87 (FIPS 204)", rsa_patterns(4096)),
+              "ML-KEM-1024 (FIPS 203) / ML-DSA-87 (FIPS 204)", RSA4096_PATTERNS),
     Algorithm("ECDSA", "Signature", "VULNERABLE", "HIGH", "ML-DSA-65 (FIPS 204)", ECDSA_PATTERNS),
     Algorithm("ECDH", "KEM", "VULNERABLE", "HIGH", "ML-KEM-768 (FIPS 203)", ECDH_PATTERNS),
     Algorithm("X25519", "KEM", "VULNERABLE", "MEDIUM", "ML-KEM-768 hybrid (FIPS 203)",
               X25519_PATTERNS),
     Algorithm("AES-128", "Symmetric", "MONITOR", "MEDIUM", "AES-256-GCM", AES128_PATTERNS),
-    Algorithm("TLS-1.0", "Protocol", "BROKEN", "CRITICAL", _TLS_USE_13, TLS10_PATTERNS),
-    Algorithm("TLS-1.1", "Protocol", "WEAK", "HIGH", _TLS_USE_13, tls_patterns(1)),
-    Algorithm("TLS-1.2", "Protocol", "MONITOR", "MEDIUM", _TLS_USE_13,
-              tls_patterns(2, (r"sslVersion\s*=\s*TLSv1\.2",))),
+    Algorithm("TLS-1.0", "Protocol", "BROKEN", "CRITICAL", "TLS 1.3 + ML-KEM hybrid", TLS10_PATTERNS),
+    Algorithm("TLS-1.1", "Protocol", "WEAK", "HIGH", "TLS 1.3 + ML-KEM hybrid", TLS11_PATTERNS),
+    Algorithm("TLS-1.2", "Protocol", "MONITOR", "MEDIUM", "TLS 1.3 + ML-KEM hybrid",
+              TLS12_PATTERNS),
     Algorithm("RC4", "Symmetric", "BROKEN", "CRITICAL", "AES-256-GCM or ChaCha20-Poly1305",
               RC4_PATTERNS),
     Algorithm("PBKDF2", "KDF", "MONITOR", "MEDIUM", "Argon2id", PBKDF2_PATTERNS),
@@ -319,7 +370,7 @@ REGISTRY: list[Algorithm] = [
               "Use HSM or key management service (e.g. AWS KMS, HashiCorp Vault)",
               HARDCODED_KEY_PATTERNS),
     Algorithm("BLOWFISH", "Symmetric", "BROKEN", "CRITICAL", "AES-256-GCM", BLOWFISH_PATTERNS),
-    Algorithm("RSA-KEYGEN-CLI", "Asymmetric", "VULNERABLE", "CRITICAL", _RSA_USE_PQC,
+    Algorithm("RSA-KEYGEN-CLI", "Asymmetric", "VULNERABLE", "CRITICAL", "ML-KEM-768 (FIPS 203) / ML-DSA-65 (FIPS 204)",
               RSA_CLI_PATTERNS),
     Algorithm("CRYPTSETUP-WEAK-KDF", "KDF", "MONITOR", "HIGH",
               "Use --pbkdf=argon2id with cryptsetup", CRYPTSETUP_PATTERNS),
@@ -330,20 +381,20 @@ REGISTRY: list[Algorithm] = [
               "Use sntrup761x25519-sha512@openssh.com or mlkem768x25519-sha256 in KexAlgorithms",
               SSH_KEX_PATTERNS),
     Algorithm("ML-KEM-512", "KEM", "SAFE", "LOW",
-              "Already NIST FIPS 203 compliant (128-bit quantum security)", ml_kem_patterns(512)),
+              "Already NIST FIPS 203 compliant (128-bit quantum security)", ML_KEM_512_PATTERNS),
     Algorithm("ML-KEM-768", "KEM", "SAFE", "LOW",
               "Already NIST FIPS 203 compliant (192-bit quantum security)",
-              ml_kem_patterns(768, (r"sntrup761",))),
+              ML_KEM_768_PATTERNS),
     Algorithm("ML-KEM-1024", "KEM", "SAFE", "LOW",
-              "Already NIST FIPS 203 compliant (256-bit quantum security)", ml_kem_patterns(1024)),
+              "Already NIST FIPS 203 compliant (256-bit quantum security)", ML_KEM_1024_PATTERNS),
     Algorithm("ML-DSA-44", "Signature", "SAFE", "LOW",
-              "Already NIST FIPS 204 compliant (128-bit quantum security)", ml_dsa_patterns(44, 2)),
+              "Already NIST FIPS 204 compliant (128-bit quantum security)", ML_DSA_44_PATTERNS),
     Algorithm("ML-DSA-65", "Signature", "SAFE", "LOW",
               "Already NIST FIPS 204 compliant (192-bit quantum security)",
-              ml_dsa_patterns(65, 3, (r"mldsa65",))),
+              ML_DSA_65_PATTERNS),
     Algorithm("ML-DSA-87", "Signature", "SAFE", "LOW",
               "Already NIST FIPS 204 compliant (256-bit quantum security)",
-              ml_dsa_patterns(87, 5, (r"mldsa87",))),
+              ML_DSA_87_PATTERNS),
     Algorithm("SLH-DSA", "Signature", "SAFE", "LOW",
               "Already NIST FIPS 205 compliant (hash-based, stateless)", SLH_DSA_PATTERNS),
 ]
