@@ -27,3 +27,23 @@ def newest_per(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFr
     window = Window.partitionBy(*keys).orderBy(*order)
     return (rows.withColumn("_rank", F.rank().over(window))
             .where(F.col("_rank") <= 1).drop("_rank"))
+
+
+#: Rows of a table that is sent to every task, at most.
+BROADCAST_ROWS = 200_000
+SALTS = 32
+
+
+def join_each(rows: DataFrame, small: DataFrame, key: str, how: str = "inner", most: int | None = None) -> DataFrame:
+    """Each row with what a smaller table says about its key, however often a key occurs among the rows.
+
+    ``small`` has one row per key and is cheap to read.  It is counted first: few rows are broadcast,
+    so that the rows stay where they are.  More are copied once per salt, and the rows dealt by key
+    and salt, so that a hot key is spread over that many tasks.
+    """
+    most = BROADCAST_ROWS if most is None else most
+    if small.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(small), key, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.array(*[F.lit(n) for n in range(SALTS)])))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keyfathom.functions import grades as g
 from keyfathom.functions import paths
-from keyfathom.functions.groups import newest_per
+from keyfathom.functions.groups import join_each, newest_per
 from keyfathom.operators.lifecycle import OPEN
 
 
@@ -148,12 +148,12 @@ def evidence(findings: DataFrame, repos: DataFrame, secrets: DataFrame | None =
     Code locations keep their duplicates, secret locations do not repeat.
     """
     where = repos.select("repo_id", "url", "branch")
-    code = reportable(findings).join(where, "repo_id").select(
+    code = join_each(reportable(findings), where, "repo_id").select(
         "algorithm", paths.blob_url(F.col("url"), F.col("branch"), F.col("file_path"),
                                     F.col("line_number")).alias("location"), F.lit("code").alias("source"))
     if secrets is None:
         return code
-    secret = (reportable(secrets).join(where, "repo_id").select(
+    secret = (join_each(reportable(secrets), where, "repo_id").select(
         "algorithm", paths.blob_url(F.col("url"), F.col("branch"), F.col("file_path")).alias("location"))
         .distinct().join(code.select("algorithm", "location"), ["algorithm", "location"], "left_anti")
         .withColumn("source", F.lit("secret")))

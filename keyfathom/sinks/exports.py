@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from keyfathom.functions import grades as g
 from keyfathom.functions import paths
+from keyfathom.functions.groups import join_each
 from keyfathom.operators.bom import reportable
+from keyfathom.session import checkpoint_dir
 
+#: Repeats of a location that are written out in one go.
+LOT = 4096
 CSV_COLUMNS = ["algorithm", "type", "quantum_status", "risk_level", "nist_replacement", "repo", "file_path",
                "line_number", "source_url", "source", "migration_status", "total_usages", "affected_repos"]
 
@@ -16,8 +20,9 @@ CSV_COLUMNS = ["algorithm", "type", "quantum_status", "risk_level", "nist_replac
 def inventory_rows(findings: DataFrame, repos: DataFrame, cbom: DataFrame,
                    secrets: DataFrame | None = None) -> DataFrame:
     """One row per location in the column order of the CSV export."""
+    checkpoint_dir(findings.sparkSession)
     where = repos.select("repo_id", F.col("name").alias("repo"), "url", "branch")
-    meta = cbom.select("algorithm", "total_usages", "affected_repos")
+    meta = cbom.select("algorithm", "total_usages", "affected_repos").checkpoint()  # a row per algorithm
     nist = F.col("nist_replacement") if "nist_replacement" in findings.columns else F.lit("")
     code = reportable(findings).select(
         "repo_id", "algorithm", F.col("algo_type").alias("type"), "quantum_status", "risk_level",
@@ -31,12 +36,13 @@ def inventory_rows(findings: DataFrame, repos: DataFrame, cbom: DataFrame,
             F.lit(None).cast("int").alias("line_number"), F.lit("secret").alias("source"),
             F.lit("open").alias("migration_status")))
     url = paths.blob_url(F.col("url"), F.col("branch"), F.col("file_path"), F.col("line_number"))
-    return (code.join(where, "repo_id").join(meta, "algorithm", "left")
-            .withColumn("source_url", url).select(*CSV_COLUMNS))
+    placed = join_each(join_each(code, where, "repo_id"), meta, "algorithm", "left")
+    return placed.withColumn("source_url", url).select(*CSV_COLUMNS)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", "true").csv(path)
+    """CSV files of even size, each with a header."""
+    rows.hint("rebalance").write.mode("overwrite").option("header", "true").csv(path)
 
 
 def scan_rows(findings: DataFrame, secrets: DataFrame | None = None) -> DataFrame:
@@ -83,9 +89,11 @@ def cyclonedx_lines(cbom: DataFrame, evidence: DataFrame, application: str, seri
     An algorithm may have more locations than one task can hold, so they are
     never gathered: each location is its own line, and a sort brings the lines
     into place.  Only the first location of an algorithm, which takes no comma,
-    is told apart, by an aggregate.
+    is told apart, by an aggregate.  Locations are counted once and checkpointed;
+    what is known of an algorithm comes to them, not they to it.
     """
-    places = evidence.groupBy("algorithm", "location").agg(F.count("*").alias("copies"))
+    checkpoint_dir(cbom.sparkSession)
+    places = evidence.groupBy("algorithm", "location").agg(F.count("*").alias("copies")).checkpoint()
     first = places.groupBy("algorithm").agg(F.min("location").alias("first"))
     heads = cbom.withColumn("head", component_head(cbom)).join(first, "algorithm", "left")
     lowest = cbom.orderBy("priority", "algorithm").limit(1).select("algorithm", F.lit(True).alias("_first"))
@@ -97,8 +105,11 @@ def cyclonedx_lines(cbom: DataFrame, evidence: DataFrame, application: str, seri
     lines = opened.select(*order, F.lit(0).alias("sub"), F.lit("").alias("location"), F.lit(0).alias("copy"), open_line.alias("line"))
     where = F.to_json(F.struct("location"))
     # repeats of one location are counted, then written out again
-    placed = places.join(heads.select("algorithm", "priority", "first"), "algorithm")
-    placed = placed.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    known = heads.select("algorithm", "priority", "first").checkpoint()
+    placed = join_each(places, known, "algorithm").withColumn(
+        "_lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / LOT))))
+    placed = placed.withColumn("copy", F.explode(F.sequence(
+        (F.col("_lot") * LOT + 1).cast("int"), F.least("copies", (F.col("_lot") + 1) * LOT).cast("int"))))
     lead = F.when((F.col("location") == F.col("first")) & (F.col("copy") == 1), "").otherwise(",")
     lines = lines.unionAll(placed.select(*order, F.lit(1), "location", "copy", F.concat(lead, where)))
     lines = lines.unionAll(heads.select(*order, F.lit(2), F.lit(""), F.lit(0), F.when(has, "]}}").otherwise("}")))
