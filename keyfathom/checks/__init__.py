@@ -5,5 +5,5 @@ from __future__ import annotations
 
 def all_queries() -> tuple[dict, dict]:
     """(queries, SQL) by name."""
-    from keyfathom.checks import activity, artifacts, base, detection, inventory, streams, supply  # noqa: F401
+    from keyfathom.checks import activity, artifacts, base, detection, inventory, scans, streams, supply  # noqa: F401
     return base.QUERIES, base.ORACLES
