@@ -56,11 +56,14 @@ def call_chains(i: Inputs) -> DataFrame:
     return _reached(i).select("func_id", F.size("chain").alias("chain_length"))
 
 
-_REPO_FUNCTIONS = "SELECT func_id % 4 AS repo_id, func_id, file_path, name, concat(name, '@', start_line) AS label, start_line, end_line, is_entry FROM functions_v"
+# three repositories with the same names, each without another seventh of the functions
+_REPO_FUNCTIONS = """SELECT repo_id, func_id, file_path, name, concat(name, '@', start_line) AS label, start_line, end_line, is_entry OR func_id % 400 = repo_id AS is_entry
+FROM functions_v JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS t(repo_id)) r ON func_id % 7 <> repo_id"""
+_REPO_CALLS = "SELECT repo_id, caller_id, callee_name FROM calls_v JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS t(repo_id)) r ON caller_id % 7 <> repo_id"
 
 
 @check("repository_chains", f"""
-WITH RECURSIVE f AS ({_REPO_FUNCTIONS}), c AS (SELECT caller_id % 4 AS repo_id, caller_id, callee_name FROM calls_v),
+WITH RECURSIVE f AS ({_REPO_FUNCTIONS}), c AS ({_REPO_CALLS}),
 walk AS (
   SELECT repo_id, func_id, 0 AS depth, [label] AS chain FROM f WHERE is_entry
   UNION ALL
@@ -70,8 +73,8 @@ walk AS (
 best AS (SELECT repo_id, func_id, min(depth) AS depth, arg_min(chain, (depth, chain)) AS chain FROM walk GROUP BY repo_id, func_id)
 SELECT repo_id, func_id, depth, array_to_string(chain, ' > ') AS chain FROM best""")
 def repository_chains(i: Inputs) -> DataFrame:
-    """Four repositories with functions of the same names, and what the chains say."""
-    calls = i.sql("SELECT caller_id % 4 AS repo_id, caller_id AS caller, callee_name FROM calls_v")
+    """Three repositories with functions of the same names, and what the chains say."""
+    calls = i.sql(_REPO_CALLS).withColumnRenamed("caller_id", "caller")
     return callgraph.reach(i.sql(_REPO_FUNCTIONS), calls).select("repo_id", "func_id", "depth", F.array_join("chain", " > ").alias("chain"))
 
 

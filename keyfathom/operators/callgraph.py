@@ -260,7 +260,10 @@ def reach(functions: DataFrame, calls: DataFrame) -> DataFrame:
         "repo_id", "name", "chain", F.lit(1).alias("depth")), partitions)
     settled = frontier
     for depth in count(2):
-        unsettled = _placed(unsettled.join(frontier, ["repo_id", "name"], "left_anti"), partitions)
+        # names settled a round ago leave in place; the shorter tables are written every few rounds
+        unsettled = unsettled.join(frontier, ["repo_id", "name"], "left_anti")
+        if depth % 4 == 0:
+            unsettled = _placed(unsettled, partitions)
         frontier = _placed(next_frontier(frontier, edges, unsettled, depth), partitions)
         if frontier.isEmpty():
             break
