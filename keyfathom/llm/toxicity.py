@@ -47,10 +47,10 @@ _ONE = rf"(?:[^\W_]|[{re.escape(''.join(c for c in LEET if c != '*'))}])"
 #: Three single letters or signs or more with gaps of any length; letters with signs among or before them; a letter
 #: twice or more in a word.
 SUSPICIOUS = re.compile(  # every branch begins where a run begins, so that no run is tried from each of its places
-    rf"(?<![^\W_]){_ONE}(?:{_GAP}{_ONE}(?![^\W_])){{2,}}+"
-    rf"|(?<![^\W\d_])(?<![{_SIGNS}])[{_SIGNS}]*+[^\W\d_]++(?:[{_SIGNS}]++[^\W\d_]++)++[{_SIGNS}]*+"
-    rf"|(?<![{_SIGNS}])[{_SIGNS}]++[^\W\d_]++"
-    r"|(?<![^\W_])[^\W_]*?([^\W\d_])\1[^\W_]*+")
+    rf"(?<![^\W_])(?:{_ONE}(?:{_GAP}{_ONE}(?![^\W_])){{2,}}+"
+    rf"|(?<![{_SIGNS}])[{_SIGNS}]*+[^\W\d_]++(?:[{_SIGNS}]++[^\W\d_]++)++[{_SIGNS}]*+"
+    r"|[^\W_]*?([^\W\d_])\1[^\W_]*+)"
+    rf"|[{_SIGNS}](?<![{_SIGNS}].)[{_SIGNS}]*+[^\W\d_]++", re.S)
 _SPACED = re.compile(rf"{_ONE}(?:{_GAP}{_ONE}){{2,}}")
 _GAPS, _RUN = re.compile(_GAP), re.compile(r"(.)\1*", re.S)
 
