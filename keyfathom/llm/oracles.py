@@ -97,3 +97,39 @@ paths AS (
     UNION ALL SELECT p.word, f.form, steps + 1 FROM p JOIN formed f ON f.word = p.reached WHERE f.form IS NOT NULL)
   SELECT word, arg_max(reached, steps) AS root FROM p GROUP BY word)
 SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM formed f LEFT JOIN paths p ON f.word = p.word"""
+
+#: Smallest id reachable by links (x, y) from every row of `items(id)`.
+_ROOTS = """
+ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+walk AS (SELECT id, id AS reached FROM items UNION SELECT walk.id, ways.y FROM walk JOIN ways ON ways.x = walk.reached),
+roots AS (SELECT id, min(reached) AS root FROM walk GROUP BY id)"""
+
+NEAR_DOCUMENTS = rf"""
+WITH RECURSIVE items AS (SELECT doc_id AS id FROM documents),
+split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM split WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT x, y FROM common c JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c.n >= 80 * (p.n + q.n - c.n)),
+{_ROOTS}
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, root AS component_id FROM roots LEFT JOIN sizes ON doc_id = id"""
+
+NEAR_VECTORS = f"""
+WITH RECURSIVE items AS (SELECT vec_id AS id FROM embeddings),
+vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+units AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS size FROM vectors),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM units a JOIN units b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / a.size / b.size >= 0.95),
+counts AS (SELECT x, count(*) AS n FROM (SELECT x, y FROM links UNION ALL SELECT y, x FROM links) GROUP BY x),
+{_ROOTS}
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, root AS component_id, id = root AS kept FROM roots LEFT JOIN counts ON x = id"""

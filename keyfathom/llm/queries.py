@@ -99,6 +99,8 @@ judged AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
+    "op3_ngram_jaccard": oracles.NEAR_DOCUMENTS,
+    "op7_near_vectors": oracles.NEAR_VECTORS,
     "op11_chat_format": oracles.CONVERSATIONS,
     "op12_word_runs": oracles.RUNS,
     "op13_spellings": oracles.SPELLINGS,
