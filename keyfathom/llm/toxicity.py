@@ -28,7 +28,7 @@ ORDER = 4
 LABELLED = 20_000
 #: Words with a weight: this much more often in toxic rows than in clean ones, and in so many that at most this many words
 #: of the whole vocabulary would be there by chance.
-LEAST_ODDS, BY_CHANCE = 2.0, 1.0
+LEAST_ODDS, BY_CHANCE = 2.0, 5.0
 
 # What a symbol may stand for, with the cost of the substitution.
 LEET = {
