@@ -231,5 +231,5 @@ _NAMED = """SELECT CAST(p_partkey AS VARCHAR(20)) AS artifact_id,
   WHEN magic LIKE '7F454C46%' THEN 'native_elf' WHEN magic LIKE 'CAFEBABE%' THEN 'native_macho' WHEN magic LIKE '4D5A%' THEN 'native_pe' ELSE 'unknown' END AS artifact_type
 FROM ({_NAMED})""")
 def artifact_types(i: Inputs) -> DataFrame:
-    rows = i.sql(_NAMED).withColumn("content", F.unhex("magic"))
+    rows = i.sql(_NAMED, deal=True).withColumn("content", F.unhex("magic"))
     return archives.artifact_types(rows, archives.unpack(rows)).select("artifact_id", "artifact_type")

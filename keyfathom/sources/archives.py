@@ -30,6 +30,8 @@ from keyfathom.functions.text import decode_text
 from keyfathom.schemas import MEMBERS
 
 BATCH_BYTES = 32 << 20
+#: Rows that leave a task at once, at most: small archives share a batch.
+BATCH_ROWS = 2_000
 #: Bytes of a piece of a searched member, and how far a piece reaches back into the one before.
 PIECE_BYTES, OVERLAP = 1 << 20, 256
 #: What the standard library raises for damaged, encrypted and unknown contents.
@@ -113,11 +115,14 @@ def _layers(stream: BinaryIO) -> dict[str, int]:
     """Layer path -> position, from an image's manifest; a pass of its own over the tar.
 
     None in an archive that breaks before its manifest: what comes before the break is then read as it is.
+    Raises what opening raises where there is no tar at all.
     """
-    try:
-        images = next((json.loads(body.read()) for name, body, _ in _tar_members(stream) if name == "manifest.json"), [])
-    except BROKEN:
-        return {}
+    with tarfile.open(fileobj=stream) as archive:
+        manifests = (archive.extractfile(m) for m in archive if m.isfile() and m.name.removeprefix("./") == "manifest.json")
+        try:
+            images = next((json.loads(body.read()) for body in manifests), [])
+        except BROKEN:
+            return {}
     order = [layer for image in images for layer in image.get("Layers", [])]
     return {layer: i for i, layer in reversed(list(enumerate(order)))}
 
@@ -172,8 +177,9 @@ def unpack(artifacts: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows, held = [], 0
             for row in batch.itertuples(index=False):
-                rows, held, seen = [], 0, 0
+                seen = 0
                 key = (row.artifact_id, row.artifact_name)
                 data = None if row.content is None else bytes(row.content)
                 try:
@@ -185,15 +191,19 @@ def unpack(artifacts: DataFrame) -> DataFrame:
                         rows.append((*key, m.jar, m.layer, m.path, len(content or b""), content))
                         seen += 1
                         held += len(content or b"")
-                        if held > BATCH_BYTES:
+                        if held > BATCH_BYTES or len(rows) >= BATCH_ROWS:
                             yield _frame(rows)
                             rows, held = [], 0
                     if data is None:
                         rows.append((*key, "", None, "", 0, None))
                 except BROKEN:
                     rows.append((*key, "", None, "", len(data), None if seen else data))
-                if rows:
+                    held += 0 if seen else len(data)
+                if held > BATCH_BYTES or len(rows) >= BATCH_ROWS:
                     yield _frame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _frame(rows)
 
     return artifacts.select("artifact_id", "artifact_name", "content").mapInPandas(read, MEMBERS)
 
@@ -394,7 +404,7 @@ def artifact_types(artifacts: DataFrame, members: DataFrame) -> DataFrame:
                 .when(name.rlike(r"\.(tar\.gz|tgz)$"), "python_sdist"))
     found = artifacts.select("artifact_id", "artifact_name", type_by_name(F.col("artifact_name")).alias("by_name"),
                              type_by_magic(F.col("content")).alias("by_magic"), is_zip.alias("is_zip"),
-                             is_tar.alias("is_tar")).join(inside, "artifact_id", "left")
+                             is_tar.alias("is_tar")).join(inside.hint("merge"), "artifact_id", "left")  # a row per archive
     return found.select("artifact_id", "artifact_name", F.coalesce(
         "by_name", "by_magic", F.when(F.col("is_zip"), zip_type), F.when(F.col("is_tar"), tar_type),
         F.lit("unknown")).alias("artifact_type"))

@@ -9,6 +9,7 @@ import re
 import tarfile
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +180,36 @@ def test_unreadable_members_have_no_content(spark):
     assert got == {("locked.zip", "bin/t"): False, ("locked.zip", "bin/u"): True, ("cut.tar.gz", "usr/lib/a.so"): True,
                    ("cut.tar.gz", "usr/lib/b.so"): False, ("cut.tar.gz", ""): False, ("none.whl", ""): False}
     assert native.binary_findings(found).where(F.col("artifact_id") == "locked.zip").count() == 1
+
+
+def test_small_archives_share_a_batch(spark):
+    class Rows:
+        """Gives out the function that unpack would run in tasks."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, read, schema):
+            return read
+
+    contents = [packed({"a": b"1", "b": b"2"}), b"\x7fELF\x02", None, packed({"c": b"3"}, "w:gz"), b""] * 1000
+    frame = pd.DataFrame({"artifact_id": [str(n) for n in range(5000)], "artifact_name": "x", "content": pd.Series(contents, dtype=object)})
+    frames = list(archives.unpack(Rows())(iter([frame])))
+    assert len(frames) <= 5 and sum(map(len, frames)) == 6000
+    all_rows = pd.concat(frames)
+    assert all_rows["artifact_id"].tolist()[:8] == ["0", "0", "1", "2", "3", "4", "5", "5"]
+    assert all_rows["file_path"].tolist()[:6] == ["a", "b", "", "", "c", ""]
+
+
+def test_types_are_joined_without_a_broadcast_of_all_archives(spark, table):
+    rows = table("artifact_id string, artifact_name string, content binary", ("1", "a.bin", bytearray(packed({"x.nuspec": b""}))), (None, "b", None))
+    found = archives.artifact_types(rows, archives.unpack(rows))
+    assert sorted(r.artifact_type for r in found.collect()) == ["nuget", "unknown"]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_table_in_few_splits_is_dealt_to_all_cores(spark, tmp_path):
+    from keyfathom.checks.views import Inputs
+    spark.range(100).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = Inputs(spark, str(tmp_path)).sql("SELECT p_partkey FROM part", deal=True)
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and got.count() == 100
