@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from tests.conftest import rows
 
-from keyfathom.functions.groups import join_each
+from keyfathom.functions.groups import join_each, partitions
+from keyfathom.operators import dependencies
 from keyfathom.sinks import exports
 
 
@@ -35,3 +36,16 @@ def test_many_copies_of_one_location(spark, table):
     assert copies == list(range(1, 10_001))
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 2
+
+
+def test_findings_of_one_package_do_not_meet_in_one_task(spark, table):
+    findings = spark.range(2000).selectExpr("id AS finding_id", "'dependency' AS source_type", "false AS archived",
+                                            "if(id % 50 = 0, 'Left', 'PyJWT') AS dependency_name", "'pypi' AS ecosystem")
+    told = table("id string, ecosystem string, package string, summary string, details string, aliases array<string>, severity array<string>",
+                 *[(f"A{n}", "PyPI", "pyjwt", "jwt check", None, [], ["7.5"]) for n in range(5)],
+                 ("B", "PyPI", "left", "rsa", "", [], []), ("C", "npm", "pyjwt", "rsa", "", [], []))
+    got = dependencies.backfill_cves(findings, table("finding_id long", (1,), (1,), (50,), (None,)), told)
+    expected = [(n, f"A{k}") for n in range(2000) if n % 50 and n != 1 for k in range(5)] + [(n, "B") for n in range(0, 2000, 50) if n != 50]
+    assert rows(got, "finding_id", "cve_id") == sorted(expected, key=lambda r: tuple((True, str(v)) for v in r))
+    tasks = got.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    assert len(tasks) == partitions(spark) and max(r["count"] for r in tasks) < len(expected) / 2
