@@ -14,10 +14,12 @@ from collections.abc import Iterator
 from itertools import count
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfathom.functions import text
+from keyfathom.functions.groups import partitions as _partitions
+from keyfathom.functions.groups import spread
 from keyfathom.functions.sqltext import literal
 from keyfathom.operators.detect import unnest
 from keyfathom.session import checkpoint_dir
@@ -190,12 +192,6 @@ def calls_of(extracted: DataFrame) -> DataFrame:
     return extracted.select("repo_id", F.col("func_id").alias("caller"), F.explode("callees").alias("callee_name"))
 
 
-def _partitions(spark: SparkSession) -> int:
-    """Partitions that an exchange of this session has before any are coalesced."""
-    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
-    return int(initial or spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _placed(rows: DataFrame, partitions: int, dealt: bool = True) -> DataFrame:
     """The rows written in buckets of (repo_id, name) to the checkpoint folder: joins on these two find them in place.
 
@@ -330,10 +326,14 @@ def enclosing_functions(lines: DataFrame, functions: DataFrame) -> DataFrame:
     and only the tightest span of a block is kept, so a line meets at most one
     row per block size, however many functions or findings a file has.  Of
     equally tight spans the smallest id wins.
+
+    Functions are dealt by their place before they are cut: a task sorts the blocks
+    of its share, not those of a whole file split.
     """
     keys = ["repo_id", "file_path", "level", "block"]
     start, end = F.col("start_line").cast("long"), F.col("end_line").cast("long")
-    spans = (functions.where(start <= end)
+    spans = (spread(functions.where(start <= end).select("repo_id", "file_path", "func_id", "start_line", "end_line"),
+                    "repo_id", "file_path", "start_line")
              .select("repo_id", "file_path", "func_id", (end - start).alias("width"),
                      F.inline(_blocks_of_span(start, end)))
              .groupBy(*keys).agg(F.min(F.struct("width", "func_id")).alias("best")))

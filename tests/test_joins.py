@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 
 from keyfathom.functions.groups import join_each, partitions
-from keyfathom.operators import dependencies
+from keyfathom.operators import callgraph, dependencies
 from keyfathom.sinks import exports
 
 
@@ -49,3 +49,14 @@ def test_findings_of_one_package_do_not_meet_in_one_task(spark, table):
     assert rows(got, "finding_id", "cve_id") == sorted(expected, key=lambda r: tuple((True, str(v)) for v in r))
     tasks = got.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
     assert len(tasks) == partitions(spark) and max(r["count"] for r in tasks) < len(expected) / 2
+
+
+def test_functions_are_dealt_before_they_are_cut(spark):
+    functions = spark.range(4000, numPartitions=1).selectExpr(
+        "0 AS repo_id", "'a.py' AS file_path", "id AS func_id", "CAST(id * 10 + 1 AS INT) AS start_line", "CAST(id * 10 + 9 AS INT) AS end_line")
+    lines = spark.range(100).selectExpr("0 AS repo_id", "'a.py' AS file_path", "CAST(id AS INT) AS line_number")
+    found = callgraph.enclosing_functions(lines, functions)
+    assert rows(found, "line_number", "func_id") == sorted(((n, n // 10) for n in range(100) if n % 10), key=lambda r: tuple((True, str(v)) for v in r))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    cut = plan[plan.index("Generate inline(concat("):]
+    assert "RepartitionByExpression" in cut[:cut.index("Range")]
