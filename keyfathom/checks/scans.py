@@ -20,7 +20,7 @@ def _files(i: Inputs, *parts: str) -> DataFrame:
     """Source files and further ones, as (repo_id, file_path, content)."""
     rows = i.files().select("repo_id", "file_path", "content")
     for part in parts:
-        rows = rows.unionByName(i.sql(part).select("repo_id", "file_path", "content"))
+        rows = rows.unionByName(i.sql(part, deal=True).select("repo_id", "file_path", "content"))
     return rows
 
 
@@ -81,7 +81,7 @@ _KEYS = """SELECT p_partkey % 10 AS repo_id, concat('keys/id', p_partkey) AS fil
 
 
 def _scan(i: Inputs, second: bool) -> tuple[scans.RepositoryScan, DataFrame]:
-    packages = manifests.parse(i.sql(_MANIFESTS))
+    packages = manifests.parse(i.sql(_MANIFESTS, deal=True))
     keys = i.sql(_KEYS)
     if second:
         packages = packages.where("repo_id % 2 = 0 AND ecosystem <> 'pypi'")
