@@ -11,14 +11,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfathom.session import checkpoint_dir
+from keyfathom.session import checkpoint_dir, small_batches
 
 
 _SHIPPED: set[str] = set()
 _KEPT: dict[tuple, object] = {}
-#: Bytes of rows that a Python worker gets at once, where the session has Spark's default of 64 MB.
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def per_worker(key: tuple, make: Callable[[], object]) -> object:
@@ -34,8 +31,7 @@ def ship(spark: SparkSession) -> None:
 
     Also makes the session's batches for Python workers small, unless it has its own size.
     """
-    if spark.conf.get(_BATCH).strip("bB") == str(64 << 20):
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    small_batches(spark)
     if spark.sparkContext.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]

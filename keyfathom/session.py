@@ -57,6 +57,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of rows that a Python worker gets at once, where the session has Spark's default of 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Makes the session's batches for Python workers small, unless it has its own size."""
+    if spark.conf.get(_BATCH).strip("bB") == str(64 << 20):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def small_table(spark: SparkSession, rows: Iterable[Sequence[object]], columns: Sequence[str]) -> DataFrame:
     """A fixed dimension as an inline table, which Catalyst folds and broadcasts.
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from keyfathom.dims import grades
 from keyfathom.functions.text import decode_text
 from keyfathom.schemas import MEMBERS
+from keyfathom.session import small_batches
 
 BATCH_BYTES = 32 << 20
 #: Rows that leave a task at once, at most: small archives share a batch.
@@ -316,13 +317,14 @@ def artifact_pieces(artifacts: DataFrame, piece_bytes: int = PIECE_BYTES) -> Dat
     ``artifacts(artifact_id, artifact_name, content)``.  Kinds are manifest (one piece), class, native and
     macho.  The type of an artifact decides: libraries, programs, RPM packages and files of unknown
     type are searched as they are, all others are opened; a top-level dex file counts as native in an
-    Android package only.  A status is complete, partial (something could not be read; `reason` is the
+    Android package only.  A worker holds a small batch of artifacts (`small_batches`) and one artifact's contents.  A status is complete, partial (something could not be read; `reason` is the
     first such thing) or failed (nothing could, or the content is null).
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for n in range(batch.num_rows):  # one at a time: contents are large
+                row = {c: batch.column(c)[n].as_py() for c in batch.schema.names}
                 data, kind = row["content"], row["known"]
                 if data is None:
                     found = iter([{"kind": "status", "status": "failed", "reason": "no content", "n_members": 0, "n_unread": 0}])
@@ -341,6 +343,7 @@ def artifact_pieces(artifacts: DataFrame, piece_bytes: int = PIECE_BYTES) -> Dat
                         rows, held = [], 0
                 yield _batch(rows)
 
+    small_batches(artifacts.sparkSession)
     known = artifacts.select("artifact_id", "artifact_name", "content", F.coalesce(
         type_by_name(F.col("artifact_name")), type_by_magic(F.col("content"))).alias("known"))
     return known.mapInArrow(read, ", ".join(f"{c} {t}" for c, t in _PIECE_COLUMNS.items()))

@@ -213,3 +213,18 @@ def test_a_table_in_few_splits_is_dealt_to_all_cores(spark, tmp_path):
     spark.range(100).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     got = Inputs(spark, str(tmp_path)).sql("SELECT p_partkey FROM part", deal=True)
     assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and got.count() == 100
+
+
+def test_workers_get_small_batches_of_artifacts(spark, table):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rows = table("artifact_id string, artifact_name string, content binary", ("1", "a.so", bytearray(ELF + SYMBOL)))
+    try:
+        spark.conf.unset(name)
+        scan_artifact_files(rows)
+        assert int(spark.conf.get(name)) == 4 << 20
+        spark.conf.set(name, "1048576")
+        scan_artifact_files(rows)
+        assert spark.conf.get(name) == "1048576"
+    finally:
+        spark.conf.set(name, before)
