@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,21 @@ _KEPT: dict[tuple, object] = {}
 
 
 def per_worker(key: tuple, make: Callable[[], object]) -> object:
-    """What a worker process keeps from task to task: one thing, which goes when another operator keeps its own."""
+    """What a worker process keeps from task to task: one thing, which goes when another operator comes (release)."""
     if key not in _KEPT:
-        _KEPT.clear()
+        release()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def release() -> None:
+    """Lets go of what an earlier operator kept in this worker; for tasks that keep nothing themselves."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, so that tasks can import it.
 

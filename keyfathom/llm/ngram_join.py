@@ -11,7 +11,8 @@ compared with its leader, the set with the fewest rarer shingles, and in some li
 neighbours.  A second round compares all remaining pairs of a list that the first has not joined into
 one component; so no link between components can be missed, and a large group of near copies costs
 about as many pairs as it has members.  Pairs whose parity maps lie too far apart are not similar and
-go without a count.
+go without a count: first maps of one size, which long sets fill, then maps that grow with the set, an
+eighth of a byte to a quarter for each shingle where the shingles themselves have eight.
 """
 
 from __future__ import annotations
@@ -24,15 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfathom.llm.common import components, stage
+from keyfathom.llm.common import components, release, stage
 
 #: Buckets of the sketch; their number does not depend on the data.
 BUCKETS = 1 << 17
 FRAGMENTS = 4
 #: Bits of the filter that keeps sets without partners from being shuffled.
 FILTER_BITS = 1 << 22
-#: Bits of a set's parity map: two maps differ in no more bits than the sets in elements.
+#: Bits of a set's small parity map: two maps differ in no more bits than the sets in elements.
 PARITY_BITS = 512
+#: Bits of the largest map of a set.
+MOST_BITS = 1 << 24
 #: Longer lists are passed on without a look at their pairs.
 LOOKED_AT = 32
 #: One list in so many also compares each member with the one before it.
@@ -70,6 +73,7 @@ def global_order(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     Counts cover every document.  At most BUCKETS numbers come to the driver.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(BUCKETS, "int64")
         for batch in batches:
             for text in batch.column(0):
@@ -104,15 +108,29 @@ def _parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(cells.astype("u1")).view("<i8")
 
 
+def set_map(shingles: np.ndarray) -> bytes:
+    """A parity map with as many cells as shingles or more: a power of two, so that maps of two sizes can be compared."""
+    size = min(MOST_BITS, max(PARITY_BITS, 1 << max(0, len(shingles) - 1).bit_length()))
+    cells = np.bincount((shingles >> np.uint64(40)).astype("int64") & size - 1, minlength=size) & 1
+    return np.packbits(cells.astype("u1")).tobytes()
+
+
+def map_distance(left: bytes, right: bytes) -> int:
+    """Bits in which two maps differ, the larger folded to the size of the smaller: at most the elements they differ in."""
+    a, b = sorted((np.frombuffer(left, "u8"), np.frombuffer(right, "u8")), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def set_prefixes(texts: DataFrame, place: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, sid, n, parity, prefix): each set's id, size, parity map and shingles a partner must share one of.
+    """(doc_id, sid, n, parity, map, prefix): each set's id, size, parity maps and shingles a partner must share one of.
 
     A set met before in the same task has a null prefix: copies are thinned before any shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         met: set[int] = set()
         for batch in batches:
-            sids, sizes, parities, prefixes = [], [], [], []
+            sids, sizes, parities, maps, prefixes = [], [], [], [], []
             for doc, text in zip(*batch.columns, strict=True):
                 shingles = shingle_set(text.as_py(), words)
                 n, sid = len(shingles), _set_id(shingles)
@@ -120,19 +138,22 @@ def set_prefixes(texts: DataFrame, place: np.ndarray, words: int, percent: int)
                 sizes.append(n)
                 if sid in met or not n or not doc.is_valid:
                     parities.append(None)
+                    maps.append(None)
                     prefixes.append(None)
                     continue
                 if len(met) > 1_000_000:
                     met.clear()
                 met.add(sid)
                 parities.append(_parity(shingles))
+                maps.append(set_map(shingles))
                 prefixes.append(_ordered(shingles, place)[:n - (percent * n + 99) // 100 + 1].view("i8"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()),
-                 pa.array(parities, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "sid", "n", "parity", "prefix"])
+                 pa.array(parities, pa.list_(pa.int64())), pa.array(maps, pa.binary()),
+                 pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc_id", "sid", "n", "parity", "map", "prefix"])
 
-    return texts.mapInArrow(run, "doc_id long, sid long, n int, parity array<long>, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, sid long, n int, parity array<long>, map binary, prefix array<long>")
 
 
 SHARED = ("shingle long, pos int, n int, sid long, lead_pos int, lead_n int, lead_sid long, "
@@ -165,6 +186,7 @@ def shared_lists(sets: DataFrame, percent: int) -> DataFrame:
     names = SHARED.replace(",", "").split()[::2]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         def emit(rows: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array(c[keep], pa.int64() if i in (0, 3, 6, 9) else pa.int32()) for i, c in enumerate(rows)],
@@ -229,6 +251,7 @@ def segments(texts: DataFrame, wanted: DataFrame, fragment: np.ndarray, words: i
     bits = _filter_words(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             out: list[tuple] = []
             for text, mark in zip(*batch.columns, strict=True):
@@ -252,6 +275,7 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that are similar: partial overlaps per fragment, summed per pair."""
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             counts = [len(np.intersect1d(np.frombuffer(x.as_py(), "u8"), np.frombuffer(y.as_py(), "u8"), True))
                       for x, y in zip(batch.column(5), batch.column(6), strict=True)]
@@ -279,6 +303,22 @@ def _near_parity(n: str, m: str, left: str, right: str, percent: int):
     return apart.cast("long") * (100 + percent) <= (F.col(n) + F.col(m)).cast("long") * (100 - percent)
 
 
+def near_maps(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) without those whose maps, from known (sid, map), lie too far apart to be similar."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            sizes = batch.column(2).to_numpy().astype("int64") + batch.column(3).to_numpy()
+            apart = np.array([map_distance(x.as_py(), y.as_py()) for x, y in zip(*batch.columns[4:], strict=True)], "int64")
+            kept = pa.array(apart * (100 + percent) <= sizes * (100 - percent))
+            yield batch.select(["a", "b", "na", "nb"]).filter(kept)
+
+    left, right = (known.select(F.col("sid").alias(end), F.col("map").alias(f"map_{end}")).hint("merge") for end in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "map_a", "map_b").mapInArrow(
+        near, "a long, b long, na int, nb int")
+
+
 def compared(pairs: DataFrame, sets: DataFrame, texts: DataFrame, fragment: np.ndarray, words: int, percent: int
              ) -> DataFrame:
     """The similar ones of the pairs; only sets that stand in a pair are cut into segments."""
@@ -315,12 +355,15 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
 
     listed = lists.select("sid").distinct().hint("merge")
     known = stage(sets.where("prefix IS NOT NULL").join(listed, "sid", "left_semi").groupBy("sid").agg(
-        F.first("n").alias("n"), F.first("parity").alias("parity")), "parities")
+        F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("map").alias("map")), "parities")
     first = partners(lists, "lead").unionByName(
         partners(lists.where(F.pmod("shingle", F.lit(NEIGHBOURS)) == 0), "next")).distinct()
-    left, right = known.toDF("a", "na", "pa").hint("merge"), known.toDF("b", "nb", "pb").hint("merge")
+    small = known.select("sid", "n", "parity")
+    left, right = small.toDF("a", "na", "pa").hint("merge"), small.toDF("b", "nb", "pb").hint("merge")
     first = stage(first.join(left, "a").join(right, "b").where(
-        _near_parity("na", "nb", "pa", "pb", percent)).select("a", "b", "na", "nb"), "first-pairs")
+        _near_parity("na", "nb", "pa", "pb", percent)).select("a", "b", "na", "nb"), "first-candidates")
+    tried = first.select("a", "b").hint("merge")
+    first = stage(near_maps(first, known, percent), "first-pairs")
     links = stage(compared(first, sets, texts, fragment, words, percent), "first-links")
     roots = components(links, "first")
 
@@ -338,8 +381,8 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
         F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"),
         F.when(F.col("x.sid") < F.col("y.sid"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"),
         F.when(F.col("x.sid") < F.col("y.sid"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))
-    tried = first.select("a", "b").hint("merge")
-    second = stage(second.distinct().join(tried, ["a", "b"], "left_anti"), "second-pairs")
+    second = second.distinct().join(tried, ["a", "b"], "left_anti")
+    second = stage(near_maps(second, known, percent), "second-pairs")
     links = links.unionByName(compared(second, sets, texts, fragment, words, percent))
     roots = components(links, "all")
 
