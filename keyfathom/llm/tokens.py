@@ -28,6 +28,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 # Fixed value: the split of these tokenizers, for texts of Latin characters without _OTHER.
 _PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\s0-9A-Za-zªµºÀ-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
 _OTHER = re.compile("[^\x00-\u024f]|[\x1c-\x1f²³¹¼½¾]")
+#: The same for tokenizers that drop white space and take each digit alone.
+_SPACELESS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9]|[^\s0-9A-Za-zªµºÀ-ÖØ-öø-ɏ]+")
 
 _SHOWN = [c for c in range(256) if chr(c).isprintable() and chr(c) != " "]
 #: Byte-level models write a byte that cannot be shown as a character from 256 on, in the order of bytes.
@@ -36,6 +38,8 @@ _BYTES = {c: 256 + k for k, c in enumerate(c for c in range(256) if c not in _SH
 
 def _as_bytes(piece: str) -> str:
     """The piece as byte-level models have it: one character a byte."""
+    if piece.isascii() and piece.isprintable():  # of these, only the space is written otherwise
+        return piece.replace(" ", "\u0120")
     return piece.encode().decode("latin-1").translate(_BYTES)
 
 
@@ -55,7 +59,7 @@ class WordCache(dict):
     so that frequent words stay and memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[Any], list[int]], limit: int = CACHED_WORDS):
+    def __init__(self, encode: Callable[[Any], bytes | list[int]], limit: int = CACHED_WORDS):
         super().__init__()
         self.encode, self.limit, self.old = encode, limit, {}
 
@@ -64,8 +68,9 @@ class WordCache(dict):
             self.old = dict(self)
             self.clear()
         if (found := self.old.get(word)) is None:
-            ids = self.encode(word)
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            found = self.encode(word)
+            if not isinstance(found, bytes):
+                found = _packed(found)
         self[word] = found
         return found
 
@@ -85,9 +90,9 @@ def _library(path: str, plain_specials: bool = True):
 class _Specials:
     """Ids of the texts that hold a special token, as the library gives them by default."""
 
-    def __init__(self, path: str):
-        self.tokenizer = _library(path, False)
-        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+    def __init__(self, path: str, tokenizer):
+        self.path, self.tokenizer = path, None
+        added = [t for t in tokenizer.get_added_tokens_decoder().values() if t.special]
         # Some are looked for after the normaliser, which may fold case: too many texts do no harm.
         self.exact = [t.content for t in added if not t.normalized]
         self.folded = [t.content.lower() for t in added if t.normalized]
@@ -95,39 +100,74 @@ class _Specials:
     def ids(self, text: str) -> bytes | None:
         if not any(t in text for t in self.exact) and not (self.folded and any(map(text.lower().__contains__, self.folded))):
             return None
+        if self.tokenizer is None:  # a second tokenizer, which few tables need
+            self.tokenizer = _library(self.path, False)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def _steps(tokenizer) -> Callable[[str], list[int]]:
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _steps(tokenizer) -> Callable[[str], bytes]:
     """The library's own normaliser, splitter and model one after the other, without its offsets.
 
-    Pieces of words repeat more often than words, so the model's part is kept.
+    Words of Latin letters are lower-cased and split here where that gives the same pieces.  Pieces of words repeat
+    more often than words, so the model's part is kept.
     """
     if any(not t.special for t in tokenizer.get_added_tokens_decoder().values()):
-        return lambda word: tokenizer.encode(word, add_special_tokens=False).ids
+        return lambda word: _packed(tokenizer.encode(word, add_special_tokens=False).ids)
     normalizer, splitter, model = tokenizer.normalizer, tokenizer.pre_tokenizer, tokenizer.model
-    known: dict[str, list[int]] = {}
+    known: dict[str | tuple, bytes] = {}
 
-    def encode(word: str) -> list[int]:
-        ids: list[int] = []
-        for piece, _ in splitter.pre_tokenize_str(normalizer.normalize_str(word) if normalizer else word):
-            if (found := known.get(piece)) is None:
+    def split(word: str) -> list[str]:
+        return [p for p, _ in splitter.pre_tokenize_str(normalizer.normalize_str(word) if normalizer else word)]
+
+    text = "a 'll bc's12 D'S_#e\nf  g \n\n h\t " + "".join(f"a{c}1{c}, {c}{c} .{c} {c}\n" for c in _signs() if _plain(c))
+    alike = split(text) == list(map(_as_bytes, _SPACELESS.findall(text.lower())))
+
+    def model_ids(pieces: list[str], plain: bool) -> Iterator[bytes]:
+        for piece in pieces:
+            key = piece if plain else (piece,)
+            if (found := known.get(key)) is None:
                 if len(known) > CACHED_WORDS // 2:
                     known.clear()
-                found = known[piece] = [t.id for t in model.tokenize(piece)]
-            ids += found
-        return ids
+                found = known[key] = _packed([t.id for t in model.tokenize(_as_bytes(piece) if plain else piece)])
+            yield found
+
+    def encode(word: str) -> bytes:
+        low = _plain(word) if alike else None
+        return b"".join(model_ids(split(word), False) if low is None else model_ids(_SPACELESS.findall(low), True))
 
     return encode
 
 
+def _signs() -> list[str]:
+    """The characters that are split here."""
+    return [c for c in map(chr, range(0x250)) if not _OTHER.match(c)]
+
+
+def _plain(word: str) -> str | None:
+    """The word in lower case if it is of Latin characters without _OTHER, before and after."""
+    low = word.lower()
+    return None if _other(word) or low is not word and _other(low) else low
+
+
+def _other(text: str) -> bool:
+    """Whether the text has characters of _OTHER."""
+    if text.isascii():
+        return any(map(text.__contains__, "\x1c\x1d\x1e\x1f"))
+    return _OTHER.search(text) is not None
+
+
 class SpacelessWords:
     """Tokenizers that drop white space: words are what stands between it."""
 
     def __init__(self, path: str):
-        encode = _steps(_library(path))
+        tokenizer = _library(path)
+        encode = _steps(tokenizer)
         self.cache = WordCache(lambda word: encode(word.decode()))
-        self.specials = _Specials(path)
+        self.specials = _Specials(path, tokenizer)
 
     def encode(self, text: str) -> bytes:
         if (found := self.specials.ids(text)) is not None:
@@ -152,19 +192,18 @@ class SpacedWords:
 
     def _splits_alike(self) -> bool:
         """Whether the library makes the same pieces, tried with each Latin character in several places."""
-        signs = [c for c in map(chr, range(0x250)) if not _OTHER.match(c)]
-        text = "a 'll bc's12 d_#e\nf  g \n\n h\t " + "".join(f"a{c}1{c}, {c}{c} .{c} {c}\n" for c in signs)
+        text = "a 'll bc's12 d_#e\nf  g \n\n h\t " + "".join(f"a{c}1{c}, {c}{c} .{c} {c}\n" for c in _signs())
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)] == list(
             map(_as_bytes, _PIECES.findall(text)))
 
-    def _piece(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(_as_bytes(piece))]
+    def _piece(self, piece: str) -> bytes:
+        return _packed([t.id for t in self.model.tokenize(_as_bytes(piece))])
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self._part, stretches(text)))
 
     def _part(self, text: str) -> bytes:
-        if not self.plain or _OTHER.search(text):
+        if not self.plain or _other(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.cache.ids(_PIECES.findall(text))
 
@@ -174,7 +213,7 @@ class MarkedWords(SpacedWords):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.specials = _Specials(path)
+        self.specials = _Specials(path, self.tokenizer)
 
     def encode(self, text: str) -> bytes:
         found = self.specials.ids(text)

@@ -31,3 +31,33 @@ def test_maps_tell_long_sets_apart(spark, table):
         for b in sets:
             apart = len(np.setxor1d(sets[a], sets[b]))
             assert ngram_join.map_distance(*(ngram_join.set_map(np.unique(sets[i])) for i in (a, b))) <= apart
+
+
+def test_latin_words_go_without_the_library_splitter(monkeypatch):
+    """The ids are the library's; only words of other characters are split by it."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, split = tokens._library(path, False), []
+
+    class Watched:
+        def __init__(self, made):
+            self.normalizer, self.model, self.inner = made.normalizer, made.model, made.pre_tokenizer
+            self.get_added_tokens_decoder, self.pre_tokenizer = made.get_added_tokens_decoder, self
+
+        def pre_tokenize_str(self, text):
+            split.append(text)
+            return self.inner.pre_tokenize_str(text)
+
+    made = tokens._library
+    monkeypatch.setattr(tokens, "_library", lambda *of: Watched(made(*of)) if len(of) == 1 else made(*of))
+    encoder = tokens.SpacelessWords(path)
+    split.clear()
+    latin = "The quick-brown F0x, I'LL don'T na\u00efve \u00c9T\u00c9 x\u00a0y 12a3 #$% \u01c5"
+    rest = ["\u0130stanbul", "\u65e5\u672c", "e\u0301a", "a\u00b2", "\u212a\u023a"]
+    rng = random.Random(4)
+    signs = [chr(c) for c in range(0x260)] + list("  \n'sdlltrevem1 2 ") * 9 + rest
+    texts = [latin, " ".join(rest), *("".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(2000))]
+    assert encoder.encode(latin) and not split
+    for text in texts:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.array(ids, "<u4").tobytes()
+    assert split
