@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyfathom.llm.common import stage
+from keyfathom.llm.common import release, stage
 from keyfathom.llm.tokens import MarkedWords, shared
 
 #: Ids in a block, apart from the last document's, which is never cut.
@@ -74,14 +74,22 @@ def document_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
         run, "doc_id long, ids binary").withColumn("width", F.lit(4 if wide else 2))
 
 
+def batch_counts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """How often each id occurs in the rows (ids, width), for each width: one count for all documents."""
+    widths = batch.column(1).to_numpy()
+    for width in np.unique(widths).tolist():
+        raw = b"".join(batch.column(0).filter(pa.array(widths == width)).to_pylist())
+        yield np.bincount(np.frombuffer(raw, f"<u{width}"))
+
+
 def rank_ids(ids: DataFrame) -> np.ndarray:
     """All ids that occur, the most frequent first, ties by id: at most one entry per id of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(0, "int64")
         for batch in batches:
-            for raw, width in zip(batch.column(0), batch.column(1), strict=True):
-                found = np.bincount(np.frombuffer(raw.as_py(), f"<u{width.as_py()}"))
+            for found in batch_counts(batch):
                 if len(found) > len(total):
                     total, found = found.astype("int64"), total
                 total[:len(found)] += found

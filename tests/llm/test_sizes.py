@@ -61,3 +61,11 @@ def test_latin_words_go_without_the_library_splitter(monkeypatch):
         ids = library.encode(text, add_special_tokens=False).ids
         assert encoder.encode(text) == np.array(ids, "<u4").tobytes()
     assert split
+
+
+def test_ids_are_counted_once_a_batch(monkeypatch):
+    calls, count = [], np.bincount
+    monkeypatch.setattr(token_files.np, "bincount", lambda x: calls.append(len(x)) or count(x))
+    raw = [np.array(ids, "<u2").tobytes() for ids in ([1, 2, 2], [], [7], [2])]
+    batch = pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array([2] * 4, pa.int32())], names=["ids", "width"])
+    assert [found.tolist() for found in token_files.batch_counts(batch)] == [[0, 1, 3, 0, 0, 0, 0, 1]] and calls == [5]
