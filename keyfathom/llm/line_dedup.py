@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfathom.llm.common import stage
+from keyfathom.llm.common import release, stage
 
 BLANK = " \t\n\r\x0b\x0c"
 LINE = "h1 long, h2 long, doc_id long, text_hash long, n_lines int, places binary"
@@ -33,6 +33,7 @@ def line_keys(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFr
     """One row per document and different key: its 128-bit hash and the places of its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             hashes, rows = bytearray(), []
             for doc, text_hash, text in zip(*batch.columns, strict=True):
@@ -62,6 +63,7 @@ def repeats(lines: DataFrame) -> DataFrame:
     lines = stage(lines, "lines")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         part = TaskContext.get().partitionId()
         held = None  # (h1, h2) of the run the last batch ended in, and its first document
         first, leading = 0, True
@@ -108,6 +110,7 @@ def keep_bitmaps(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_
     ids and null texts.  Rows of one doc_id are one document; text_hash tells unequal ones apart.
     """
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             dropped, maps = [], []
             for n, places in zip(batch.column(2), batch.column(3), strict=True):
@@ -157,6 +160,7 @@ def without_repeats(docs: DataFrame, least: int = 10, id_col: str = "doc_id", te
 def line_digests(docs: DataFrame, least: int = 10) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             rows = []
             for text, keep in zip(batch.column(1), batch.column(2), strict=True):

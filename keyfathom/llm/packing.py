@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfathom.llm.common import stage
+from keyfathom.llm.common import release, stage
 from keyfathom.llm.tokens import SpacelessWords, shared
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -89,6 +89,7 @@ def pack(pieces: DataFrame, length: int, group_size: int = 4096, seed: int = 11)
     columns = [*pieces.columns, "sequence_id", "offset"]
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
+        release()
         frame = frame.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
         where = np.array(first_fit(frame["length"].tolist(), length), "int64").reshape(-1, 2)
         return frame.assign(sequence_id=frame["packing_group"] * (1 << 32) + where[:, 0], offset=where[:, 1])[columns]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyfathom.llm.common import stage
+from keyfathom.llm.common import release, stage
 
 #: Share of a group that the estimate is made of.
 SHARE = 0.75
@@ -73,6 +73,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
     """(doc_id, lang, source, counts): texts are read once and leave as numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         names = COUNTS.replace(",", "").split()[::2]
         for batch in batches:
             rows = [text_counts(text.as_py() or b"") for text in batch.column(3)]

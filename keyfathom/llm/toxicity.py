@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfathom.llm.common import per_worker, stage
+from keyfathom.llm.common import per_worker, release, stage
 
 #: Letters of the model: word border, a to z, and one for all other characters.
 SIZE = 28
@@ -79,6 +79,7 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """How often each run of ORDER letters occurs in all texts: SIZE ** ORDER numbers, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(SIZE ** ORDER, "int64")
         for batch in batches:
             for text in batch.column(0):
@@ -227,6 +228,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, flo
     costs = letter_model(letter_counts(docs))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         decoder = Decoder(costs)
         for batch in batches:
             out = []
@@ -259,6 +261,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, flo
     weights = {r.word: r.odds for r in rows}
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         decoder = Decoder(costs)
         for batch in batches:
             out = []

@@ -69,3 +69,29 @@ def test_ids_are_counted_once_a_batch(monkeypatch):
     raw = [np.array(ids, "<u2").tobytes() for ids in ([1, 2, 2], [], [7], [2])]
     batch = pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array([2] * 4, pa.int32())], names=["ids", "width"])
     assert [found.tolist() for found in token_files.batch_counts(batch)] == [[0, 1, 3, 0, 0, 0, 0, 1]] and calls == [5]
+
+
+def test_the_next_operator_releases_what_a_worker_kept(spark, table):
+    """Packing leaves its words in a worker; the letter counts that come next, in the same one, do not keep them."""
+    from keyfathom.llm import toxicity
+
+    def kept(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._KEPT)], pa.int32())], names=["n"])
+
+    def held() -> int:
+        return sum(r.n for r in docs.select("doc_id").mapInArrow(kept, "n int").collect())
+
+    ship(spark)
+    docs = table("doc_id long, text string", (1, "one two"), (2, "three")).coalesce(1)
+    common.stage(docs.mapInArrow(_keeps, "n int"), "keeps")
+    assert held() == 1
+    toxicity.letter_counts(docs)
+    assert held() == 0
+
+
+def _keeps(batches):
+    from keyfathom.llm.common import per_worker
+    for batch in batches:
+        per_worker(("words",), dict)
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], names=["n"])
