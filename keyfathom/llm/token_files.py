@@ -30,25 +30,31 @@ LENGTHS = (np.arange(256, dtype="u1")[:, None] >> np.array([0, 2, 4, 6], "u1") &
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit numbers."""
     ranks = ranks.astype("<u4")
-    more = (ranks > 0xFF).astype("u1") + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    kept = np.arange(4, dtype="u1") <= more[:, None]
-    data = ranks.view("u1").reshape(-1, 4)[kept].tobytes()
+    longer_than = [np.flatnonzero(ranks >= 1 << 8 * k) for k in (1, 2, 3)]
+    more = np.zeros(len(ranks), "u1")
+    for longer in longer_than:
+        more[longer] += 1
+    ends = np.cumsum(more + 1, dtype="int64")
+    starts = ends - more - 1
+    data = np.zeros(int(ends[-1]) if len(ends) else 0, "u1")
+    data[starts] = ranks
+    for k, longer in enumerate(longer_than, 1):
+        data[starts[longer] + k] = ranks[longer] >> np.uint32(8 * k)
     quads = np.zeros((len(ranks) + 3) // 4 * 4, "u1")
     quads[:len(ranks)] = more
     quads = quads.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    return control.astype("u1").tobytes(), data
+    return control.astype("u1").tobytes(), data.tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
-    """The numbers again: lengths by table, then four gathers."""
-    sizes = LENGTHS[np.frombuffer(control, "u1")].reshape(-1)[:count].astype("int64")
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    padded = np.frombuffer(data + b"\0\0\0", "u1").astype("u4")
-    out = np.zeros(count, "u4")
-    for k in range(4):
-        out |= np.where(sizes > k, padded[starts + k], 0).astype("u4") << np.uint32(8 * k)
+    """The numbers again: lengths by table, then a gather for each byte of the longest."""
+    sizes = LENGTHS[np.frombuffer(control, "u1")].reshape(-1)[:count]
+    starts = np.cumsum(sizes, dtype="int64") - sizes
+    padded = np.frombuffer(data + b"\0\0\0", "u1")
+    out = padded[starts].astype("u4")
+    for k in range(1, int(sizes.max()) if count else 1):
+        out |= (padded[starts + k] * (sizes > k)).astype("u4") << np.uint32(8 * k)
     return out
 
 
@@ -65,8 +71,8 @@ def document_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = []
-            for text in batch.column(1):
-                ids = encoder.encode(text.as_py() or "") + end
+            for text in batch.column(1).to_pylist():
+                ids = encoder.encode(text or "") + end
                 out.append(ids if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 

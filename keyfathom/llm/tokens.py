@@ -9,6 +9,7 @@ the encoder takes these for plain text.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import struct
@@ -25,8 +26,12 @@ CACHED_WORDS = 400_000
 STRETCH = 1 << 19
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-# Fixed value: the split of these tokenizers, for texts of Latin characters without _OTHER.
-_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\s0-9A-Za-zªµºÀ-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
+# The split of these tokenizers, for texts of Latin characters.  White space and numbers are written out:
+# to the tokenizers \x1c to \x1f are signs and ²³¹¼½¾ are numbers.
+_LETTERS, _NUMBERS, _BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_BLANKS}{_NUMBERS}{_LETTERS}]+"
+                     rf"|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+")
+_BEYOND = re.compile("[^\x00-\u024f]")
 _OTHER = re.compile("[^\x00-\u024f]|[\x1c-\x1f²³¹¼½¾]")
 #: The same for tokenizers that drop white space and take each digit alone.
 _SPACELESS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9]|[^\s0-9A-Za-zªµºÀ-ÖØ-öø-ɏ]+")
@@ -34,13 +39,12 @@ _SPACELESS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[
 _SHOWN = [c for c in range(256) if chr(c).isprintable() and chr(c) != " "]
 #: Byte-level models write a byte that cannot be shown as a character from 256 on, in the order of bytes.
 _BYTES = {c: 256 + k for k, c in enumerate(c for c in range(256) if c not in _SHOWN)}
+_ALPHABET = "".join(chr(_BYTES.get(c, c)) for c in range(256))
 
 
 def _as_bytes(piece: str) -> str:
     """The piece as byte-level models have it: one character a byte."""
-    if piece.isascii() and piece.isprintable():  # of these, only the space is written otherwise
-        return piece.replace(" ", "\u0120")
-    return piece.encode().decode("latin-1").translate(_BYTES)
+    return codecs.charmap_decode(piece.encode(), "strict", _ALPHABET)[0]
 
 
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
@@ -105,8 +109,12 @@ class _Specials:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+#: By the number of ids, for the numbers that words have.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _steps(tokenizer) -> Callable[[str], bytes]:
@@ -143,7 +151,7 @@ def _steps(tokenizer) -> Callable[[str], bytes]:
 
 
 def _signs() -> list[str]:
-    """The characters that are split here."""
+    """The characters that _SPACELESS splits."""
     return [c for c in map(chr, range(0x250)) if not _OTHER.match(c)]
 
 
@@ -160,6 +168,15 @@ def _other(text: str) -> bool:
     return _OTHER.search(text) is not None
 
 
+def _beyond(text: str) -> bool:
+    """Whether the text has characters that are not Latin; most texts are told by how Python holds them."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _BEYOND.search(text) is not None
+    return False
+
+
 class SpacelessWords:
     """Tokenizers that drop white space: words are what stands between it."""
 
@@ -192,7 +209,8 @@ class SpacedWords:
 
     def _splits_alike(self) -> bool:
         """Whether the library makes the same pieces, tried with each Latin character in several places."""
-        text = "a 'll bc's12 d_#e\nf  g \n\n h\t " + "".join(f"a{c}1{c}, {c}{c} .{c} {c}\n" for c in _signs())
+        text = "a 'll bc's12 d_#e\nf  g \n\n h\t " + "".join(
+            f"a{c}1{c}, {c}{c} .{c} {c}\n" for c in map(chr, range(0x250)))
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)] == list(
             map(_as_bytes, _PIECES.findall(text)))
 
@@ -203,7 +221,7 @@ class SpacedWords:
         return b"".join(map(self._part, stretches(text)))
 
     def _part(self, text: str) -> bytes:
-        if not self.plain or _other(text):
+        if not self.plain or _beyond(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.cache.ids(_PIECES.findall(text))
 

@@ -64,6 +64,32 @@ def test_latin_words_go_without_the_library_splitter(monkeypatch):
     assert split
 
 
+def test_byte_level_latin_texts_go_without_the_library():
+    """Nor are the characters of a text looked through that Python holds in a byte each; the ids are the library's."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = tokens._library(path, False), tokens.MarkedWords(path)
+    rng = random.Random(6)
+    signs = [chr(c) for c in range(0x250)] + list("   \n\n\t'sdlltrevem1 2\x1c\x1f\x85\xa0\u00b2\u00b3\u00b9\u00bc\u00be") * 9
+    texts = ["na\u00efve 1\u00b2 x\u00b33 \u00bd a\x1cb \x1e\x1f c\x85\xa0d", "\u00b2" * 99, "\x1d \x1d",
+             *("".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(2000))]
+    encoder.tokenizer = None  # only the model of it is left
+    for text in texts:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.array(ids, "<u4").tobytes()
+
+
+def test_ranks_of_all_lengths():
+    rng = np.random.default_rng(3)
+    for top in (1, 1 << 8, 1 << 16, 1 << 24, 1 << 32):
+        for count in (0, 1, 5, 4096):
+            ranks = rng.integers(0, top, count).astype("u4")
+            ranks[-1:] = top - 1
+            control, data = token_files.encode_ranks(ranks)
+            small = [int(r).to_bytes(max(1, (int(r).bit_length() + 7) // 8), "little") for r in ranks]
+            assert data == b"".join(small) and len(control) == (count + 3) // 4
+            assert token_files.decode_ranks(control, data, count).tolist() == ranks.tolist()
+
+
 def test_ids_are_counted_once_a_batch(monkeypatch):
     calls, count = [], np.bincount
     monkeypatch.setattr(token_files.np, "bincount", lambda x: calls.append(len(x)) or count(x))
