@@ -10,10 +10,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyfathom.llm.common import release
 from keyfathom.llm.tokens import SpacedWords, shared
 
 #: Ids of a block of a flat file; documents run over its ends as they fall.
 BLOCK_IDS = 1 << 16
+#: Blocks of a row group.  Spark's reader takes up to 4,096 rows of a row group at once, 1 GB of blocks, whatever the task.
+GROUP_BLOCKS = 16
 
 
 def write_flat(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
@@ -47,7 +50,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
 
     (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
      .mapInArrow(blocks, "shard int, block int, ids binary, doc_ids array<long>")
-     .write.option("compression", "zstd").parquet(path))
+     .write.option("compression", "zstd").option("parquet.block.row.count.limit", str(GROUP_BLOCKS)).parquet(path))
 
 
 def scan_flat(spark: SparkSession, path: str, end_id: int) -> DataFrame:
@@ -59,6 +62,7 @@ def scan_flat(spark: SparkSession, path: str, end_id: int) -> DataFrame:
     end closes its last document even if the separator is missing.
     """
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             ids = [np.frombuffer(raw.as_py(), "<u4") for raw in batch.column(2)]
             found = [np.flatnonzero(x == end_id) for x in ids]

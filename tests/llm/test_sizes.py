@@ -7,9 +7,10 @@ import random
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from keyfathom.llm import common, ngram_join, token_files, tokens, toxicity
+from keyfathom.llm import common, ngram_join, token_files, token_scan, tokens, toxicity
 from keyfathom.llm.common import ship
 
 KNOWN = "sid long, map binary"
@@ -116,3 +117,45 @@ def test_the_next_operator_releases_what_a_worker_kept(spark):
     assert common._KEPT
     list(tasks[0](iter([])))
     assert not common._KEPT
+
+
+def test_flat_files_are_read_few_blocks_at_once(spark, table, tmp_path, monkeypatch):
+    """A reader holds a row group's blocks at once; a file of many blocks has many row groups, and the counts are right."""
+    monkeypatch.setattr(token_scan, "BLOCK_IDS", 64)
+    texts = ["a b c " * (7 * n % 90) for n in range(60)]
+    ship(spark)
+    docs = table("doc_id long, text string", *enumerate(texts)).coalesce(1)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    token_scan.write_flat(docs, path, 50256, str(tmp_path / "flat"))
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "flat").glob("*.parquet")]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(groups) > 100 and max(groups) <= 16
+    encoder = tokens.SpacedWords(path)
+    counts = {r.doc_id: r.n_tokens for r in token_scan.document_counts(spark, str(tmp_path / "flat"), 50256).collect()}
+    assert counts == {k: len(encoder.encode(text)) // 4 + 1 for k, text in enumerate(texts)}
+
+
+def test_the_search_for_separators_releases_the_words():
+    """What wrote the flat files keeps its words in a worker; the search that comes next does not."""
+    tasks = []
+
+    class Read:
+        def __getattr__(self, name):
+            return self
+
+        def __call__(self, *args):
+            return self
+
+        def mapInArrow(self, run, schema):
+            tasks.append(run)
+            raise StopIteration
+
+    class Session:
+        read = Read()
+
+    with pytest.raises(StopIteration):
+        token_scan.scan_flat(Session(), "flat", 50256)
+    common.per_worker(("words",), dict)
+    assert common._KEPT
+    list(tasks[0](iter([])))
+    assert not common._KEPT
