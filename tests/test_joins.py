@@ -80,9 +80,9 @@ def test_records_of_many_pairs_are_short_on_disk(spark, tmp_path, monkeypatch):
 
 
 def test_rows_that_a_join_makes_many_are_dealt_to_all_tasks(spark):
-    left = spark.range(900).select("id", (F.col("id") % 3).alias("key"))
-    small = spark.range(90).select((F.col("id") % 3).alias("key"), F.col("id").alias("n"))
-    dealt, coalesced = (join_each(left, small, "key", most=10, deal=deal) for deal in (True, False))
+    left = spark.range(900).select("id", (F.col("id") % 3).alias("key"), F.lit("x").alias("kind"))
+    small = spark.range(90).select((F.col("id") % 3).alias("key"), F.lit("x").alias("kind"), F.col("id").alias("n"))
+    dealt, coalesced = (join_each(left, small, ["kind", "key"], most=10, deal=deal) for deal in (True, False))
     assert rows(dealt, "key", "id", "n") == rows(coalesced, "key", "id", "n") and dealt.columns == coalesced.columns
     assert len(dealt.select(F.spark_partition_id().alias("p")).distinct().collect()) > partitions(spark) / 2
 
